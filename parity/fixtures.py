@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,16 @@ from recallgrid.operators.turns import pair_turns, turn_tags
 
 COLL = ("coll",)
 
+# Remembers built plans, not data: queries share the analysed DataFrames.
+plan = lru_cache(maxsize=256)
+
 
+@plan
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@plan
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with a single session."""
     return table(spark, sf_dir, "conversations").select(
@@ -31,10 +38,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_turns(messages(spark, sf_dir))
 
 
+@plan
 def collected_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns in collections of ten: each conversation is a session of its collection."""
     grouped = messages(spark, sf_dir).withColumn("session_pos", F.col("conv_id"))
@@ -44,6 +53,7 @@ def collected_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with ids, fields and letter-count vectors."""
     base = collected_turns(spark, sf_dir).select(
@@ -60,6 +70,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes_ops.note_defaults(base).withColumn("embedding", letter_counts(F.col("content")))
 
 
+@plan
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per answered turn: the user's text, the reply as evidence and answer."""
     answered = collected_turns(spark, sf_dir).filter(F.col("reply_text") != "")
@@ -78,6 +89,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def search(
     spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine", group: tuple = COLL
 ) -> DataFrame:
@@ -87,6 +99,7 @@ def search(
     )
 
 
+@plan
 def hits(
     spark: SparkSession,
     sf_dir: str,
@@ -99,12 +112,14 @@ def hits(
     return search(spark, sf_dir, k, metric).join(stored, ["coll", "seq"])
 
 
+@plan
 def conversation_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """Top-k notes of the question's own conversation, which has few of them."""
     stored = notes(spark, sf_dir).select("conv_id", "seq", "id")
     return search(spark, sf_dir, k, group=("conv_id",)).join(stored, ["conv_id", "seq"])
 
 
+@plan
 def records(
     spark: SparkSession, sf_dir: str, k: int = 10, metric: str = "cosine"
 ) -> DataFrame:
@@ -121,6 +136,7 @@ def records(
     )
 
 
+@plan
 def neighbor_table(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """As-of neighbours by note id."""
     stored = notes(spark, sf_dir)
@@ -130,6 +146,7 @@ def neighbor_table(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return near.join(ids, ["coll", "seq"]).join(other, ["coll", "neighbor_seq"])
 
 
+@plan
 def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes linked to their two nearest earlier notes; first notes link nowhere valid."""
     stored = notes(spark, sf_dir)
@@ -144,6 +161,7 @@ def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("links", F.coalesce("near", lost)).drop("near")
 
 
+@plan
 def decisions(spark: SparkSession, sf_dir: str, limit: float = 0.02) -> DataFrame:
     """The distance rule, asking also for an update of the nearest two notes."""
     ruled = evolution.distance_rule(neighbor_table(spark, sf_dir, 2), limit)
@@ -163,6 +181,7 @@ def decisions(spark: SparkSession, sf_dir: str, limit: float = 0.02) -> DataFram
     )
 
 
+@plan
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions (the best chunk's whole text) against whole replies."""
     from recallgrid.operators.answers import generate_answers
@@ -176,6 +195,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of ten "tokens" per row, alternately on the candidate and reference side."""
     return table(spark, sf_dir, "embeddings").select(

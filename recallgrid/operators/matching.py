@@ -161,17 +161,14 @@ def _anchors(wanted: DataFrame, threshold: float) -> DataFrame:
 def _grams(value: Column) -> Column:
     """All substrings of one to ``GRAM`` characters."""
     size = F.length(value)
-    runs = [
-        F.when(
-            size >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-                lambda i, n=n: F.substring(value, i, n),
-            ),
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+        return F.when(
+            size >= n, F.transform(starts, lambda i: F.substring(value, i, F.lit(n)))
         ).otherwise(F.array().cast(NO_STRINGS))
-        for n in range(1, GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+
+    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, GRAM + 1)]))
 
 
 def _short_candidates(pieces: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -62,6 +62,8 @@ def _flagged(messages: DataFrame, chunk: int) -> DataFrame:
         F.coalesce("role", F.lit("user")).alias("start_role"),
         F.coalesce("role", F.lit("assistant")).alias("reply_role"),
         F.coalesce("content", F.lit("")).alias("content"),
+        # Made before the shuffle, so that counting turns moves no texts.
+        (F.coalesce("content", F.lit("")) != "").alias("has_text"),
         F.explode(F.when(at_edge, F.array(home, home - 1)).otherwise(F.array(home))).alias("chunk"),
     ).withColumn("guest", F.col("chunk") != home)
 
@@ -73,7 +75,7 @@ def _flagged(messages: DataFrame, chunk: int) -> DataFrame:
         placed.withColumn("next_role", F.lead("reply_role").over(here))
         .withColumn("next_content", F.lead("content").over(here))
         .withColumn("pairs", starts & differs)
-        .withColumn("opens", starts & (F.col("content") != ""))
+        .withColumn("opens", starts & F.col("has_text"))
         .withColumn("single", F.when(~F.col("pairs"), F.col("msg_pos")))
         .withColumn("last_single", F.max("single").over(earlier))
     )
