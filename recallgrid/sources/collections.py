@@ -52,8 +52,9 @@ class Collection:
     def _place(self, notes: DataFrame) -> DataFrame:
         return notes.withColumn("bucket", self.bucket(F.col("conv_id")))
 
-    def write_new(self, notes: DataFrame) -> None:
-        self._place(notes).write.mode("errorifexists").partitionBy("bucket").parquet(self.path)
+    def create(self, like: DataFrame) -> None:
+        """An empty collection: one file in the first folder holds the schema."""
+        like.limit(0).write.mode("errorifexists").parquet(f"{self.path}/bucket=0")
 
     def add(self, notes: DataFrame) -> None:
         """Append the notes whose id the collection does not hold yet.
@@ -93,5 +94,5 @@ def open_collection(
         if not extend:
             raise CollectionExists(f"{path} already exists")
     elif like is not None:
-        collection.write_new(like.limit(0))
+        collection.create(like)
     return collection

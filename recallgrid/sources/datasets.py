@@ -9,40 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid.operators.matching import coerce_records
-from recallgrid.operators.ordered import before
 from recallgrid.schemas import CORRUPT, DATASET, RETRIEVAL_RECORD
 
 
 def _read_json(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, lines: bool
 ) -> DataFrame:
-    """Rows with ``source`` (their file) and ``position`` (their place in it, from 0).
+    """Rows with ``source`` (their file) and ``position`` (their place in it).
 
-    JSON Lines files are split over tasks.  An array file is read by one task,
-    as JSON arrays cannot be split; it streams and never sits in memory whole.
+    JSON Lines files are split over tasks; positions are unique and in order
+    over the whole read.  An array file cannot be split: one task streams it,
+    and positions count from 0 in every file.
     """
     wanted = [paths] if isinstance(paths, str) else list(paths)
-    raw = (
+    rows = (
         spark.read.schema(schema)
         .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(wanted)
         .withColumn("source", F.col("_metadata.file_path"))
-        .withColumn("split", F.col("_metadata.file_block_start"))
-        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("position", F.monotonically_increasing_id())
     )
-    # Rows of one split of a file are numbered consecutively; the splits before
-    # it add their sizes.
-    splits = raw.groupBy("source", "split").agg(
-        F.min("row").alias("first"), F.count(F.lit(1)).alias("size")
-    )
-    earlier = F.sum("size").over(before(["source"], ["split"]))
-    starts = splits.withColumn("offset", F.coalesce(earlier, F.lit(0))).drop("size")
+    if lines:
+        return rows
+    # Several files may share a task, one after the other.
+    first = rows.groupBy("source").agg(F.min("position").alias("first"))
     return (
-        raw.join(starts, ["source", "split"])
-        .withColumn("position", F.col("offset") + F.col("row") - F.col("first"))
-        .drop("split", "row", "first", "offset")
+        rows.join(first, "source")
+        .withColumn("position", F.col("position") - F.col("first"))
+        .drop("first")
     )
 
 
@@ -63,8 +59,10 @@ def read_dataset(
 
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable rows, and the report (source, position, text) of the others."""
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = rows.filter(F.col(CORRUPT).isNotNull()).select("source", "position", CORRUPT)
+    # Spark refuses to read the corrupt-record column alone, so one more is looked at.
+    looked_at = F.col("conv_id").isNull() | (F.length("conv_id") >= 0)
+    good = rows.filter(F.col(CORRUPT).isNull() & looked_at).drop(CORRUPT)
+    bad = rows.filter(F.col(CORRUPT).isNotNull() & looked_at).select("source", "position", CORRUPT)
     return good, bad
 
 
@@ -74,7 +72,7 @@ def read_retrieval_records(
     """Records of one or many files with string chunks and evidences, and the failed rows.
 
     ``source`` tells the files apart, so all of them are evaluated in one job;
-    ``idx`` is the position within the file and stands in for a missing id.
+    ``idx`` is the position and stands in for a missing id.
     """
     good, bad = quarantine(_read_json(spark, paths, RETRIEVAL_RECORD, lines))
     named = good.withColumnRenamed("position", "idx").withColumn(
