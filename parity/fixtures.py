@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.functions import text
-from recallgrid.functions.vectors import letter_counts
+from recallgrid.functions.vectors import embed, letter_encoder
 from recallgrid.operators import evolution, neighbors
 from recallgrid.operators import notes as notes_ops
 from recallgrid.operators.turns import pair_turns, turn_tags
+from recallgrid.sources.stages import stage
 
 COLL = ("coll",)
 
-# Remembers built plans, not data: queries share the analysed DataFrames.
+# Built once per session: plans, and the tables that are staged on disk.
 plan = lru_cache(maxsize=256)
 
 
@@ -48,9 +49,10 @@ def collected_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns in collections of ten: each conversation is a session of its collection."""
     grouped = messages(spark, sf_dir).withColumn("session_pos", F.col("conv_id"))
     paired = pair_turns(grouped.withColumn("conv_id", F.expr("conv_id div 10")))
-    return paired.withColumnsRenamed(
+    named = paired.withColumnsRenamed(
         {"conv_id": "coll", "session_pos": "conv_id", "turn_idx": "seq"}
     )
+    return stage(named, "turns")
 
 
 @plan
@@ -67,14 +69,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("category"),
         turn_tags(F.col("conv_id"), F.col("session_id")).alias("tags"),
     )
-    return notes_ops.note_defaults(base).withColumn("embedding", letter_counts(F.col("content")))
+    return stage(embed(notes_ops.note_defaults(base), letter_encoder), "notes")
 
 
 @plan
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per answered turn: the user's text, the reply as evidence and answer."""
     answered = collected_turns(spark, sf_dir).filter(F.col("reply_text") != "")
-    return answered.select(
+    asked = answered.select(
         "coll",
         "conv_id",
         F.col("seq").alias("q_idx"),
@@ -85,8 +87,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("reply_text").alias("answer"),
         F.array("reply_text").alias("evidences"),
         F.pmod("conv_id", F.lit(5)).cast("string").alias("category"),
-        letter_counts(F.col("user_text")).alias("embedding"),
     )
+    return embed(asked, letter_encoder, "question")
 
 
 @plan
@@ -143,14 +145,14 @@ def neighbor_table(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     near = neighbors.asof_neighbors(stored, k, metric="cosine", group=COLL)
     ids = stored.select("coll", "seq", F.col("id").alias("note_id"))
     other = stored.select("coll", F.col("seq").alias("neighbor_seq"), "id")
-    return near.join(ids, ["coll", "seq"]).join(other, ["coll", "neighbor_seq"])
+    return stage(near.join(ids, ["coll", "seq"]).join(other, ["coll", "neighbor_seq"]), "neighbors")
 
 
 @plan
 def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes linked to their two nearest earlier notes; first notes link nowhere valid."""
     stored = notes(spark, sf_dir)
-    near = neighbor_table(spark, sf_dir, 2)
+    near = neighbor_table(spark, sf_dir).filter(F.col("rank") <= 2)
     links = near.groupBy("note_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias(
             "near"
@@ -164,7 +166,7 @@ def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def decisions(spark: SparkSession, sf_dir: str, limit: float = 0.02) -> DataFrame:
     """The distance rule, asking also for an update of the nearest two notes."""
-    ruled = evolution.distance_rule(neighbor_table(spark, sf_dir, 2), limit)
+    ruled = evolution.distance_rule(neighbor_table(spark, sf_dir), limit)
     seq = F.col("seq").cast("string")
     return ruled.withColumn(
         "decision",

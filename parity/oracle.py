@@ -4,7 +4,7 @@ from __future__ import annotations
 
 LETTERS = ", ".join(f"'{c}'" for c in "abcdefghijklmnopqrstuvwxyz")
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
-WORD = r"[\p{L}\p{M}\p{N}_]+"
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def letters(expr: str) -> str:
@@ -284,18 +284,19 @@ CTES |= ngram_ctes("ro", rouge_split("prediction"), rouge_split("reference"), 2)
 
 # Longest common subsequence, one reference token per step: a cell is the running
 # maximum of the cell above and, where tokens are equal, the upper left cell plus one.
-CTES["lcs_cells"] = (
+CTES["lcs_refs"] = (
     ["ro_tok"],
-    "SELECT row_id, r, unnest(p) AS tok, generate_subscripts(p, 1) AS j FROM ro_tok",
+    "SELECT row_id, unnest(r) AS tok, generate_subscripts(r, 1) AS i FROM ro_tok",
 )
 CTES["lcs_run"] = (
-    ["lcs_cells"],
-    """SELECT row_id, r, tok, j, 0 AS i, 0 AS best FROM lcs_cells
+    ["lcs_refs"],
+    """SELECT row_id, hash(unnest(p)) AS tok, generate_subscripts(p, 1) AS j, 0::BIGINT AS i,
+           0::BIGINT AS best FROM ro_tok
        UNION ALL
-       SELECT row_id, r, tok, j, i + 1, max(up) OVER (PARTITION BY row_id ORDER BY j)
-       FROM (SELECT row_id, r, tok, j, i, greatest(best, CASE WHEN tok = r[i + 1]
-                 THEN coalesce(lag(best) OVER (PARTITION BY row_id ORDER BY j), 0) + 1 ELSE 0 END) AS up
-             FROM lcs_run WHERE i < len(r))""",
+       SELECT row_id, tok, j, i + 1, max(up) OVER (PARTITION BY row_id ORDER BY j)
+       FROM (SELECT c.row_id, c.tok, c.j, c.i, greatest(best, CASE WHEN c.tok = hash(f.tok)
+                 THEN coalesce(lag(best) OVER (PARTITION BY c.row_id ORDER BY j), 0) + 1 ELSE 0 END) AS up
+             FROM lcs_run c JOIN lcs_refs f ON f.row_id = c.row_id AND f.i = c.i + 1)""",
 )
 CTES["lcs"] = (
     ["lcs_run"],

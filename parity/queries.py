@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parity import fixtures as fx
 from recallgrid.functions import metadata, text
-from recallgrid.functions.vectors import letter_counts
+from recallgrid.functions.vectors import embed, letter_counts, letter_encoder
 from recallgrid.operators import (
     answer_metrics,
     answers,
@@ -229,7 +229,7 @@ def decode_metadata(spark, sf):
 
 @query
 def embed_letters(spark, sf):
-    docs = fx.table(spark, sf, "documents").withColumn("v", letter_counts(F.col("text")))
+    docs = embed(fx.table(spark, sf, "documents").select("doc_id", "text"), letter_encoder, "text", "v")
     return docs.select(
         "doc_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",").alias("v")
     )

@@ -2,5 +2,6 @@
 
 Raw chat logs become turns, turns become memory notes, notes are linked and
 searched, and both the search and the answers built on it are scored.  Every
-operator takes DataFrames and returns a DataFrame; none of them runs an action.
+operator takes DataFrames and returns a DataFrame without running an action;
+only sources, sinks, streaming jobs and the plans built on them do.
 """

@@ -16,19 +16,35 @@ from pyspark.sql import types as T
 
 # ---- fixed values -----------------------------------------------------------
 # Roles that never open a turn (exact spelling), the two speaker labels, the
-# typographic characters folded to ASCII, and the evidence coverage threshold.
+# typographic characters folded to ASCII, the evidence coverage threshold, the
+# time format of notes and the time prefix of a context line.
 NON_STARTER_ROLES = ["assistant", "Assistant", "system", "System", "model", "Model"]
-SPEAKER_PATTERN = r"(?iU)\b(user|assistant)\s*:\s*"
-FANCY_CHARS = "\u2019\u201c\u201d\u00a0"
-PLAIN_CHARS = "'\"\" "
+SPEAKERS = ["user", "assistant"]
+PLAIN_CHARS = {"\u2019": "'", "\u201c": '"', "\u201d": '"', "\u00a0": " "}
 COVERAGE_THRESHOLD = 0.85
 TIMESTAMP_FORMAT = "yyyyMMddHHmm"
 TIME_PREFIX_PATTERN = r"(?U)^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\s*"
 # ---- end of fixed values ----------------------------------------------------
 
-# Unicode white space plus the four ASCII separators that count as space in text.
-SPACES = r"(?U)[\s\x1c-\x1f]+"
-WORDS = r"(?U)(\w+)"
+# Character classes are spelled out instead of using Java's Unicode mode, which
+# looks up several properties per character: white space (with the four ASCII
+# separators), and letters, numbers and the underscore, ASCII first.
+SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD_CLASS = r"a-zA-Z0-9_\p{L}\p{N}"
+SPACE_CHARS = "".join(
+    chr(c)
+    for first, last in (
+        (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+        (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+    )
+    for c in range(first, last + 1)
+)
+WORDS = f"([{WORD_CLASS}]+)"
+# The look-ahead turns most positions down before anything else is tried.
+SPEAKER_PATTERN = (
+    f"(?=[{''.join(sorted({c for s in SPEAKERS for c in (s[0], s[0].upper())}))}])"
+    f"(?<![{WORD_CLASS}])(?iu:{'|'.join(SPEAKERS)})[{SPACE_CLASS}]*:[{SPACE_CLASS}]*"
+)
 
 
 def let(value: Column, body) -> Column:
@@ -53,14 +69,19 @@ def fold_compat(text: Column) -> Column:
 
 def strip_edges(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def normalize_text(text: Column, nfkc: bool = True) -> Column:
     """Fold quotes, collapse white space, trim and lower-case."""
     base = fold_compat(text) if nfkc else text
-    plain = F.translate(base, FANCY_CHARS, PLAIN_CHARS)
-    return F.lower(F.trim(F.regexp_replace(plain, SPACES, " ")))
+    # One pass maps quotes and every kind of space, so only blanks can repeat.
+    fancy = "".join(PLAIN_CHARS)
+    others = [c for c in SPACE_CHARS if c != " " and c not in fancy]
+    plain = F.translate(
+        base, fancy + "".join(others), "".join(PLAIN_CHARS.values()) + " " * len(others)
+    )
+    return F.lower(F.trim(F.regexp_replace(plain, " {2,}", " ")))
 
 
 def strip_speakers(text: Column) -> Column:
@@ -77,9 +98,15 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(1))
 
 
+def split_spaces(text: Column) -> Column:
+    """Tokens between white space of any kind."""
+    blanks = F.translate(text, SPACE_CHARS, " " * len(SPACE_CHARS))
+    return F.filter(F.split(blanks, " "), lambda t: t != "")
+
+
 def space_tokens(text: Column) -> Column:
     """Lower-cased tokens between white space."""
-    return F.filter(F.split(F.lower(text), SPACES), lambda t: t != "")
+    return split_spaces(F.lower(text))
 
 
 def covers(have: Column, want: Column, threshold: float = COVERAGE_THRESHOLD) -> Column:

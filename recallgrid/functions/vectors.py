@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def letter_counts(text: Column) -> Column:
     return F.element_at(F.transform(F.array(lowered), count_all), 1)
 
 
+def letter_encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The same vectors as ``letter_counts``, for ``embed``: one pass per text."""
+    first, last = ord("a"), ord("z")
+
+    def count(text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").lower().encode(), dtype=np.uint8)
+        return np.bincount(raw, minlength=last + 1)[first : last + 1].astype(np.float32)
+
+    for texts in batches:
+        yield texts.map(count)
+
+
 def embed(
     df: DataFrame,
     encoder: Callable[[Iterator[pd.Series]], Iterator[pd.Series]],

@@ -41,7 +41,7 @@ def bleu_tokens(value: Column, tokenize: str = "13a") -> Column:
             spread = F.regexp_replace(spread, pattern, put)
     else:
         raise ValueError(f"unknown tokenizer {tokenize!r}")
-    return F.filter(F.split(spread, text.SPACES), lambda t: t != "")
+    return text.split_spaces(spread)
 
 
 def rouge_tokens(value: Column) -> Column:

@@ -131,7 +131,7 @@ def match_in_record(records: DataFrame, threshold: float = COVERAGE_THRESHOLD, n
 
 # ---- corpus-wide matching -------------------------------------------------------
 
-PIECES = r"(?U)(\w+|\W+)"
+PIECES = f"([{text.WORD_CLASS}]+|[^{text.WORD_CLASS}]+)"
 GRAM = 3
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions.text import COVERAGE_THRESHOLD, token_f1
 from recallgrid.operators import answer_metrics, answers, matching, questions, retrieval_metrics
 from recallgrid.operators.evolution import Completer
+from recallgrid.sources.stages import stage
 
 
 def chunk_texts(records: DataFrame) -> DataFrame:
@@ -45,12 +46,15 @@ def evaluate_generation(
 ) -> dict[str, DataFrame]:
     """Answers, their metrics, and the records without a known answer.
 
-    ``records`` needs a unique ``row_id``.
+    ``records`` needs a unique ``row_id``.  A model's answers are staged, so it
+    is asked once however often they are read.
     """
     known = questions.attach_ground_truth(records, asked)
     made = answers.generate_answers(
         questions.drop_missing_ground_truth(known), completer, context_k
     )
+    if completer is not None:
+        made = stage(made, "answers")
     scored = made.withColumn(
         "f1", token_f1(F.col("generated_answer"), F.col("ground_truth"))
     ).withColumn("num_chunks_retrieved", F.coalesce(F.size("chunks"), F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recallgrid.operators import evolution, ledger, neighbors
 from recallgrid.operators.notes import notes_from_turns
 from recallgrid.operators.turns import explode_messages, pair_turns
+from recallgrid.sources.stages import stage
 
 
 def index_dataset(
@@ -46,9 +47,10 @@ def evolve(
 
     With a text model every note that has earlier neighbours is put to it;
     without one the distance rule decides.  All decisions see the notes as they
-    were added, so they are taken in parallel.
+    were added, so they are taken in parallel.  Neighbours and decisions are
+    staged, as both are read again when the decisions are applied.
     """
-    near = neighbor_ids(notes, k, metric)
+    near = stage(neighbor_ids(notes, k, metric), "neighbors")
     if completer is None:
         decisions = evolution.distance_rule(near, limit)
     else:
@@ -56,4 +58,5 @@ def evolve(
         decisions = evolution.parse_decisions(evolution.complete(asked, completer)).select(
             "id", "seq", "decision"
         )
+        decisions = stage(decisions, "decisions")
     return evolution.apply_evolution(notes, decisions, near), decisions

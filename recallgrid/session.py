@@ -41,14 +41,14 @@ def local_session(app: str = "recallgrid", cpus: int | None = None) -> SparkSess
     return session
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``fallback`` is used only where the session does not set one (tests).
+    Only a session on one machine may go without the setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    if fallback is None:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return fallback
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return "/tmp/recallgrid-local"
+    raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

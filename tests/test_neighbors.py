@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.functions.vectors import distance, embed, letter_counts
+from recallgrid.functions.vectors import distance, embed, letter_counts, letter_encoder
 from recallgrid.operators.neighbors import asof_neighbors, retrieve_topk
 
 SCHEMA = "conv_id string, seq long, embedding array<float>"
@@ -96,6 +96,9 @@ def test_encoders(spark):
     counts = [r.v[:2] for r in df.select(letter_counts(F.col("content")).alias("v")).collect()]
     assert counts == [[2.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
 
+    encoded = [r.embedding for r in embed(df, letter_encoder).collect()]
+    assert encoded == [r.v for r in df.select(letter_counts(F.col("content")).alias("v")).collect()]
+
     def lengths(batches):
         for texts in batches:
             yield texts.map(lambda t: [float(len(t or ""))])
