@@ -12,6 +12,7 @@ from recallgrid.functions.vectors import embed, letter_encoder
 from recallgrid.operators import evolution, neighbors
 from recallgrid.operators import notes as notes_ops
 from recallgrid.operators.turns import pair_turns, turn_tags
+from recallgrid.sources.datasets import spread
 from recallgrid.sources.stages import stage
 
 COLL = ("coll",)
@@ -25,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@plan
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, on all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 @plan
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with a single session."""

@@ -94,7 +94,7 @@ def skip_processed(spark, sf):
 @query
 def explode_messages(spark, sf):
     """Every document read as a conversation: lines are sessions, words are messages."""
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf, "documents")
     sessions = F.transform(
         F.split("text", "\n"),
         lambda line: F.struct(
@@ -115,7 +115,7 @@ def explode_messages(spark, sf):
 @query
 def derive_questions(spark, sf):
     """Every document read as a conversation whose lines are its questions."""
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf, "documents")
     none = F.lit(None).cast("string")
     qas = F.transform(
         F.split("text", "\n"),
@@ -158,7 +158,7 @@ def limit_questions(spark, sf):
 
 @query
 def normalize_text(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf, "documents")
     norm = text.evidence_form(F.col("text"), nfkc=False)
     words = text.word_tokens(norm)
     return docs.select(
@@ -171,7 +171,7 @@ def normalize_text(spark, sf):
 
 @query
 def clean_answers(spark, sf):
-    pages = fx.table(spark, sf, "pages").select("page_id", "url", "html")
+    pages = fx.texts(spark, sf, "pages").select("page_id", "url", "html")
     replies = F.concat(F.lit("<think>"), "url", F.lit("</think>"), "html")
     open_ended = F.concat("html", F.lit("<think>"), "url")
     return pages.select(
@@ -229,7 +229,7 @@ def decode_metadata(spark, sf):
 
 @query
 def embed_letters(spark, sf):
-    docs = embed(fx.table(spark, sf, "documents").select("doc_id", "text"), letter_encoder, "text", "v")
+    docs = embed(fx.texts(spark, sf, "documents").select("doc_id", "text"), letter_encoder, "text", "v")
     return docs.select(
         "doc_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",").alias("v")
     )
@@ -459,7 +459,7 @@ def match_evidence(spark, sf):
 @query
 def match_evidence_corpus(spark, sf):
     return matching.match_corpus(
-        fx.table(spark, sf, "documents").select("doc_id", "text"),
+        fx.texts(spark, sf, "documents").select("doc_id", "text"),
         fx.table(spark, sf, "benchmark").select("item_id", "text"),
         nfkc=False,
     )

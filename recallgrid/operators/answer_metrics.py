@@ -83,16 +83,10 @@ def _grams(tokens: Column, kind: str, max_n: int, is_prediction: bool) -> Column
     return F.concat(*[F.coalesce(of_order(n), none) for n in range(1, max_n + 1)])
 
 
-def ngram_overlap(
-    rows: DataFrame, key: str, sides: Mapping[str, tuple[str, str, int]]
+def _overlaps(
+    rows: DataFrame, keys: Sequence[str], sides: Mapping[str, tuple[str, str, int]]
 ) -> DataFrame:
-    """Clipped n-gram counts per row, one record per (row, kind, n).
-
-    ``sides`` maps a kind to its prediction column, reference column (string
-    arrays) and highest order.  Rows are placed by ``key`` once, before they are
-    unfolded; both aggregations then run where the rows already are.
-    """
-    placed = rows.repartition(key)
+    """Counts of every n-gram on both sides, for rows already placed by key."""
     grams = F.concat(
         *[
             _grams(F.col(column), kind, max_n, column == pred)
@@ -100,28 +94,51 @@ def ngram_overlap(
             for column in (pred, ref)
         ]
     )
-    counted = (
-        placed.select(key, F.explode(grams).alias("g"))
-        .groupBy(key, "g.kind", "g.n", "g.gram")
+    return (
+        rows.select(*keys, F.explode_outer(grams).alias("g"))
+        .groupBy(*keys, "g.kind", "g.n", "g.gram")
         .agg(F.sum("g.p").alias("p"), F.sum("g.r").alias("r"))
     )
-    return counted.groupBy(key, "kind", "n").agg(
-        F.sum(F.least("p", "r")).alias("overlap"),
-        F.sum("p").alias("pred_total"),
-        F.sum("r").alias("ref_total"),
+
+
+def ngram_overlap(
+    rows: DataFrame, key: str, sides: Mapping[str, tuple[str, str, int]]
+) -> DataFrame:
+    """Clipped n-gram counts per row, one record per (row, kind, n).
+
+    ``sides`` maps a kind to its prediction column, reference column (string
+    arrays) and highest order.  Rows are placed by ``key`` once, before they are
+    unfolded; both aggregations then run where the rows already are.
+    """
+    return (
+        _overlaps(rows.repartition(key), [key], sides)
+        .filter(F.col("n").isNotNull())
+        .groupBy(key, "kind", "n")
+        .agg(
+            F.sum(F.least("p", "r")).alias("overlap"),
+            F.sum("p").alias("pred_total"),
+            F.sum("r").alias("ref_total"),
+        )
     )
 
 
-def _wide(stats: DataFrame, key: str, orders: Mapping[str, int]) -> DataFrame:
-    """``ngram_overlap`` with one row per key: columns like ``bleu2_overlap``."""
-    return stats.groupBy(key).agg(
+def _wide(
+    rows: DataFrame, keys: Sequence[str], sides: Mapping[str, tuple[str, str, int]]
+) -> DataFrame:
+    """The same with one row per key and columns like ``bleu2_overlap``.
+
+    ``keys[0]`` identifies the row, which may have no n-gram at all; the other
+    keys are carried along, so nothing has to be joined back.
+    """
+    parts = {"overlap": F.least("p", "r"), "pred_total": F.col("p"), "ref_total": F.col("r")}
+    return _overlaps(rows, keys, sides).groupBy(*keys).agg(
         *[
             F.coalesce(
-                F.sum(F.when((F.col("kind") == kind) & (F.col("n") == n), F.col(c))), F.lit(0)
-            ).alias(f"{kind}{n}_{c}")
-            for kind, max_n in orders.items()
+                F.sum(F.when((F.col("kind") == kind) & (F.col("n") == n), value)), F.lit(0)
+            ).alias(f"{kind}{n}_{name}")
+            for kind, (_, _, max_n) in sides.items()
             for n in range(1, max_n + 1)
-            for c in ("overlap", "pred_total", "ref_total")
+            for name, value in parts.items()
         ]
     )
 
@@ -223,36 +240,28 @@ def answer_scores(
         sides["bleu"] = ("bp", "br", MAX_ORDER)
     rows = answers.select(
         key, *kept, text.token_f1(F.col("prediction"), F.col("reference")).alias("f1"), *columns
+    ).repartition(key)
+    carried = [key, *kept, "f1", "lcs", "pred_len", "ref_len"]
+    measured = (
+        rows.withColumn("lcs", lcs_length("rp", "rr"))
+        .withColumn("pred_len", F.size("rp"))
+        .withColumn("ref_len", F.size("rr"))
     )
-    wide = _wide(
-        ngram_overlap(rows, key, sides), key, {kind: side[2] for kind, side in sides.items()}
-    )
-    per_row = (
-        rows.select(
-            key,
-            *kept,
-            "f1",
-            lcs_length("rp", "rr").alias("lcs"),
-            F.size("rp").alias("pred_len"),
-            F.size("rr").alias("ref_len"),
-        )
-        .join(wide, key, "left")
-    )
-    out = [c for c in wide.columns if c.startswith("bleu")]
-    return per_row.select(
+    wide = _wide(measured, carried, sides)
+    return wide.select(
         key,
         *kept,
         "f1",
         *[
             f_score(
-                F.coalesce(f"rouge{n}_overlap", F.lit(0)),
+                F.col(f"rouge{n}_overlap"),
                 F.col(f"rouge{n}_pred_total"),
                 F.col(f"rouge{n}_ref_total"),
             ).alias(f"rouge{n}")
             for n in (1, 2)
         ],
         f_score(F.col("lcs"), F.col("pred_len"), F.col("ref_len")).alias("rougeL"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in out],
+        *[c for c in wide.columns if c.startswith("bleu")],
     )
 
 

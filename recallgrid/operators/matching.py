@@ -133,28 +133,33 @@ def match_in_record(records: DataFrame, threshold: float = COVERAGE_THRESHOLD, n
 
 PIECES = f"([{text.WORD_CLASS}]+|[^{text.WORD_CLASS}]+)"
 GRAM = 3
+SURPLUS = 4
 
 
 def _anchors(wanted: DataFrame, threshold: float) -> DataFrame:
-    """A few rare tokens per evidence, one of which every matching text has.
-
-    Coverage allows ``m = n - ceil(threshold * n)`` of ``n`` tokens to be absent,
-    and a substring match at most two (the first and the last may be parts of
-    longer words).  So of the ``max(m, 2) + 1`` rarest tokens one is present.
-    Rarity among the evidences keeps common words out of the join.
+    """The rare tokens of every evidence, and how many of them a text must have.
+
+    Coverage allows ``m = n - ceil(threshold * n)`` of ``n`` token occurrences to
+    be absent, and a substring match at most two (the first and the last may be
+    parts of longer words).  With ``spare = max(m, 2)``, any ``spare + s``
+    occurrences have ``s`` present in every matching text.  Taking the rarest
+    keeps common words out of the join, and ``s = SURPLUS`` instead of one keeps
+    out texts that share a rare word by chance.
     """
-    tokens = wanted.select("norm", "n", F.posexplode("tokens").alias("pos", "token"))
-    seen = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
-    order = Window.partitionBy("norm").orderBy("seen", F.desc(F.length("token")), "pos")
+    tokens = wanted.select("norm", "n", F.posexplode("tokens").alias("pos", "piece"))
+    seen = tokens.groupBy("piece").agg(F.count(F.lit(1)).alias("seen"))
+    order = Window.partitionBy("norm").orderBy("seen", F.desc(F.length("piece")), "pos")
     absent = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).cast("int")
     # One or two tokens: only coverage is decided here, substrings elsewhere.
     spare = F.when(F.col("n") >= 3, F.greatest(absent, F.lit(2))).otherwise(absent)
+    need = F.least(F.lit(SURPLUS), F.col("n") - spare)
     return (
-        tokens.join(seen, "token")
+        tokens.join(seen, "piece")
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= spare + 1)
-        .select("token", "norm")
-        .distinct()
+        .withColumn("need", need)
+        .filter(F.col("place") <= spare + F.col("need"))
+        .groupBy("piece", "norm", "need")
+        .agg(F.count(F.lit(1)).alias("weight"))
     )
 
 
@@ -171,32 +176,29 @@ def _grams(value: Column) -> Column:
     return F.array_distinct(F.concat(*[of_length(n) for n in range(1, GRAM + 1)]))
 
 
-def _short_candidates(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts that may hold an evidence of at most two tokens as a substring.
+def _short_anchors(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pieces that hold an evidence of at most two tokens, or its longest token.
 
     Such an evidence may begin and end inside words, so it is looked up in the
     vocabulary: its longest token (or, without any token, the whole evidence)
-    must occur inside one word or one run of non-word characters.  The lookup
-    starts from the piece's last ``GRAM`` characters.
+    must occur inside one word or one run of other characters.  The lookup goes
+    by the last ``GRAM`` characters.
     """
     longest = F.reduce(
         "tokens",
         F.lit(""),
         lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best),
     )
-    short = wanted.filter((F.col("n") <= 2) & (F.col("norm") != "")).select(
+    short = wanted.filter(F.col("n") <= 2).select(
         "norm", F.when(F.col("n") == 0, F.col("norm")).otherwise(longest).alias("part")
     )
     keyed = short.withColumn("gram", F.expr(f"right(part, {GRAM})"))
-    vocabulary = pieces.select("piece").distinct()
-    found = (
+    return (
         vocabulary.withColumn("gram", F.explode(_grams(F.col("piece"))))
         .join(keyed, "gram")
         .filter(F.contains(F.col("piece"), F.col("part")))
-        .select("piece", "norm")
-        .distinct()
+        .select("piece", "norm", F.lit(1).alias("need"), F.lit(1).cast("long").alias("weight"))
     )
-    return pieces.join(found, "piece").select("doc_id", "norm")
 
 
 def match_corpus(
@@ -210,39 +212,51 @@ def match_corpus(
     ``chunks``: ``doc_id``, ``text``; ``evidences``: ``item_id``, ``text``.
     Candidates come from equi-joins on rare tokens, never from a product of the
     two tables, and every candidate is then checked on the whole texts.
-    Evidences with equal normal form are matched once.
+    Evidences with equal normal form are matched once.  The chunks are cut into
+    pieces twice (for the vocabulary and for the join); only candidates' texts
+    are read again.
     """
-    docs = chunks.select("doc_id", text.evidence_form(F.col("text"), nfkc).alias("body"))
+    body = text.evidence_form(F.col("text"), nfkc)
     items = evidences.select("item_id", text.evidence_form(F.col("text"), nfkc).alias("norm"))
     wanted = (
-        items.select("norm")
+        items.filter(F.col("norm") != "")
+        .select("norm")
         .distinct()
         .withColumn("tokens", text.word_tokens(F.col("norm")))
         .withColumn("n", F.size("tokens"))
     )
-    pieces = docs.select(
+    # A lone blank holds no evidence, as those are trimmed and not empty.
+    pieces = chunks.select(
         "doc_id",
-        F.explode(
-            F.array_distinct(F.regexp_extract_all("body", F.lit(PIECES), F.lit(1)))
-        ).alias("piece"),
+        F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(PIECES), F.lit(1)))).alias("piece"),
+    ).filter(F.col("piece") != " ")
+    lookup = _anchors(wanted, threshold).unionByName(
+        _short_anchors(pieces.select("piece").distinct(), wanted)
+    )
+    candidates = (
+        pieces.join(lookup, "piece")
+        .groupBy("doc_id", "norm")
+        .agg(F.sum("weight").alias("found"), F.min("need").alias("need"))
+        .filter(F.col("found") >= F.col("need"))
+        .select("doc_id", "norm")
+    )
+    matches = let(
+        body,
+        lambda whole: F.contains(whole, F.col("norm"))
+        | text.covers(text.word_tokens(whole), F.col("tokens"), threshold),
     )
-    by_token = pieces.join(
-        _anchors(wanted, threshold).withColumnRenamed("token", "piece"), "piece"
-    ).select("doc_id", "norm")
-    candidates = by_token.unionByName(_short_candidates(pieces, wanted)).distinct()
     checked = (
-        candidates.join(docs, "doc_id")
+        candidates.join(chunks.select("doc_id", "text"), "doc_id")
         .join(wanted.select("norm", "tokens"), "norm")
-        .filter(
-            F.contains(F.col("body"), F.col("norm"))
-            | text.covers(text.word_tokens(F.col("body")), F.col("tokens"), threshold)
-        )
+        .filter(matches)
         .select("doc_id", "norm")
+        .join(items, "norm")
+        .select("doc_id", "item_id")
     )
     # The empty evidence is part of every text.
-    everywhere = docs.select("doc_id", F.lit("").alias("norm"))
-    return (
-        checked.unionByName(everywhere)
-        .join(items, "norm")
+    everywhere = (
+        chunks.select("doc_id", F.lit("").alias("norm"))
+        .join(items.filter(F.col("norm") == ""), "norm")
         .select("doc_id", "item_id")
     )
+    return checked.unionByName(everywhere)
