@@ -12,7 +12,7 @@ from recallgrid.functions.vectors import embed, letter_encoder
 from recallgrid.operators import evolution, neighbors
 from recallgrid.operators import notes as notes_ops
 from recallgrid.operators.turns import pair_turns, turn_tags
-from recallgrid.sources.datasets import spread
+from recallgrid.session import spread
 from recallgrid.sources.stages import stage
 
 COLL = ("coll",)

@@ -101,6 +101,16 @@ def _overlaps(
     )
 
 
+def _place(rows: DataFrame, key: str) -> DataFrame:
+    """Rows hashed by key into the session's full number of shuffle partitions.
+
+    Named explicitly, because adaptive execution would merge partitions by the
+    size of the texts, and these unfold to many times that.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key)
+
+
 def ngram_overlap(
     rows: DataFrame, key: str, sides: Mapping[str, tuple[str, str, int]]
 ) -> DataFrame:
@@ -111,7 +121,7 @@ def ngram_overlap(
     unfolded; both aggregations then run where the rows already are.
     """
     return (
-        _overlaps(rows.repartition(key), [key], sides)
+        _overlaps(_place(rows, key), [key], sides)
         .filter(F.col("n").isNotNull())
         .groupBy(key, "kind", "n")
         .agg(
@@ -238,9 +248,10 @@ def answer_scores(
             bleu_tokens(ref, tokenize).alias("br"),
         ]
         sides["bleu"] = ("bp", "br", MAX_ORDER)
-    rows = answers.select(
+    # Placed first, so that all text work runs in as many tasks.
+    rows = _place(answers, key).select(
         key, *kept, text.token_f1(F.col("prediction"), F.col("reference")).alias("f1"), *columns
-    ).repartition(key)
+    )
     carried = [key, *kept, "f1", "lcs", "pred_len", "ref_len"]
     measured = (
         rows.withColumn("lcs", lcs_length("rp", "rr"))

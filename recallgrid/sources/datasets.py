@@ -12,16 +12,6 @@ from recallgrid.operators.matching import coerce_records
 from recallgrid.schemas import CORRUPT, DATASET, RETRIEVAL_RECORD
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A file scan on all cores, where its files split into fewer tasks than that.
-
-    Worth one shuffle of the raw rows for work that is heavy per row, such as
-    cutting long texts.  A scan with enough splits is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def _read_json(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, lines: bool
 ) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from recallgrid.session import shared_dir
+from recallgrid.session import shared_dir, spread
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -20,4 +20,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     run = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/recallgrid/{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spread(spark.read.schema(df.schema).parquet(path))
