@@ -276,6 +276,30 @@ CTES |= ngram_ctes("ws", spaced("prediction"), spaced("reference"), 4)
 CTES |= ngram_ctes("bl", spaced("prediction", False), spaced("reference", False), 4)
 
 
+def spread_13a(name: str) -> str:
+    """Punctuation set apart, ahead of splitting at spaces."""
+    out = name
+    for old, new in (
+        ("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"), ("'&quot;'", "'\"'"),
+        ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'"),
+    ):
+        out = f"replace({out}, {old}, {new})"
+    out = f"(' ' || {out} || ' ')"
+    for pattern, new in (
+        (r"([!-&(-+/:-@\[-`{-~])", r" \1 "),
+        (r"([^0-9])([.,])", r"\1 \2 "),
+        (r"([.,])([^0-9])", r" \1 \2"),
+        (r"([0-9])(-)", r"\1 \2 "),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return out
+
+
+CTES |= ngram_ctes(
+    "b13", spaced(spread_13a("prediction"), False), spaced(spread_13a("reference"), False), 4
+)
+
+
 def rouge_split(name: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({name}), '[^a-z0-9]+'), lambda t: t <> '')"
 
@@ -762,6 +786,26 @@ def build() -> dict[str, str]:
         "bleu": with_(
             ["bl_over"], f"SELECT {nonneg('bleu')} AS bleu FROM ({bleu('bl_over', '')}))"
         ),
+        "bleu_13a": with_(
+            ["b13_over"], f"SELECT {nonneg('bleu')} AS bleu FROM ({bleu('b13_over', '')}))"
+        ),
+        "snapshot_copy": with_(["notes"], "SELECT id, content, coll AS conv_id FROM notes"),
+        "evolution_prompts": with_(
+            ["near", "notes"],
+            f"""SELECT a.id, n_lines, 'A new note joins a collection of notes.' || chr(10) || 'Context: '
+                    || a.context || chr(10) || 'Content: ' || a.content || chr(10) || 'Keywords: []'
+                    || chr(10) || 'Its nearest notes:' || chr(10) || lines || chr(10)
+                    || 'Decide whether the collection should change. The action ''strengthen'' links '
+                    || 'the new note to others and sets its tags; the action ''update_neighbor'' gives '
+                    || 'each nearest note new tags and a new context, in the order shown. '
+                    || 'Number of nearest notes: ' || n_lines || chr(10)
+                    || 'Reply with a JSON object holding should_evolve, actions, '
+                    || 'suggested_connections, tags_to_update, new_context_neighborhood and '
+                    || 'new_tags_neighborhood.' AS prompt
+                FROM notes a JOIN (
+                    SELECT note_id, count(*) AS n_lines, string_agg({line('n', 'x.rank - 1')}, '' ORDER BY x.rank) AS lines
+                    FROM near x JOIN notes n ON n.id = x.id GROUP BY note_id) l ON l.note_id = a.id""",
+        ),
         "greedy_match": f"""WITH t AS (SELECT vec_id // 10 AS row_id, vec_id % 2 AS side,
                    embedding::DOUBLE[] AS v, vec_id FROM embeddings),
                pairs AS MATERIALIZED (SELECT p.row_id, p.vec_id AS p, r.vec_id AS r,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from recallgrid.operators import (
     turns,
 )
 from recallgrid.operators import notes as notes_ops
+from recallgrid.session import shared_dir
+from recallgrid.sources import collections
 
 Query = Callable[[SparkSession, str], DataFrame]
 KS = retrieval_metrics.parse_cutoffs("3,5,10,all")
@@ -358,6 +361,17 @@ def get_by_ids(spark, sf):
     return notes_ops.get_by_ids(fx.notes(spark, sf), _reply_changes(spark, sf)).select("id", "content")
 
 
+@query
+def snapshot_copy(spark, sf):
+    """Notes added to a new collection twice (the second time changes nothing), then copied."""
+    root = f"{shared_dir(spark)}/recallgrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    stored = fx.notes(spark, sf).select("id", "content", F.col("coll").alias("conv_id"))
+    source = collections.open_collection(spark, f"{root}/source", partitions=8)
+    source.add(stored)
+    source.add(stored)
+    return source.snapshot(f"{root}/copy").read().select("id", "content", "conv_id")
+
+
 @query
 def usage_counts(spark, sf):
     log = fx.hits(spark, sf, 5).select("id", F.lpad(F.col("q_idx").cast("string"), 6, "0").alias("ts"))
