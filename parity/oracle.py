@@ -653,7 +653,7 @@ def build() -> dict[str, str]:
         ),
         "consolidation_points": with_(
             ["notes", "rule"],
-            """SELECT coll, seq, evolved_count FROM (
+            """SELECT coll, seq, evolved_count::BIGINT AS evolved_count FROM (
                    SELECT coll, n.seq, should_evolve, sum(coalesce(should_evolve, false)::INT) OVER (
                        PARTITION BY coll ORDER BY n.seq) AS evolved_count
                    FROM notes n LEFT JOIN rule r ON r.id = n.id)
@@ -776,7 +776,9 @@ def build() -> dict[str, str]:
         ),
         "default_answers": with_(["pred"], "SELECT row_id, prediction FROM pred"),
         "ngram_overlap": with_(
-            ["ws_over"], "SELECT row_id, n, overlap, pred_total, ref_total FROM ws_over"
+            ["ws_over"],
+            """SELECT row_id, n, overlap::BIGINT AS overlap, pred_total::BIGINT AS pred_total,
+                   ref_total::BIGINT AS ref_total FROM ws_over""",
         ),
         "rouge": with_(
             ["rouge_rows"],

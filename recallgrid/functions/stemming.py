@@ -1,20 +1,28 @@
 """The Porter stemming algorithm, after M. F. Porter (1980), for one word.
 
-Includes the usual later corrections: words of one or two letters are kept,
-``bli`` gives ``ble`` and ``logi`` gives ``log``.
+With the corrections in general use since: words of one or two letters are kept,
+``bli`` gives ``ble``, ``logi`` gives ``log``, ``fulli`` gives ``ful``, short words
+in ``ies`` and ``ied`` end in ``ie``, a final ``y`` turns to ``i`` only after a
+consonant that does not begin the word, and a few irregular words are listed.
 """
 
 from __future__ import annotations
 
 import re
 
-# ---- fixed values: suffix tables of steps 2, 3 and 4 of the algorithm ------------
+# ---- fixed values: irregular words, and suffix tables of steps 2, 3 and 4 ----------
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
+    "news": "news", "innings": "inning", "inning": "inning", "outings": "outing",
+    "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe",
+    "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
 STEP_2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize",
     "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
     "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive",
     "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
-    "logi": "log",
+    "fulli": "ful", "logi": "log",
 }
 STEP_3 = {
     "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "",
@@ -45,24 +53,39 @@ def _measure(stem: str) -> int:
 
 
 def _short_end(stem: str) -> bool:
-    return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
+    shape = _shape(stem)
+    return shape == "vc" or (shape.endswith("cvc") and stem[-1] not in "wxy")
 
 
 def _swap(word: str, table: dict[str, str]) -> str:
     """Replace the longest listed suffix, if enough is left before it."""
     for suffix in sorted((s for s in table if word.endswith(s)), key=len, reverse=True):
         stem = word[: len(word) - len(suffix)]
-        return stem + table[suffix] if _measure(stem) > 0 else word
+        # In "logi" the l counts as part of the stem.
+        kept = stem + "l" if suffix == "logi" else stem
+        return stem + table[suffix] if _measure(kept) > 0 else word
     return word
 
 
+def _second(word: str) -> str:
+    """Step 2; what is left of an ``alli`` goes through it once more."""
+    swapped = _swap(word, STEP_2)
+    if word.endswith("alli") and swapped != word:
+        return _second(swapped)
+    return swapped
+
+
 def _plural(word: str) -> str:
+    if len(word) == 4 and word.endswith("ies"):
+        return word[:-1]
     if word.endswith("sses") or word.endswith("ies"):
         return word[:-2]
     return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
 
 
 def _past(word: str) -> str:
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]
     if word.endswith("eed"):
         return word[:-1] if _measure(word[:-3]) > 0 else word
     for suffix in ("ed", "ing"):
@@ -88,12 +111,14 @@ def _residue(word: str) -> str:
 
 
 def porter_stem(word: str) -> str:
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     if len(word) <= 2:
         return word
     word = _past(_plural(word))
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _shape(word[:-1])[-1] == "c":
         word = word[:-1] + "i"
-    word = _residue(_swap(_swap(word, STEP_2), STEP_3))
+    word = _residue(_swap(_second(word), STEP_3))
     if word.endswith("e"):
         stem = word[:-1]
         if _measure(stem) > 1 or (_measure(stem) == 1 and not _short_end(stem)):

@@ -73,6 +73,13 @@ def scoreboard(
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def in_report_order(rows: DataFrame) -> DataFrame:
+    """Rows by section, category and cut-off, numbers before ``ALL``."""
+    return rows.orderBy(
+        F.desc("section"), F.asc_nulls_first("category"), F.expr("try_cast(k_label AS int)").asc_nulls_last()
+    )
+
+
 def pivot_scoreboard(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """One column per metric; the metric names are given, so no extra pass is run."""
     return scores.groupBy(*SCORE_KEYS[:3]).pivot("metric", list(metrics)).agg(F.first("value"))

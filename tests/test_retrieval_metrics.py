@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import matching, retrieval_metrics as rm
+from recallgrid.operators import matching, reports, retrieval_metrics as rm
 
 RECORDS = "idx int, question_id string, question string, category string, chunks array<string>, evidences array<string>"
 
@@ -61,6 +61,13 @@ def test_macro_and_micro_differ(spark):
     assert out[("category", "1")].macro_precision == 1.0 and out[("category", "2")].n == 1
 
 
+def test_report_order(spark):
+    made = records(spark, ("b", ["red"], ["red"]), ("a", ["red"], ["red"]))
+    out = rm.average_metrics(rm.per_record_metrics(made, [3, 10, None]), [3, 10, None])
+    got = [(r.category, r.k_label) for r in reports.in_report_order(out).collect()]
+    assert got == [(c, k) for c in (None, "a", "b") for k in ("3", "10", "ALL")]
+
+
 def test_empty_input_still_lists_cutoffs(spark):
     per_record = rm.per_record_metrics(records(spark, ("1", ["x"], ["x"])), [3, None]).limit(0)
     out = rm.average_metrics(per_record, [3, None]).collect()

@@ -133,6 +133,8 @@ def test_times(spark):
         ("conditional", "condit"), ("vietnamization", "vietnam"), ("formalize", "formal"),
         ("electrical", "electr"), ("goodness", "good"), ("revival", "reviv"), ("adjustment", "adjust"),
         ("adoption", "adopt"), ("probate", "probat"), ("rate", "rate"), ("controll", "control"),
+        ("dies", "die"), ("died", "die"), ("cried", "cri"), ("enjoy", "enjoy"), ("dying", "die"),
+        ("hopefully", "hope"), ("analogy", "analog"), ("generalization", "gener"), ("oscillators", "oscil"),
     ],
 )
 def test_porter_stems(word, stem):
