@@ -38,35 +38,43 @@ def _matrix(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
 
 def _distances(q: np.ndarray, n: np.ndarray, metric: str) -> np.ndarray:
     dots = q @ n.T
+    if metric == "ip":
+        return np.subtract(1, dots, out=dots)
+    qq, nn = (q * q).sum(axis=1)[:, None], (n * n).sum(axis=1)[None, :]
     if metric == "l2sq":
-        raw = (q * q).sum(axis=1)[:, None] + (n * n).sum(axis=1)[None, :] - 2 * dots
-        raw = np.maximum(raw, 0.0)
-    elif metric == "ip":
-        raw = 1 - dots
-    else:
-        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((n * n).sum(axis=1))[None, :]
-        raw = 1 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-    rounded = np.round(raw, DECIMALS)
-    rounded[rounded == 0] = 0.0  # no negative zero
-    return rounded
+        dots *= -2
+        dots += qq
+        dots += nn
+        return np.maximum(dots, 0.0, out=dots)
+    norms = np.sqrt(qq) * np.sqrt(nn)
+    cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    return np.subtract(1, cosine, out=cosine)
 
 
 def _best(
     q_keys: np.ndarray, n_keys: np.ndarray, dist: np.ndarray, k: int, earlier_only: bool
-) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the ``k`` best items per query; ties go to low keys."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded distance of the ``k`` best items per query.
+
+    Only entries that can still win after rounding are rounded and sorted; ties
+    go to low keys.
+    """
     if earlier_only:
         dist[n_keys[None, :] >= q_keys[:, None]] = np.inf
     if dist.shape[1] > k:
-        limit = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+        limit = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] + 2 * 10.0**-DECIMALS
+        rows, cols = np.nonzero(dist <= limit)
     else:
-        limit = np.full((dist.shape[0], 1), np.inf)
-    rows, cols = np.nonzero((dist <= limit) & np.isfinite(dist))
-    order = np.lexsort((cols, dist[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
+        rows, cols = np.indices(dist.shape).reshape(2, -1)
+    values = dist[rows, cols]
+    possible = np.isfinite(values)
+    rows, cols, values = rows[possible], cols[possible], np.round(values[possible], DECIMALS)
+    values[values == 0] = 0.0  # no negative zero
+    order = np.lexsort((cols, values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
     starts = np.searchsorted(rows, np.arange(dist.shape[0]))
     keep = np.arange(len(rows)) - starts[rows] < k
-    return rows[keep], cols[keep]
+    return rows[keep], cols[keep], values[keep]
 
 
 def _compare_blocks(group: Sequence[str], k: int, metric: str, earlier_only: bool):
@@ -77,11 +85,11 @@ def _compare_blocks(group: Sequence[str], k: int, metric: str, earlier_only: boo
                 q_keys, q = _matrix(batch.column("q_block")[i])
                 n_keys, n = _matrix(batch.column("n_block")[i])
                 dist = _distances(q, n, metric)
-                rows, cols = _best(q_keys, n_keys, dist, k, earlier_only)
+                rows, cols, values = _best(q_keys, n_keys, dist, k, earlier_only)
                 source.append(np.full(len(rows), i))
                 q_out.append(q_keys[rows])
                 n_out.append(n_keys[cols])
-                d_out.append(dist[rows, cols])
+                d_out.append(values)
             if not source:
                 continue
             take = pa.array(np.concatenate(source), type=pa.int64())
