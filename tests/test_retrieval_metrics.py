@@ -140,9 +140,12 @@ def test_corpus_matching_equals_brute_force(spark):
     evidences = ["", "?", "??", "e", "ed f", "dfo", "owl", "zzz", "red fox", "s x", "- ", "ish a hen"]
     evidences += [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(60)] + ["owl"]
     items = list(enumerate(evidences))
-    got = matching.match_corpus(
+    found = matching.match_corpus(
         spark.createDataFrame(docs, "doc_id int, text string"),
         spark.createDataFrame(items, "item_id int, text string"),
-    ).collect()
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = found.collect()
     want = [(d, i) for d, t in docs for i, e in items if holds(t.strip(), e.strip())]
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
