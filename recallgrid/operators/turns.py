@@ -136,8 +136,9 @@ def _chunk_starts(flagged: DataFrame) -> DataFrame:
 def pair_turns(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Turns of every conversation, numbered from 0 across its sessions.
 
-    Messages are shuffled once, by (conversation, session, chunk).  What crosses
-    chunk borders travels as one small row per chunk.
+    Texts are shuffled once, by (conversation, session, chunk); roles and flags a
+    second time, for counting.  What crosses chunk borders travels as one small
+    row per chunk.
     """
     flagged = _flagged(messages, chunk)
     local = F.row_number().over(Window.partitionBy(*KEYS).orderBy("msg_pos")) - 1
