@@ -338,3 +338,43 @@ def assigned(marked: DataFrame, radius: int) -> DataFrame:
     return marked.join(ids, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_representatives(
+    df: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``df`` for every component, that of its component_id, with its columns.
+
+    Where an id has several rows, or a component has no id at all, the row with
+    the least fingerprint and text is the one that stays.
+    """
+    spark = df.sparkSession
+    marked = stage(fingerprints(df, width, id_col, text_col), "fingerprints")
+    found = stage(assigned(marked, radius).select("doc_id", "fp", "component_id"), "components")
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = chosen.groupBy("doc_id").agg(F.count("*").alias("n"))
+    single = ids.filter("n = 1 and doc_id is not null").select(F.col("doc_id").alias("_kept_id"))
+    repeated_n = ids.filter("n > 1 or doc_id is null").count()
+    main = df.join(single, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    if not repeated_n:
+        return main
+    # The few rows of repeated or missing ids: told apart by what they hold.
+    several = ids.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_kept_id"))
+    rows = df.join(several, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").withColumn("_at", F.struct(*df.columns))
+    rows = stage(rows.select(F.to_json("_at").alias("_json"), "_at", F.monotonically_increasing_id().alias("_row")), "several")
+    prints = fingerprints(rows.select("_row", F.col(f"_at.{text_col}").alias("text")), width, "_row", "text")
+    named = prints.withColumnRenamed("doc_id", "_row").join(rows, "_row").withColumn("_own", F.col(f"_at.{id_col}"))
+    roots = chosen.select(F.col("doc_id").alias("_own2"), "fp").distinct()
+    met = named.join(roots, (named["_own"].eqNullSafe(roots["_own2"])) & (named["fp"] == roots["fp"])).drop(roots["fp"])
+    linked = components_of(found, radius)
+    met = met.join(linked, "fp")
+    least = met.groupBy("root").agg(F.min(F.struct("fp", "_json", "_row")).alias("_least"))
+    keep = least.select(F.col("_least._row").alias("_row"))
+    return main.unionByName(rows.join(keep, "_row", "left_semi").select("_at.*"))
+
+
+def components_of(found: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) where a component may have no id: fingerprints by their own links."""
+    distinct = stage(found.select("fp").distinct(), "distinct")
+    roots = components(close_links(distinct, radius))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))

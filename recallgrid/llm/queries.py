@@ -4,16 +4,35 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from recallgrid.llm import decontamination, near_dedup, packing, token_counts
+from pyspark.sql import functions as F
+
+from recallgrid.llm import (
+    decontamination,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    oracle,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    token_counts,
+    url_filters,
+)
 
 BYTES_50K = public_tokenizers.path("byte_bpe_50k.json")
+RANKS_50K = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(documents, RANKS_50K, public_tokenizers.PATTERN).drop("found")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), BYTES_50K, public_tokenizers.PATTERN)
     return packing.pack(cut)
@@ -33,8 +52,40 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(found)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(documents, F.col("source"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op3_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination)
+    for f in (
+        op1_secret_scans,
+        op2_best_fit_packing,
+        op3_simhash_near_dedup,
+        op4_line_dedup,
+        op5_token_counts,
+        op6_benchmark_decontamination,
+        op7_lm_scoring,
+        op8_url_filters,
+        op9_quality_rules,
+        op10_quality_classifier,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
