@@ -31,7 +31,7 @@ from recallgrid.llm.worker import id_type, texts_of
 
 SEED = 42
 SAMPLE = 16_384  # fingerprints that the routing tree is fitted on
-SHARD = 16_384  # distinct fingerprints aimed at in a shard, and held in a block
+SHARD = 131_072  # distinct fingerprints aimed at in a shard, and held in a block
 MAX_SHARDS = 4_096
 LEAF = 64
 
