@@ -148,7 +148,10 @@ def score_documents(
     counts = stage(count_words(taught), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    frequent = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(keep).collect()]
+    # the end of a document, which every text needs, and at most keep other words
+    ends = counts.filter(F.col("word") == END_WORD)
+    frequent = counts.filter(F.col("word") != END_WORD).orderBy(F.desc("n"), "word").limit(keep)
+    frequent = [(r["word"], r["n"]) for r in ends.union(frequent).collect()]
     vocabulary = Vocabulary(frequent, total, distinct, model_words)
     model = train(taught, vocabulary, lanes, share)
     log_unit = float(np.log10(total + distinct + 1))

@@ -22,7 +22,7 @@ from recallgrid.llm.tables import stage
 
 BLOCK = "label=block"
 MIN_SUPPORT = 0.002
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.6
 MIN_COUNT = 20  # labelled addresses that a rule must hold on at least
 MAX_TOKENS = 3
 
