@@ -6,8 +6,7 @@ beyond them goes through a join with the counts.  A gated recurrent model
 (``gated_model``) has the ``model_words`` most frequent words and one word for
 all others, whose probability is shared out by count plus one.  It is trained
 on ``share`` of the training documents, by truncated backpropagation in
-``lanes`` tasks whose parameters are averaged (their number is fixed, so the
-driver gets a bounded amount); counts and statistics cover all of them.
+``lanes`` tasks whose parameters are averaged, one after the other; counts and statistics cover all of them.
 Documents are scored whole, states being carried from window to window.
 
 A null or empty text is its end token alone; a null doc_id has no remainder and
@@ -33,11 +32,11 @@ from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, texts_of
 
 FOLDS, HELD = 7, 2
-KEEP = 200_000
+KEEP = 100_000
 MODEL_WORDS = 2_048
 LANES = 8
 SHARE = 0.25
-FLUSH = 1_500_000  # tokens held at a time
+FLUSH = 1_000_000  # tokens held at a time
 END_WORD = ""  # no word is empty
 
 
@@ -124,12 +123,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) ->
 
     coded = chosen.select("mark", "text").mapInArrow(encode, "mark long, ids binary")
     dealt = coded.repartition(lanes, "mark").sortWithinPartitions("mark", "ids")
-    made = dealt.mapInArrow(learn, "model binary, tokens long").collect()  # one small row a lane
-    if not made:
-        return first
-    weight = sum(r["tokens"] for r in made)
-    models = [(r["tokens"] / weight, pickle.loads(r["model"])) for r in made]
-    return {k: sum(w * m[k] for w, m in models).astype(np.float32) for k in first}
+    made = stage(dealt.mapInArrow(learn, "model binary, tokens long"), "lanes")
+    # One lane's model at a time is on the driver, which keeps their weighted sum.
+    total, weight = {k: np.zeros(v.shape) for k, v in first.items()}, 0
+    for row in made.toLocalIterator():
+        weight += row["tokens"]
+        for k, v in pickle.loads(row["model"]).items():
+            total[k] += row["tokens"] * v.astype(np.float64)
+    return {k: (v / weight).astype(np.float32) for k, v in total.items()} if weight else first
 
 
 def score_documents(
