@@ -29,7 +29,7 @@ from recallgrid.session import shared_dir
 from recallgrid.sources import collections
 
 Query = Callable[[SparkSession, str], DataFrame]
-KS = retrieval_metrics.parse_cutoffs("3,5,10,all")
+KS = retrieval_metrics.parse_cutoffs([3, 5, 10, "all"])
 QUERIES: dict[str, Query] = {}
 
 
@@ -147,7 +147,7 @@ def unindexed_questions(spark, sf):
 @query
 def take_conversations(spark, sf):
     found = fx.turns(spark, sf).select("conv_id", "turn_idx")
-    return questions.take_conversations(found, 20)
+    return questions.take_conversations(found, 20, "conv_id")
 
 
 @query
@@ -570,7 +570,7 @@ def _truth(spark, sf):
         by_id.alias("question_id"),
         F.when(F.col("category") == "4", F.lit("something else")).otherwise(F.col("question")).alias("question"),
     )
-    return questions.attach_ground_truth(wanted, asked)
+    return questions.attach_ground_truth(wanted, asked, "conv_id")
 
 
 @query

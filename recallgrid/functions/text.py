@@ -155,7 +155,7 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 
 def build_context(chunks: Column, k: int) -> Column:
     """Top ``k`` chunk texts, one clean line per non-empty line."""
-    joined = F.array_join(F.slice(F.filter(chunks, lambda c: c.isNotNull()), 1, k), "\n\n")
+    joined = F.array_join(F.filter(F.slice(chunks, 1, k), lambda c: c.isNotNull()), "\n\n")
     lines = F.transform(
         F.split(joined, "\n"),
         lambda line: strip_edges(F.regexp_replace(line, TIME_PREFIX_PATTERN, "")),

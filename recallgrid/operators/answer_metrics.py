@@ -303,7 +303,9 @@ def greedy_match(
     p, r = F.col("precision"), F.col("recall")
     return (
         best("p", "r", "precision")
-        .join(best("r", "p", "recall"), row)
+        .join(best("r", "p", "recall"), row, "full")
+        .join(tokens.select(row).distinct(), row, "right")  # also rows with tokens on one side only
+        .fillna(0.0, ["precision", "recall"])
         .withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
     )
 

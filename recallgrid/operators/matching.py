@@ -80,12 +80,29 @@ def _folded(texts: Column, nfkc: bool) -> Column:
     return F.coalesce(_fold_compat_all(F.when(exotic, bare)), bare)
 
 
+def _checked(threshold: float) -> float:
+    if not 0 < threshold <= 1:
+        raise ValueError(f"a threshold lies above 0 and at most at 1, not at {threshold}")
+    return threshold
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    """Records dealt to the session's full number of tasks, by key where they have one.
+
+    Named explicitly, because adaptive execution would merge partitions by the
+    size of the texts, and the matching costs many times what reading them does.
+    """
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [c for c in ("source", "idx", "row_id", "question_id") if c in records.columns]
+    return records.repartition(n, *(keys or ["evidences", "chunks"]))
+
+
 def match_in_record(records: DataFrame, threshold: float = COVERAGE_THRESHOLD, nfkc: bool = True) -> DataFrame:
     """Add ``hits``: per chunk, the numbers of the distinct evidences it holds.
 
     Needs ``chunks`` and ``evidences`` as string arrays in rank order.  All the
-    work happens inside the row: every text is normalised once, nothing is
-    shuffled.  Also adds ``gold``, the number of evidences with repeats.
+    work happens inside the row, where every text is normalised once; records are
+    only dealt evenly to tasks before.  Also adds ``gold``, the number of evidences with repeats.
     """
 
     def numbered(evidences: Column) -> Column:
@@ -115,7 +132,8 @@ def match_in_record(records: DataFrame, threshold: float = COVERAGE_THRESHOLD, n
 
         return let(text.normalize_text(chunk, nfkc=False), scan)
 
-    prepared = records.withColumn("_chunks", _folded(F.col("chunks"), nfkc)).withColumn(
+    _checked(threshold)
+    prepared = _placed(records).withColumn("_chunks", _folded(F.col("chunks"), nfkc)).withColumn(
         "_evidences", _folded(F.col("evidences"), nfkc)
     )
     hits = let(
@@ -216,6 +234,7 @@ def match_corpus(
     pieces twice (for the vocabulary and for the join); only candidates' texts
     are read again.
     """
+    _checked(threshold)
     body = text.evidence_form(F.col("text"), nfkc)
     items = evidences.select("item_id", text.evidence_form(F.col("text"), nfkc).alias("norm"))
     wanted = (

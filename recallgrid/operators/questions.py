@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,14 @@ from recallgrid.functions.text import category_label
 
 
 def explode_questions(dataset: DataFrame) -> DataFrame:
-    """One row per question; a missing id becomes ``{conv_id}_q{position}``."""
-    return dataset.select("conv_id", F.posexplode("qas").alias("q_idx", "qa")).select(
+    """One row per question; a missing id becomes ``{conv_id}_q{position}``.
+
+    The place of a conversation (``source``, ``conv_idx``) is kept where it is known.
+    """
+    place = [c for c in ("source", "conv_idx") if c in dataset.columns]
+    return dataset.select("conv_id", *place, F.posexplode("qas").alias("q_idx", "qa")).select(
         "conv_id",
+        *place,
         F.col("q_idx").cast("long").alias("q_idx"),
         F.coalesce(
             "qa.question_id",
@@ -35,8 +42,8 @@ def unindexed_questions(questions: DataFrame, notes: DataFrame, group=("conv_id"
     return questions.join(notes.select(*keys).distinct(), keys, "left_anti")
 
 
-def take_conversations(conversations: DataFrame, n: int, position: str = "conv_id") -> DataFrame:
-    """Rows of the first ``n`` conversations by position."""
+def take_conversations(conversations: DataFrame, n: int, position: str) -> DataFrame:
+    """Rows of the first ``n`` conversations by position (ids may sort otherwise)."""
     first = conversations.select(position).distinct().orderBy(position).limit(n)
     return conversations.join(first, position, "left_semi")
 
@@ -47,17 +54,22 @@ def limit_questions(records: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def attach_ground_truth(
-    records: DataFrame, questions: DataFrame, positional_fallback: bool = False
+    records: DataFrame,
+    questions: DataFrame,
+    position: str | Sequence[str],
+    positional_fallback: bool = False,
 ) -> DataFrame:
     """Add ``ground_truth``: by question id, else by question text.
 
     ``questions`` needs ``conv_id, q_idx, question_id, question, answer`` and
     ``records`` needs ``conv_id, question_id, question``.  Where two questions
-    share a text the one that comes last (by conversation, then position) wins.
+    share a text the one that comes last wins: by ``position``, the column or
+    columns that order conversations as their files do, then by place within one.
     ``positional_fallback`` also accepts an id that is a bare position within any
     conversation, again with the last one winning.
     """
-    place = F.struct("conv_id", "q_idx")
+    order = [position] if isinstance(position, str) else list(position)
+    place = F.struct(*order, "q_idx")
 
     def last_answer(key, name):
         known = questions.filter(F.coalesce(F.col(key), F.lit("")) != "")
@@ -77,7 +89,7 @@ def attach_ground_truth(
     choices = [F.nullif("by_id", F.lit(""))]
     if positional_fallback:
         by_place = questions.groupBy(F.col("q_idx").cast("string").alias("id")).agg(
-            F.max_by("answer", F.col("conv_id")).alias("by_place")
+            F.max_by("answer", F.struct(*order)).alias("by_place")
         )
         joined = joined.join(by_place, "id", "left")
         choices.append(F.nullif("by_place", F.lit("")))

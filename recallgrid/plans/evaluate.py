@@ -31,7 +31,7 @@ def evaluate_retrieval(
     per_record = retrieval_metrics.per_record_metrics(judged, ks, threshold, mode, nfkc)
     return {
         "per_record": per_record,
-        "averages": retrieval_metrics.average_metrics(per_record, ks, mode, by),
+        "averages": retrieval_metrics.average_metrics(per_record, ks, mode, by, records),
         "skipped": skipped,
     }
 
@@ -43,13 +43,15 @@ def evaluate_generation(
     context_k: int = 5,
     stem: bool = True,
     key: str = "row_id",
+    position: str | Sequence[str] = "conv_idx",
 ) -> dict[str, DataFrame]:
     """Answers, their metrics, and the records without a known answer.
 
     ``records`` needs a unique ``row_id``.  A model's answers are staged, so it
-    is asked once however often they are read.
+    is asked once however often they are read.  ``asked`` has its conversations'
+    place in ``position``.
     """
-    known = questions.attach_ground_truth(records, asked)
+    known = questions.attach_ground_truth(records, asked, position)
     made = answers.generate_answers(
         questions.drop_missing_ground_truth(known), completer, context_k
     )

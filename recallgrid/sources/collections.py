@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTITIONS = 256
+SALTS = 4
 
 
 class CollectionExists(ValueError):
@@ -31,8 +32,10 @@ class Collection:
     def exists(self) -> bool:
         try:
             self.spark.read.parquet(self.path)
-        except AnalysisException:
-            return False
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
         return True
 
     def bucket(self, conv: Column) -> Column:
@@ -65,7 +68,10 @@ class Collection:
         if self.exists():
             stored = self.spark.read.parquet(self.path).select("bucket", "id")
             new = new.join(stored, ["bucket", "id"], "left_anti")
-        new.write.mode("append").partitionBy("bucket").parquet(self.path)
+        # At most SALTS files a folder and append; sorted, so that row groups can be skipped.
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+        placed = new.repartition(F.col("bucket"), salt).sortWithinPartitions("bucket", "conv_id")
+        placed.write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def snapshot(self, path: str) -> Collection:
         """An independent copy under another path, in one distributed pass."""

@@ -92,9 +92,9 @@ def test_ground_truth_order(spark):
         [("a", "a_q1", "x"), ("a", "zzz", "who?"), ("b", "b_q1", "why?"), ("c", "0", "none")],
         "conv_id string, question_id string, question string",
     )
-    got = {r.question_id: r.ground_truth for r in questions.attach_ground_truth(wanted, known(spark)).collect()}
+    got = {r.question_id: r.ground_truth for r in questions.attach_ground_truth(wanted, known(spark), "conv_id").collect()}
     assert got == {"a_q1": "May", "zzz": "Bob", "b_q1": None, "0": None}
-    by_place = questions.attach_ground_truth(wanted, known(spark), positional_fallback=True)
+    by_place = questions.attach_ground_truth(wanted, known(spark), "conv_id", positional_fallback=True)
     assert {r.question_id: r.ground_truth for r in by_place.collect()}["0"] == "Bob"
 
 
@@ -109,7 +109,7 @@ def test_generation_stage(spark):
             raise RuntimeError("no connection")
         return "<think>hm</think> <b>Ann</b>"
 
-    out = evaluate.evaluate_generation(records, known(spark), answers.row_completer(reply))
+    out = evaluate.evaluate_generation(records, known(spark), answers.row_completer(reply), position="conv_id")
     rows = {r.question_id: r for r in out["per_question"].collect()}
     assert rows["a_q0"].generated_answer == "Ann" and rows["a_q0"].f1 == 1.0 and rows["a_q0"].num_chunks_retrieved == 2
     assert rows["a_q1"].generated_answer == "" and rows["a_q1"].f1 == 0.0
@@ -132,3 +132,21 @@ def test_reports(spark):
     assert all(r.delta == 0 for r in reports.compare_runs(scores, scores).collect())
     with pytest.raises(ValueError):
         reports.scoreboard()
+
+
+def test_last_writer_goes_by_file_position_not_by_spelling(spark):
+    rows = [(f"conv_{i}", i, 0, f"conv_{i}_q0", "same?", f"a{i}") for i in range(12)]
+    asked = spark.createDataFrame(
+        rows, "conv_id string, conv_idx long, q_idx long, question_id string, question string, answer string"
+    )
+    wanted = spark.createDataFrame([("x", "zzz", "same?")], "conv_id string, question_id string, question string")
+    assert questions.attach_ground_truth(wanted, asked, "conv_idx").first().ground_truth == "a11"
+    first = questions.take_conversations(asked, 3, "conv_idx").collect()
+    assert sorted(r.conv_id for r in first) == ["conv_0", "conv_1", "conv_2"]
+
+
+def test_greedy_match_keeps_rows_with_one_side(spark):
+    rows = [(1, "p", 0, [1.0, 0.0]), (1, "r", 0, [1.0, 0.0]), (2, "p", 0, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "row_id int, side string, tok long, embedding array<double>")
+    got = {r.row_id: (r.precision, r.recall, r.f1) for r in am.greedy_match(frame).collect()}
+    assert got == {1: (1.0, 1.0, 1.0), 2: (0.0, 0.0, 0.0)}

@@ -82,8 +82,8 @@ def test_files_are_kept_apart(spark):
 
 
 def test_cutoff_spec():
-    assert rm.parse_cutoffs("10, 3,3,-1,x,all") == [3, 10, None]
-    assert rm.parse_cutoffs("0,5") == [5, None]
+    assert rm.parse_cutoffs(["10", 3, "3", "all"]) == [3, 10, None]
+    assert rm.parse_cutoffs([0, 5]) == [5, None]
 
 
 def test_recall_grows_with_k(spark):
@@ -149,3 +149,26 @@ def test_corpus_matching_equals_brute_force(spark):
     got = found.collect()
     want = [(d, i) for d, t in docs for i, e in items if holds(t.strip(), e.strip())]
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+
+
+def test_files_are_averaged_and_ranked_apart(spark):
+    rows = [("f1", 0, "q", "a", 0.1), ("f1", 1, "q", "b", 0.9), ("f2", 0, "q", "c", 0.2), ("f2", 1, "q", "d", 0.8)]
+    frame = spark.createDataFrame(rows, "source string, idx long, question_id string, question string, f1 double").selectExpr(
+        "*", "'3' as k_label", "'c' as category", "f1 as precision", "f1 as recall", "f1 as ndcg",
+        *[f"1.0D as {c}" for c in rm.COUNTS],
+    )
+    cases = rm.bad_cases(frame, bottoms={"f1": 1}, by=["source"])
+    text = rm.attach_question_text(cases, frame, by=["source"])
+    assert sorted((r.source, r.idx, r.question) for r in text.collect()) == [("f1", 0, "a"), ("f2", 0, "c")]
+    every = frame.select("source").union(spark.createDataFrame([("f3",)], "source string"))
+    got = rm.average_metrics(frame, [3], extra_keys=["source"], records=every).filter("section = 'overall'").collect()
+    assert {r.source: r.n for r in got} == {"f1": 2, "f2": 2, "f3": 0}
+
+
+@pytest.mark.parametrize("threshold", [0, -1, 1.5])
+def test_thresholds_outside_their_range_are_refused(spark, threshold):
+    from recallgrid.operators import matching
+
+    frame = spark.createDataFrame([(["a"], ["b"])], "chunks array<string>, evidences array<string>")
+    with pytest.raises(ValueError):
+        matching.match_in_record(frame, threshold)
