@@ -41,7 +41,8 @@ KNOWN = re.compile(
     r"|[0-9+/_.=-]+"
 )
 PART = re.compile(r"[A-Za-z0-9]+")
-PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[A-Z][a-z]{2,}|\d{1,4})*")
+# digits are taken as a whole, so that a long run of them is tried in one way only
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]++)(?:[A-Z][a-z]{2,}+|[0-9]++)*+")
 MAX_RATIO = 2.4
 PIECE = 4_096  # characters encoded at a time, for runs of any length
 
@@ -77,11 +78,13 @@ def spans_of(text: str, coder: tiktoken.Encoding, max_ratio: float) -> list[tupl
     base = base_spans(text)
     taken = sorted((a, b) for a, _, b in base)
     random = []
+    at, reach = 0, 0  # spans that begin before the run's end, and how far they go
     for run in RUN.finditer(text):
         a, b = run.span()
-        if any(x < b and a < y for x, y in taken):
-            continue
-        if is_random(run[0], coder, max_ratio):
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= a and is_random(run[0], coder, max_ratio):
             random.append((a, 3, b))
     return sorted(base + random)
 

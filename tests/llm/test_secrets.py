@@ -51,3 +51,22 @@ def test_random_strings_are_found_and_known_shapes_are_not(docs):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.find_secrets(docs(rows), RANKS, P.PATTERN).collect()}
     assert all(got[i] == [("random", 5, 45)] for i in range(30))
     assert all(("random" not in [k for k, _, _ in got[100 + i]]) for i in range(len(known)))
+
+
+def test_work_stays_linear_in_long_runs_and_many_spans():
+    coder = secrets.encoding(RANKS, P.PATTERN)
+    digits = "abc" + "1" * 5_000 + "X_" + "a" * 20
+    assert secrets.spans_of(digits, coder, secrets.MAX_RATIO)[0] == (0, 2, 5_003)
+    letters = "x" + "1" * 5_000 + "Xy" * 2_000 + "-Zz"
+    assert (1, 2, 5_001) in secrets.spans_of(letters, coder, secrets.MAX_RATIO)
+    many = "secret=abcdefghijklmnop some_long_path/to_my_file_name.txt " * 20_000
+    found = secrets.spans_of(many, coder, secrets.MAX_RATIO)
+    assert sum(k == 0 for _, k, _ in found) == 20_000
+
+
+def test_runs_that_touch_a_base_span_are_left_to_it():
+    coder = secrets.encoding(RANKS, P.PATTERN)
+    odd = "q7Rk2ZpX9vLw4TnB8sYd1HcJ6mGf3KuE"
+    text = f"{odd} token={odd} {odd}"
+    kinds = [(secrets.KINDS[k], a) for a, k, _ in secrets.spans_of(text, coder, secrets.MAX_RATIO)]
+    assert kinds == [("random", 0), ("assign", 33), ("random", 72)]
