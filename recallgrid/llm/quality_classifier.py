@@ -26,6 +26,7 @@ from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, map_batches, texts_of
 
 FIT_ROWS = 20_000
+HASHES = 1 << 40
 ROUNDS, DEPTH, RATE, BINS, LEAST = 120, 4, 0.1, 64, 20.0
 FOLDS, HELD = 4, 2
 BAR = 0.7
@@ -177,8 +178,12 @@ def quality(
         .groupBy("doc_id")
         .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     )
-    order = F.xxhash64("doc_id")
-    taught = measured.join(known, "doc_id").orderBy(order, "doc_id", "stats").limit(fit_rows).select("stats", "label")
+    labelled = stage(measured.join(known, "doc_id"), "labelled")
+    # The least hashes, in two steps: a share that surely holds fit_rows, then the exact ones, merged in one small task.
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
+    share = min(1.0, (1.25 * fit_rows + 1_000) / max(1, labelled.count()))
+    near = labelled.filter(order <= int(share * HASHES))
+    taught = stage(near.orderBy(order, "doc_id", "stats").limit(fit_rows).select("stats", "label"), "taught")
     rows = taught.collect()  # at most fit_rows
     forest = fit(np.array([r["stats"] for r in rows], np.float64).reshape(-1, WIDTH), np.array([r["label"] for r in rows], np.float64))
 
