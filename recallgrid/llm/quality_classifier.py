@@ -30,6 +30,7 @@ HASHES = 1 << 40
 ROUNDS, DEPTH, RATE, BINS, LEAST = 120, 4, 0.1, 64, 20.0
 FOLDS, HELD = 4, 2
 BAR = 0.7
+BLOCK = 4_096  # bytes that are compressed on their own, throughout the text
 
 GROUPS = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
@@ -61,7 +62,7 @@ def statistics(text: str) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     line_sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     pairs = len(set(zip(words, words[1:], strict=False)))
-    first = raw[:4096]
+    packed = sum(len(zlib.compress(raw[i : i + BLOCK], 1)) for i in range(0, len(raw), BLOCK))
     return [
         *shares.tolist(),
         np.log1p(len(raw)),
@@ -77,7 +78,7 @@ def statistics(text: str) -> list[float]:
         len(set(lines)) / len(lines),
         sum(x.rstrip()[-1:] in b".!?" for x in lines) / len(lines),
         len(zlib.compress(raw, 1)) / len(raw),
-        len(zlib.compress(first, 1)) / len(first),
+        packed / len(raw),
     ]
 
 
