@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, texts_of
 
 BLOCK_WORDS = 1_000_000
@@ -220,7 +221,8 @@ def find_passages(
 
     if blocks == 1:
         return match_block(docs, items_of(0), width, slop, ["doc_id"])
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    # Written once, so that a row has the same number in every block's pass.
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     keys = ["doc_id", "_row"]
     parts = [match_block(numbered, items_of(b), width, slop, keys) for b in range(blocks)]
     union = parts[0]
