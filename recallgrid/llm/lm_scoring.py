@@ -6,7 +6,8 @@ beyond them goes through a join with the counts.  A gated recurrent model
 (``gated_model``) has the ``model_words`` most frequent words and one word for
 all others, whose probability is shared out by count plus one.  It is trained
 on ``share`` of the training documents, by truncated backpropagation in
-``lanes`` tasks whose parameters are averaged, one after the other; counts and statistics cover all of them.
+tasks (``lanes`` at least, more as there are more tokens) whose parameters are
+summed in groups and then averaged; counts and statistics cover all of them.
 Documents are scored whole, states being carried from window to window.
 
 A null or empty text is its end token alone; a null doc_id has no remainder and
@@ -17,6 +18,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +37,7 @@ FOLDS, HELD = 7, 2
 KEEP = 100_000
 MODEL_WORDS = 2_048
 LANES = 8
+LANE_TOKENS = 4_000_000  # tokens aimed at in a lane
 SHARE = 0.25
 FLUSH = 1_000_000  # tokens held at a time
 END_WORD = ""  # no word is empty
@@ -95,8 +98,9 @@ class Vocabulary:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) -> dict[str, np.ndarray]:
-    """Averaged parameters of ``lanes`` tasks; each reads its part of ``share`` of the documents."""
+    """Averaged parameters of at least ``lanes`` tasks; each reads its part of ``share`` of the documents."""
     first = gm.start(vocabulary.frequency)
+    lanes = max(lanes, math.ceil(share * vocabulary.total / LANE_TOKENS))
     mark = F.xxhash64("doc_id", "text")
     chosen = docs.withColumn("mark", mark).filter(F.pmod("mark", F.lit(1 << 20)) < int(share * (1 << 20)))
 
@@ -117,20 +121,34 @@ def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) ->
         if held:
             trainer.learn(np.frombuffer(b"".join(held), "<u2").astype(np.int64))
         if trainer.tokens:
-            yield pa.record_batch(
-                [pa.array([pickle.dumps(trainer.p)], pa.binary()), pa.array([trainer.tokens], pa.int64())], ["model", "tokens"]
-            )
+            yield packed(TaskContext.get().partitionId(), {k: v.astype(np.float64) * trainer.tokens for k, v in trainer.p.items()}, trainer.tokens)
+
+    def packed(lane: int, total: dict, tokens: int) -> pa.RecordBatch:
+        columns = [pa.array([lane], pa.int64()), pa.array([pickle.dumps(total)], pa.binary()), pa.array([tokens], pa.int64())]
+        return pa.record_batch(columns, ["lane", "model", "tokens"])
+
+    def added(rows: Iterator[tuple[bytes, int]]) -> tuple[dict, int]:
+        total, tokens = {k: np.zeros(v.shape) for k, v in first.items()}, 0
+        for model, n in rows:
+            tokens += n
+            for k, v in pickle.loads(model).items():
+                total[k] += v
+        return total, tokens
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, tokens = added((m.as_py(), n) for b in batches for m, n in zip(b["model"], b["tokens"].to_pylist(), strict=True))
+        if tokens:
+            yield packed(TaskContext.get().partitionId(), total, tokens)
 
     coded = chosen.select("mark", "text").mapInArrow(encode, "mark long, ids binary")
     dealt = coded.repartition(lanes, "mark").sortWithinPartitions("mark", "ids")
-    made = stage(dealt.mapInArrow(learn, "model binary, tokens long"), "lanes")
-    # One lane's model at a time is on the driver, which keeps their weighted sum.
-    total, weight = {k: np.zeros(v.shape) for k, v in first.items()}, 0
-    for row in made.toLocalIterator():
-        weight += row["tokens"]
-        for k, v in pickle.loads(row["model"]).items():
-            total[k] += row["tokens"] * v.astype(np.float64)
-    return {k: (v / weight).astype(np.float32) for k, v in total.items()} if weight else first
+    schema = "lane long, model binary, tokens long"
+    made = stage(dealt.mapInArrow(learn, schema), "lanes")
+    # Sums of about the root of the lanes' number are made in tasks; the driver adds these, one at a time.
+    grouped = made.repartition(math.isqrt(lanes), "lane").sortWithinPartitions("lane")
+    sums = stage(grouped.mapInArrow(merge, schema), "lane-sums")
+    total, tokens = added((row["model"], row["tokens"]) for row in sums.toLocalIterator())
+    return {k: (v / tokens).astype(np.float32) for k, v in total.items()} if tokens else first
 
 
 def score_documents(
