@@ -216,8 +216,21 @@ def parse_analysis(df: DataFrame, reply: str = "reply") -> DataFrame:
     )
 
 
-def analyze(notes: DataFrame, completer: Completer) -> DataFrame:
-    """Extract keywords, context and tags with a text model."""
+def analyze(notes: DataFrame, completer: Completer | None = None, n: int = 5) -> DataFrame:
+    """Extract keywords, context and tags with a text model.
+
+    Without one, the ``n`` most frequent words of a note are its keywords, and
+    context and tags are those of an empty reply.  Ids are unique.
+    """
+    if completer is None:
+        terms = frequent_terms(notes, n).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term_rank", "term"))).alias("_terms"))
+        none = F.array().cast(NO_STRINGS)
+        return (
+            notes.join(terms, "id", "left")
+            .withColumn("keywords", F.coalesce(F.transform("_terms", lambda t: t["term"]), none))
+            .withColumns({"context": F.lit("General"), "tags": none})
+            .select(*notes.columns, *[c for c in ("keywords", "context", "tags") if c not in notes.columns])
+        )
     asked = notes.withColumn("prompt", prompts.analysis_prompt(F.col("content")))
     return parse_analysis(complete(asked, completer)).drop("prompt", "reply")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.functions.text import turn_key
+from recallgrid.functions.text import note_id, turn_key
 
 
 def shard_filter(conversations: DataFrame, n: int, i: int, position: str = "conv_idx") -> DataFrame:
@@ -40,3 +40,15 @@ def with_turn_key(turns: DataFrame) -> DataFrame:
 def skip_processed_turns(turns: DataFrame, ledger: DataFrame) -> DataFrame:
     """Turns whose key the ledger ``(conv_id, turn_key)`` does not hold."""
     return drop_known(with_turn_key(turns), ledger, ["conv_id", "turn_key"])
+
+
+def ledger_of(turns: DataFrame, notes: DataFrame) -> DataFrame:
+    """The ledger ``(conv_id, turn_key)`` of the turns whose notes are stored."""
+    own = with_turn_key(turns).withColumn("id", note_id(F.col("conv_id"), F.col("turn_idx"), F.col("content")))
+    return keep_known(own, notes, ["id"]).select("conv_id", "turn_key").distinct()
+
+
+def completed_of(turns: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Conversations, ``(conv_id)``, all of whose turns are in the ledger."""
+    open_ones = skip_processed_turns(turns, ledger).select("conv_id")
+    return drop_known(turns.select("conv_id").distinct(), open_ones, ["conv_id"])

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from recallgrid.functions import text
 from recallgrid.functions.text import COVERAGE_THRESHOLD, let
+from recallgrid.sources.stages import stage
 
 # ---- fixed values: fields of a chunk object that may hold its text, best first
 CHUNK_TEXT_FIELDS = ["chunk_content", "content", "text", "raw", "value"]
@@ -152,10 +153,11 @@ def match_in_record(records: DataFrame, threshold: float = COVERAGE_THRESHOLD, n
 PIECES = f"([{text.WORD_CLASS}]+|[^{text.WORD_CLASS}]+)"
 GRAM = 3
 SURPLUS = 4
+EMPTY_SALTS = 256
 
 
-def _anchors(wanted: DataFrame, threshold: float) -> DataFrame:
-    """The rare tokens of every evidence, and how many of them a text must have.
+def _anchors(wanted: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame:
+    """The rarest tokens of every evidence in the corpus, and how many of them a text must have.
 
     Coverage allows ``m = n - ceil(threshold * n)`` of ``n`` token occurrences to
     be absent, and a substring match at most two (the first and the last may be
@@ -165,7 +167,9 @@ def _anchors(wanted: DataFrame, threshold: float) -> DataFrame:
     out texts that share a rare word by chance.
     """
     tokens = wanted.select("norm", "n", F.posexplode("tokens").alias("pos", "piece"))
-    seen = tokens.groupBy("piece").agg(F.count(F.lit(1)).alias("seen"))
+    asked = tokens.select("piece").distinct()
+    counted = pieces.join(asked, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("found"))
+    seen = asked.join(counted, "piece", "left").select("piece", F.coalesce("found", F.lit(0)).alias("seen"))
     order = Window.partitionBy("norm").orderBy("seen", F.desc(F.length("piece")), "pos")
     absent = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).cast("int")
     # One or two tokens: only coverage is decided here, substrings elsewhere.
@@ -231,8 +235,8 @@ def match_corpus(
     Candidates come from equi-joins on rare tokens, never from a product of the
     two tables, and every candidate is then checked on the whole texts.
     Evidences with equal normal form are matched once.  The chunks are cut into
-    pieces twice (for the vocabulary and for the join); only candidates' texts
-    are read again.
+    pieces once; these and the lookup are staged, so that a join's build side is
+    chosen by their true sizes.  Only candidates' texts are read again.
     """
     _checked(threshold)
     body = text.evidence_form(F.col("text"), nfkc)
@@ -249,8 +253,10 @@ def match_corpus(
         "doc_id",
         F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(PIECES), F.lit(1)))).alias("piece"),
     ).filter(F.col("piece") != " ")
-    lookup = _anchors(wanted, threshold).unionByName(
-        _short_anchors(pieces.select("piece").distinct(), wanted)
+    pieces = stage(pieces, "pieces")
+    lookup = stage(
+        _anchors(wanted, pieces, threshold).unionByName(_short_anchors(pieces.select("piece").distinct(), wanted)),
+        "lookup",
     )
     candidates = (
         pieces.join(lookup, "piece")
@@ -272,11 +278,14 @@ def match_corpus(
         .join(items, "norm")
         .select("doc_id", "item_id")
     )
-    # The empty evidence is part of every text.  Its key is taken from the row, as
-    # a constant would turn the join into a nested loop.
+    # The empty evidence is part of every text, so all these pairs are the result.
+    # Chunks are dealt by salt and only their ids are read.
+    salts = F.sequence(F.lit(0), F.lit(EMPTY_SALTS - 1)).cast("array<bigint>")
+    empty = items.filter(F.col("norm") == "").select("item_id", F.explode(salts).alias("salt"))
     everywhere = (
-        chunks.select("doc_id", F.substring("text", 1, 0).alias("norm"))
-        .join(items.filter(F.col("norm") == ""), "norm")
+        chunks.filter(F.col("text").isNotNull())
+        .select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(EMPTY_SALTS)).cast("long").alias("salt"))
+        .join(empty, "salt")
         .select("doc_id", "item_id")
     )
     return checked.unionByName(everywhere)

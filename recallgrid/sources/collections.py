@@ -62,9 +62,12 @@ class Collection:
     def add(self, notes: DataFrame) -> None:
         """Append the notes whose id the collection does not hold yet.
 
-        Of several new rows with one id a single one is kept.
+        Of several new rows with one id the last is kept, by sequence number and
+        then by content.
         """
-        new = self._place(notes.dropDuplicates(["id"]))
+        order = F.struct(*[F.col(c) for c in ("seq", "content") if c in notes.columns], F.xxhash64(*notes.columns))
+        last = notes.groupBy("id").agg(F.max_by(F.struct(*notes.columns), order).alias("_note"))
+        new = self._place(last.select("_note.*"))
         if self.exists():
             stored = self.spark.read.parquet(self.path).select("bucket", "id")
             new = new.join(stored, ["bucket", "id"], "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid.operators.matching import coerce_records
+from recallgrid.operators.ordered import sum_before
 from recallgrid.schemas import CORRUPT, DATASET, RETRIEVAL_RECORD
 
 
@@ -17,9 +18,9 @@ def _read_json(
 ) -> DataFrame:
     """Rows with ``source`` (their file) and ``position`` (their place in it).
 
-    JSON Lines files are split over tasks; positions are unique and in order
-    over the whole read.  An array file cannot be split: one task streams it,
-    and positions count from 0 in every file.
+    Positions count from 0 in every file, however it is split: the rows of every
+    split are counted in a pass of their own.  JSON Lines files are split over
+    tasks; an array file cannot be, so one task streams it.
     """
     wanted = [paths] if isinstance(paths, str) else list(paths)
     rows = (
@@ -29,16 +30,16 @@ def _read_json(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(wanted)
         .withColumn("source", F.col("_metadata.file_path"))
+        .withColumn("_split", F.col("_metadata.file_block_start"))
         .withColumn("position", F.monotonically_increasing_id())
     )
-    if lines:
-        return rows
-    # Several files may share a task, one after the other.
-    first = rows.groupBy("source").agg(F.min("position").alias("first"))
+    # A split lies in one task, which may read several; rows before it are summed along the file.
+    splits = rows.groupBy("source", "_split").agg(F.min("position").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    begins = sum_before(splits, ["source"], ["_split"], "_rows", "_begin").drop("_rows")
     return (
-        rows.join(first, "source")
-        .withColumn("position", F.col("position") - F.col("first"))
-        .drop("first")
+        rows.join(begins, ["source", "_split"])
+        .withColumn("position", F.col("position") - F.col("_first") + F.col("_begin"))
+        .drop("_split", "_first", "_begin")
     )
 
 

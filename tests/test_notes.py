@@ -169,6 +169,13 @@ def test_analysis_falls_back(spark):
     assert (rows["b"].keywords, rows["b"].context, rows["b"].tags) == ([], "General", [])
 
 
+def test_analysis_without_a_model(spark):
+    frame = spark.createDataFrame([("a", "fox hen fox owl"), ("b", "?!")], "id string, content string")
+    rows = {r.id: r for r in evolution.analyze(frame, n=2).collect()}
+    assert (rows["a"].keywords, rows["a"].context, rows["a"].tags) == (["fox", "hen"], "General", [])
+    assert rows["b"].keywords == []
+
+
 def test_empty_reply_has_the_shape_of_the_schema(spark):
     from recallgrid.schemas import DECISION
 

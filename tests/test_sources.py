@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.functions.vectors import letter_counts
-from recallgrid.operators import retrieval_metrics
+from recallgrid.operators import ledger, retrieval_metrics
+from recallgrid.operators.turns import explode_messages, pair_turns
 from recallgrid.plans import evaluate, index, retrieve
 from recallgrid.sources import collections, datasets, sinks
 
@@ -50,6 +51,25 @@ def test_lines_and_broken_rows(spark, tmp_path):
     assert [(r.position, r._corrupt) for r in bad.collect()] == [(1, "{broken")]
 
 
+@pytest.mark.parametrize("size", ["64", "1000", "10m"])
+def test_positions_do_not_depend_on_splits(spark, tmp_path, size):
+    for name, n in (("a", 60), ("b", 7)):
+        lines = [json.dumps({"dialogs": [], "qas": [{"question": f"{name}{i} {'x' * (i % 9)}"}]}) for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n\n".join(lines) + "\n", encoding="utf-8")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        good, _ = datasets.quarantine(datasets.read_dataset(spark, str(tmp_path), lines=True))
+        rows = good.select("source", "conv_id", F.col("qas")[0]["question"].alias("q")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 67
+    for r in rows:
+        assert r.conv_id == f"conv_{r.q.split()[0][1:]}" and r.source.endswith(f"{r.q[0]}.jsonl")
+
+
 def test_index_retrieve_evaluate(spark, dataset, tmp_path):
     notes = index.index_dataset(dataset, letter_counts)
     rows = notes.orderBy("seq").collect()
@@ -107,6 +127,16 @@ def test_ledgers_resume_indexing(spark, dataset):
     assert index.index_dataset(dataset, letter_counts, completed=done).count() == 0
 
 
+def test_ledgers_of_stored_notes(spark, dataset):
+    turns = pair_turns(explode_messages(dataset))
+    notes = index.index_dataset(dataset, letter_counts)
+    part = ledger.ledger_of(turns, notes.filter("seq <> 1"))
+    assert sorted(r.turn_key for r in part.collect()) == ["0_May", "2_"]
+    assert ledger.completed_of(turns, part).count() == 0
+    assert [r.seq for r in index.index_dataset(dataset, letter_counts, processed=part).collect()] == [1]
+    assert [r.conv_id for r in ledger.completed_of(turns, ledger.ledger_of(turns, notes)).collect()] == ["one"]
+
+
 def test_shapes_of_records(spark, tmp_path):
     path = tmp_path / "records.json"
     path.write_text(json.dumps([
@@ -137,6 +167,13 @@ def test_open_collection(spark, tmp_path, there, extend):
     assert opened.exists() and opened.read().count() == (1 if there else 0)
 
 
+def test_last_of_several_rows_with_an_id_is_kept(spark, tmp_path):
+    rows = [("c", "x", seq, f"text {seq}") for seq in (3, 9, 10, 1)]
+    coll = collections.open_collection(spark, str(tmp_path / "c"))
+    coll.add(spark.createDataFrame(rows, "conv_id string, id string, seq int, content string"))
+    assert [(r.seq, r.content) for r in coll.read().collect()] == [(10, "text 10")]
+
+
 def test_collection_life(spark, tmp_path):
     coll = collections.open_collection(spark, str(tmp_path / "c"), partitions=4)
     coll.add(some_notes(spark, "1", "2"))
