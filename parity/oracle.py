@@ -458,6 +458,31 @@ def renamed(names: list[str], suffix: str, source: str) -> None:
 renamed(["chunks", "hit", "per_k", "scores", "sums", "avgs", "long_avgs"], "sq", "sqranked")
 
 
+SHORT_EVIDENCES = """SELECT item_id || '-part' AS item_id, substr(text, 3, 5) AS text FROM benchmark
+    UNION ALL SELECT item_id || '-word', string_split(text, ' ')[1] FROM benchmark
+    UNION ALL SELECT item_id || '-pair', substr(text, 1, 14) FROM benchmark
+    UNION ALL SELECT 'empty-' || r_regionkey, '' FROM region"""
+
+
+def corpus_matches(evidences: str) -> str:
+    """Documents and the evidences (item_id, text) that they hold."""
+    return f"""WITH d AS MATERIALIZED (
+        SELECT doc_id, norm, list_distinct({words('norm')}) AS toks
+        FROM (SELECT doc_id, {norm('text')} AS norm FROM documents)),
+    b AS MATERIALIZED (
+        SELECT item_id, norm, {words('norm')} AS toks
+        FROM (SELECT item_id, {norm('text')} AS norm FROM ({evidences}))),
+    need AS MATERIALIZED (
+        SELECT item_id, len(toks) AS n, unnest(toks) AS tok FROM b),
+    have AS MATERIALIZED (SELECT doc_id, unnest(toks) AS tok FROM d),
+    share AS (
+        SELECT doc_id, item_id FROM need JOIN have USING (tok)
+        GROUP BY doc_id, item_id, n HAVING count(*) / n::DOUBLE >= 0.85)
+    SELECT doc_id, item_id FROM share
+    UNION
+    SELECT doc_id, item_id FROM d JOIN b ON contains(d.norm, b.norm)"""
+
+
 def build() -> dict[str, str]:
     cut = "list_filter(list_transform(string_split({x}, chr(10)), lambda x: {s}), lambda x: x <> '')"
     context = f"array_to_string({cut.format(x='chunk_text', s=strip('x'))}, chr(10))"
@@ -704,21 +729,8 @@ def build() -> dict[str, str]:
         "match_evidence": with_(
             ["hit"], "SELECT question_id, rank, rel AS n_held FROM hit"
         ),
-        "match_evidence_corpus": f"""WITH d AS MATERIALIZED (
-                   SELECT doc_id, norm, list_distinct({words('norm')}) AS toks
-                   FROM (SELECT doc_id, {norm('text')} AS norm FROM documents)),
-               b AS MATERIALIZED (
-                   SELECT item_id, norm, {words('norm')} AS toks
-                   FROM (SELECT item_id, {norm('text')} AS norm FROM benchmark)),
-               need AS MATERIALIZED (
-                   SELECT item_id, len(toks) AS n, unnest(toks) AS tok FROM b),
-               have AS MATERIALIZED (SELECT doc_id, unnest(toks) AS tok FROM d),
-               share AS (
-                   SELECT doc_id, item_id FROM need JOIN have USING (tok)
-                   GROUP BY doc_id, item_id, n HAVING count(*) / n::DOUBLE >= 0.85)
-               SELECT doc_id, item_id FROM share
-               UNION
-               SELECT doc_id, item_id FROM d JOIN b ON contains(d.norm, b.norm)""",
+        "match_evidence_corpus": corpus_matches("SELECT item_id, text FROM benchmark"),
+        "match_evidence_short": corpus_matches(SHORT_EVIDENCES),
         "skipped_no_evidence": with_(
             ["turns"], "SELECT conv_id, turn_idx FROM turns WHERE reply_text = ''"
         ),

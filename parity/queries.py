@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -479,6 +480,20 @@ def match_evidence_corpus(spark, sf):
     )
 
 
+@query
+def match_evidence_short(spark, sf):
+    """Parts of words, words, cut pairs of words and empty evidences."""
+    items, name = fx.table(spark, sf, "benchmark"), F.col("item_id").cast("string")
+    short = [
+        items.select(F.concat(name, F.lit("-part")).alias("item_id"), F.substring("text", 3, 5).alias("text")),
+        items.select(F.concat(name, F.lit("-word")), F.split("text", " ")[0]),
+        items.select(F.concat(name, F.lit("-pair")), F.substring("text", 1, 14)),
+        fx.table(spark, sf, "region").select(F.concat(F.lit("empty-"), F.col("r_regionkey").cast("string")), F.lit("")),
+    ]
+    documents = fx.texts(spark, sf, "documents").select("doc_id", "text")
+    return matching.match_corpus(documents, reduce(DataFrame.unionAll, short), nfkc=False)
+
+
 @query
 def skipped_no_evidence(spark, sf):
     """Turns without a reply have no evidence."""
