@@ -156,6 +156,7 @@ class Trainer:
                 g /= size
                 self.squares[k] += g * g
                 self.p[k] -= self.rate * g / np.sqrt(self.squares[k])
+        self.learn(ids[streams * length :])  # what streams of equal length left over
 
 
 def score(p: dict, ids: np.ndarray, sizes: np.ndarray, steps: int = 32, rows: int = 65_536) -> np.ndarray:

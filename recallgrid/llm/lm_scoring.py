@@ -5,7 +5,7 @@ The ``keep`` most frequent words travel to the tasks; what a document has
 beyond them goes through a join with the counts.  A gated recurrent model
 (``gated_model``) has the ``model_words`` most frequent words and one word for
 all others, whose probability is shared out by count plus one.  It is trained
-on ``share`` of the training documents, by truncated backpropagation in
+on all training documents, or on ``share`` of them by hash, by truncated backpropagation in
 tasks (``lanes`` at least, more as there are more tokens) whose parameters are
 summed in groups and then averaged; counts and statistics cover all of them.
 Documents are scored whole, states being carried from window to window.
@@ -38,7 +38,6 @@ KEEP = 100_000
 MODEL_WORDS = 2_048
 LANES = 8
 LANE_TOKENS = 4_000_000  # tokens aimed at in a lane
-SHARE = 0.25
 FLUSH = 1_000_000  # tokens held at a time
 END_WORD = ""  # no word is empty
 
@@ -101,8 +100,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) ->
     """Averaged parameters of at least ``lanes`` tasks; each reads its part of ``share`` of the documents."""
     first = gm.start(vocabulary.frequency)
     lanes = max(lanes, math.ceil(share * vocabulary.total / LANE_TOKENS))
-    mark = F.xxhash64("doc_id", "text")
-    chosen = docs.withColumn("mark", mark).filter(F.pmod("mark", F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
+    if share < 1:
+        chosen = chosen.filter(F.pmod("mark", F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +156,7 @@ def score_documents(
     keep: int = KEEP,
     model_words: int = MODEL_WORDS,
     lanes: int = LANES,
-    share: float = SHARE,
+    share: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

@@ -76,6 +76,16 @@ def test_base_scores_equal_brute_force(docs):
     assert lm_scoring.score_documents(docs([])).count() == 0
 
 
+def test_every_training_token_is_learned_from(docs):
+    trainer = gm.Trainer(gm.start(np.ones(70)), streams=32)
+    trainer.learn(np.random.default_rng(2).integers(0, 70, 5_003))
+    assert trainer.tokens == 5_003
+    rng = random.Random(6)
+    frame = docs([(i, prose(rng, rng.randrange(60))) for i in range(200)])
+    scores = [sorted((r.doc_id, r.score) for r in lm_scoring.score_documents(frame, lanes=2, **own).collect()) for own in ({}, {"share": 1.0})]
+    assert scores[0] == scores[1]
+
+
 def test_classifier_separates_held_out_junk(docs, llm_spark):
     rng = random.Random(5)
     rows = [(i, None if i == 0 else "" if i == 1 else prose(rng, 60) + "." if i % 2 else "!! ".join(["BUY"] * rng.randrange(5, 60))) for i in range(400)]
