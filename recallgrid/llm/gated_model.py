@@ -1,8 +1,9 @@
 """A small gated recurrent language model in numpy: training windows and whole-document scores.
 
-The vocabulary is cut by frequency into classes of equal size; a word's
-probability is that of its class times that within the class.  Word 0 is the
-end of a document, word 1 stands for all rarer words.
+The vocabulary is cut into classes of about equal frequency, so that a word
+costs about the root of the vocabulary's size; its probability is that of its
+class times that within the class.  Word 0 is the end of a document, word 1
+stands for all rarer words.
 """
 
 from __future__ import annotations
@@ -10,28 +11,34 @@ from __future__ import annotations
 import numpy as np
 
 END, RARE = 0, 1
-HIDDEN, CLASS = 16, 64
+HIDDEN = 16
+FIXED = "cuts"  # first words of the classes, which aren't trained
+LOGITS = 8_000_000  # class logits held at a time in scoring
+
+
+def balanced(frequency: np.ndarray) -> np.ndarray:
+    """First word of each class, and the number of words: classes of about equal frequency."""
+    mass = np.cumsum(frequency)
+    share = (mass - frequency) / mass[-1]
+    label = (share * np.ceil(1.5 * np.sqrt(len(frequency)))).astype(np.int64)
+    return np.concatenate(([0], np.flatnonzero(np.diff(label)) + 1, [len(frequency)]))
 
 
 def start(frequency: np.ndarray, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters before training: output biases give the unigram model."""
     rng = np.random.default_rng(seed)
     words = len(frequency)
-    classes = -(-words // CLASS)
-    grown = np.zeros(classes * CLASS)
-    grown[:words] = frequency + 1.0
-    by_class = grown.reshape(classes, CLASS)
-    with np.errstate(divide="ignore"):
-        class_bias = np.log(by_class.sum(axis=1))
-        word_bias = np.maximum(np.log(by_class), -1e4)
+    grown = frequency + 1.0
+    cuts = balanced(grown)
     made = {
         "into": rng.normal(0, 0.1, (words, 3 * hidden)),
         "back": rng.normal(0, 0.3 / np.sqrt(hidden), (hidden, 3 * hidden)),
         "bias": np.zeros(3 * hidden),
-        "class_w": np.zeros((hidden, classes)),
-        "class_b": class_bias,
-        "word_w": np.zeros((classes, hidden, CLASS)),
-        "word_b": word_bias,
+        "class_w": np.zeros((hidden, len(cuts) - 1)),
+        "class_b": np.log(np.add.reduceat(grown, cuts[:-1])),
+        "word_w": np.zeros((words, hidden)),
+        "word_b": np.log(grown),
+        FIXED: cuts,
     }
     return {k: v.astype(np.float32) for k, v in made.items()}
 
@@ -51,16 +58,12 @@ def step(p: dict, words: np.ndarray, h: np.ndarray) -> tuple:
     return new + z * (h - new), z, r, new, kept[:, 2 * n :]
 
 
-def by_class(targets: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    own = targets // CLASS
-    return np.argsort(own, kind="stable"), np.searchsorted(np.sort(own), np.arange(classes + 1))
-
-
 def log_probabilities(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
     """Natural log of every target's probability; with ``grads``, also the states' gradient."""
     rows = np.arange(len(targets))
-    classes = p["class_w"].shape[1]
-    own = targets // CLASS
+    cuts = np.rint(p[FIXED]).astype(np.int64)
+    classes = len(cuts) - 1
+    own = np.repeat(np.arange(classes), np.diff(cuts))[targets]
     logits = states @ p["class_w"] + p["class_b"]
     logits -= logits.max(axis=1, keepdims=True)
     picked = logits[rows, own]
@@ -74,11 +77,14 @@ def log_probabilities(p: dict, states: np.ndarray, targets: np.ndarray, grads: d
         grads["class_w"] += states.T @ logits
         grads["class_b"] += logits.sum(axis=0)
         d_states = logits @ p["class_w"].T
-    order, cuts = by_class(targets, classes)
-    for c in np.flatnonzero(np.diff(cuts)):
-        mine = order[cuts[c] : cuts[c + 1]]
-        h, at, place = states[mine], np.arange(len(mine)), targets[mine] % CLASS
-        logits = h @ p["word_w"][c] + p["word_b"][c]
+    order = np.argsort(own, kind="stable")
+    ends = np.cumsum(np.bincount(own, minlength=classes))
+    # a class of one word has probability one within
+    for c in np.flatnonzero((np.diff(ends, prepend=0) > 0) & (np.diff(cuts) > 1)).tolist():
+        mine = order[ends[c - 1] if c else 0 : ends[c]]
+        members = slice(cuts[c], cuts[c + 1])
+        h, at, place = states[mine], np.arange(len(mine)), targets[mine] - cuts[c]
+        logits = h @ p["word_w"][members].T + p["word_b"][members]
         logits -= logits.max(axis=1, keepdims=True)
         picked = logits[at, place]
         np.exp(logits, out=logits)
@@ -87,9 +93,9 @@ def log_probabilities(p: dict, states: np.ndarray, targets: np.ndarray, grads: d
         if grads is not None:
             logits /= total[:, None]
             logits[at, place] -= 1
-            grads["word_w"][c] += h.T @ logits
-            grads["word_b"][c] += logits.sum(axis=0)
-            d_states[mine] += logits @ p["word_w"][c].T
+            grads["word_w"][members] += logits.T @ h
+            grads["word_b"][members] += logits.sum(axis=0)
+            d_states[mine] += logits @ p["word_w"][members]
     return out, d_states
 
 
@@ -107,7 +113,7 @@ def window(p: dict, words: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tu
         h_new, *rest = step(p, words[t], h)
         tape.append((go_on, h, *rest))
         h = states[t] = h_new
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    grads = {k: np.zeros(v.shape, v.dtype) for k, v in p.items()}
     logs, d_states = log_probabilities(p, states.reshape(-1, n), targets.ravel(), grads)
     d_states = d_states.reshape(steps, streams, n)
     d_entered = np.empty((steps, streams, 3 * n), np.float32)
@@ -152,10 +158,15 @@ class Trainer:
             loss, h, grads = window(self.p, words[at : at + self.steps], targets[at : at + self.steps], h)
             size = words[at : at + self.steps].size
             self.tokens, self.loss = self.tokens + size, self.loss + loss
+            read = np.unique(words[at : at + self.steps])
             for k, g in grads.items():
-                g /= size
-                self.squares[k] += g * g
-                self.p[k] -= self.rate * g / np.sqrt(self.squares[k])
+                if k == FIXED:
+                    continue
+                own = read if k == "into" else slice(None)  # other rows have no gradient
+                g = g[own] / size
+                squares = self.squares[k][own] + g * g
+                self.squares[k][own] = squares
+                self.p[k][own] -= self.rate * g / np.sqrt(squares)
         self.learn(ids[streams * length :])  # what streams of equal length left over
 
 
@@ -176,8 +187,9 @@ def score(p: dict, ids: np.ndarray, sizes: np.ndarray, steps: int = 32, rows: in
     def flush() -> None:
         if held:
             states, targets, who = (np.concatenate(x) for x in zip(*held, strict=True))
-            logs, _ = log_probabilities(p, states, targets)
-            out[order] += np.bincount(who, logs, len(sizes))
+            each = max(1, LOGITS // p["class_w"].shape[1])
+            logs = [log_probabilities(p, states[a : a + each], targets[a : a + each])[0] for a in range(0, len(who), each)]
+            out[order] += np.bincount(who, np.concatenate(logs), len(sizes))
             held.clear()
 
     pending = 0

@@ -3,8 +3,10 @@
 Every training document is counted: tokens are summed per task, then by word.
 The ``keep`` most frequent words travel to the tasks; what a document has
 beyond them goes through a join with the counts.  A gated recurrent model
-(``gated_model``) has the ``model_words`` most frequent words and one word for
-all others, whose probability is shared out by count plus one.  It is trained
+(``gated_model``) has every word that is counted at least ``least_count`` times
+(or the ``model_words`` most frequent ones), so its vocabulary grows with the
+corpus, and one word for all others, whose probability is shared out by count
+plus one.  It is trained
 on all training documents, or on ``share`` of them by hash, by truncated backpropagation in
 tasks (``lanes`` at least, more as there are more tokens) whose parameters are
 summed in groups and then averaged; counts and statistics cover all of them.
@@ -19,9 +21,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
-import pickle
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,12 @@ from recallgrid.llm.worker import id_type, texts_of
 
 FOLDS, HELD = 7, 2
 KEEP = 100_000
-MODEL_WORDS = 2_048
+LEAST = 5  # words seen less often have too few examples to be told apart
 LANES = 8
-LANE_TOKENS = 4_000_000  # tokens aimed at in a lane
+LANE_TOKENS = 4_000_000  # tokens aimed at in a lane, or so many for every word of the model
+WORD_TOKENS = 128
+PART = 262_144  # parameters summed at a time
+STREAMS = 512
 FLUSH = 1_000_000  # tokens held at a time
 END_WORD = ""  # no word is empty
 
@@ -54,6 +60,11 @@ def as_text(word: bytes) -> str:
     return word.decode("utf-8", "replace")
 
 
+def least_count(total: int) -> int:
+    """How often a word of the model occurs: the root of the tokens over 64, so words grow with about the root."""
+    return max(LEAST, math.ceil(math.sqrt(total) / 64))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of ``docs``, with the end of each document as the empty word."""
 
@@ -99,62 +110,68 @@ class Vocabulary:
 def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) -> dict[str, np.ndarray]:
     """Averaged parameters of at least ``lanes`` tasks; each reads its part of ``share`` of the documents."""
     first = gm.start(vocabulary.frequency)
-    lanes = max(lanes, math.ceil(share * vocabulary.total / LANE_TOKENS))
+    size = max(LANE_TOKENS, WORD_TOKENS * len(vocabulary.frequency))
+    lanes = max(lanes, math.ceil(share * vocabulary.total / size))
+    trained = [k for k in first if k != gm.FIXED]
     chosen = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
     if share < 1:
         chosen = chosen.filter(F.pmod("mark", F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [np.array(vocabulary.ids(words(t)), "<u2").tobytes() for t in batch["text"].to_pylist()]
+            coded = [np.array(vocabulary.ids(words(t)), "<u4").tobytes() for t in batch["text"].to_pylist()]
             yield pa.record_batch([batch["mark"], pa.array(coded, pa.binary())], ["mark", "ids"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, held, size = gm.Trainer(first), [], 0
+        trainer, held, size = gm.Trainer(first, streams=STREAMS), [], 0
         for batch in batches:
             for ids in batch["ids"].to_pylist():
                 held.append(ids)
-                size += len(ids) // 2
+                size += len(ids) // 4
                 if size >= FLUSH:
-                    trainer.learn(np.frombuffer(b"".join(held), "<u2").astype(np.int64))
+                    trainer.learn(np.frombuffer(b"".join(held), "<u4").astype(np.int64))
                     held, size = [], 0
         if held:
-            trainer.learn(np.frombuffer(b"".join(held), "<u2").astype(np.int64))
+            trainer.learn(np.frombuffer(b"".join(held), "<u4").astype(np.int64))
         if trainer.tokens:
-            yield packed(TaskContext.get().partitionId(), {k: v.astype(np.float64) * trainer.tokens for k, v in trainer.p.items()}, trainer.tokens)
-
-    def packed(lane: int, total: dict, tokens: int) -> pa.RecordBatch:
-        columns = [pa.array([lane], pa.int64()), pa.array([pickle.dumps(total)], pa.binary()), pa.array([tokens], pa.int64())]
-        return pa.record_batch(columns, ["lane", "model", "tokens"])
+            flat = np.concatenate([trainer.p[k].ravel() for k in trained])
+            for part, at in enumerate(range(0, len(flat), PART)):
+                yield packed(part, TaskContext.get().partitionId(), flat[at : at + PART], trainer.tokens)
 
-    def added(rows: Iterator[tuple[bytes, int]]) -> tuple[dict, int]:
-        total, tokens = {k: np.zeros(v.shape) for k, v in first.items()}, 0
-        for model, n in rows:
-            tokens += n
-            for k, v in pickle.loads(model).items():
-                total[k] += v
-        return total, tokens
+    def packed(part: int, lane: int, values: np.ndarray, tokens: int) -> pa.RecordBatch:
+        columns = [pa.array([x], t) for x, t in ((part, pa.int64()), (lane, pa.int64()), (values.tobytes(), pa.binary()), (tokens, pa.int64()))]
+        return pa.record_batch(columns, ["part", "lane", "model", "tokens"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens = added((m.as_py(), n) for b in batches for m, n in zip(b["model"], b["tokens"].to_pylist(), strict=True))
-        if tokens:
-            yield packed(TaskContext.get().partitionId(), total, tokens)
+        """The average of each part, weighted by tokens; lanes of a part come in a row."""
+        rows = (r for b in batches for r in zip(*(b[k].to_pylist() for k in ("part", "model", "tokens")), strict=True))
+        for part, own in groupby(rows, itemgetter(0)):
+            total, tokens = 0.0, 0
+            for _, values, n in own:
+                total, tokens = total + np.frombuffer(values, "<f4").astype(np.float64) * n, tokens + n
+            yield packed(part, -1, (total / tokens).astype("<f4"), tokens)
 
     coded = chosen.select("mark", "text").mapInArrow(encode, "mark long, ids binary")
-    dealt = coded.repartition(lanes, "mark").sortWithinPartitions("mark", "ids")
-    schema = "lane long, model binary, tokens long"
+    # one lane a task, as each task writes a whole model
+    lane = F.pmod(F.hash("mark"), F.lit(lanes)).cast("int")
+    dealt = coded.withColumn("lane", lane).repartitionById(lanes, "lane").drop("lane").sortWithinPartitions("mark", "ids")
+    schema = "part long, lane long, model binary, tokens long"
     made = stage(dealt.mapInArrow(learn, schema), "lanes")
-    # Sums of about the root of the lanes' number are made in tasks; the driver adds these, one at a time.
-    grouped = made.repartition(math.isqrt(lanes), "lane").sortWithinPartitions("lane")
+    parts = -(-sum(first[k].size for k in trained) // PART)
+    grouped = made.repartition(parts, "part").sortWithinPartitions("part", "lane")
     sums = stage(grouped.mapInArrow(merge, schema), "lane-sums")
-    total, tokens = added((row["model"], row["tokens"]) for row in sums.toLocalIterator())
-    return {k: (v / tokens).astype(np.float32) for k, v in total.items()} if tokens else first
+    done = {row["part"]: row["model"] for row in sums.toLocalIterator()}
+    if not done:
+        return first
+    flat = np.frombuffer(b"".join(done[k] for k in sorted(done)), "<f4")
+    cuts = np.cumsum([first[k].size for k in trained])[:-1]
+    return first | {k: v.reshape(first[k].shape) for k, v in zip(trained, np.split(flat, cuts), strict=True)}
 
 
 def score_documents(
     df: DataFrame,
     keep: int = KEEP,
-    model_words: int = MODEL_WORDS,
+    model_words: int | None = None,
     lanes: int = LANES,
     share: float = 1.0,
     id_col: str = "doc_id",
@@ -167,6 +184,9 @@ def score_documents(
     counts = stage(count_words(taught), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
+    if model_words is None:
+        model_words = 2 + counts.filter((F.col("word") != END_WORD) & (F.col("n") >= least_count(total))).count()
+        keep = max(keep, model_words)
     # the end of a document, which every text needs, and at most keep other words
     ends = counts.filter(F.col("word") == END_WORD)
     frequent = counts.filter(F.col("word") != END_WORD).orderBy(F.desc("n"), "word").limit(keep)

@@ -86,6 +86,19 @@ def test_every_training_token_is_learned_from(docs):
     assert scores[0] == scores[1]
 
 
+def test_the_model_names_every_word_of_enough_examples(docs, monkeypatch):
+    held = []
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: held.append(a[1]) or train(*a))
+    rows = [(None, " ".join(f"w{i}" for i in range(2_500)) + (" seldom" if n < 4 else "")) for n in range(6)]
+    assert all(r.score < 0 for r in lm_scoring.score_documents(docs(rows), lanes=2).collect())
+    assert set(held[0].model) == {f"w{i}".encode() for i in range(2_500)}
+    assert lm_scoring.least_count(10**6) < lm_scoring.least_count(10**8) < 10 * lm_scoring.least_count(10**6)
+    p = gm.start(1e6 / np.arange(1, 2_503))
+    mass = np.add.reduceat(1e6 / np.arange(1, 2_503), p[gm.FIXED][:-1].astype(int))
+    assert np.diff(p[gm.FIXED]).max() > 100 and np.median(mass) < 3 * mass.min() and len(mass) < 100
+
+
 def test_classifier_separates_held_out_junk(docs, llm_spark):
     rng = random.Random(5)
     rows = [(i, None if i == 0 else "" if i == 1 else prose(rng, 60) + "." if i % 2 else "!! ".join(["BUY"] * rng.randrange(5, 60))) for i in range(400)]
