@@ -6,9 +6,13 @@ of no window can take no part in a match).  A window is searched from its
 rarest token in that index: the token's positions, less its place in the
 window, are candidate starts, which are intersected with the lists of the
 window's other tokens, rarest first.  What is left are exact phrase matches.
-Proximity matches need only the three rarest tokens of a window, each within
-``slop`` words of its place.  All windows are searched together, so a task
-takes a few passes over arrays and nothing is shuffled.
+A proximity match is a place in a document where all words of a window lie
+within ``slop`` words of their places; one may be missing if the window has
+``SPARED`` words or more.  Candidates come from the two rarest words, one of
+which must be there (from the rarest where none may miss), so whichever words
+these are, no match is lost: results don't depend on how documents are dealt
+to tasks.  All windows are searched together, so a task takes a few passes
+over arrays and nothing is shuffled.
 
 Test items are the stated query set.  They travel to the tasks in blocks of at
 most ``block_words`` words; results of several blocks are merged per document.
@@ -36,6 +40,7 @@ from recallgrid.llm.worker import id_type, texts_of
 BLOCK_WORDS = 1_000_000
 INDEX_WORDS = 2_000_000  # document words in one index
 SLOP = 2
+SPARED = 8  # words of a window of which one may be missing in a proximity match
 CANDIDATES = 2_000_000  # candidate starts held at a time, but for one window's own list
 # Letters, digits and all bytes of characters beyond ASCII are parts of words.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -73,43 +78,58 @@ class Index:
         self.counts = np.bincount(coded[known], minlength=n_tokens)
         self.starts = np.concatenate(([0], np.cumsum(self.counts)))
         self.keys = coded[self.positions] * len(coded) + self.positions
-
-    def near(self, token: np.ndarray, at: np.ndarray, slop: int) -> np.ndarray:
-        """Whether the token's list has a position within ``slop`` of ``at``."""
-        low = token * len(self.coded) + np.maximum(at - slop, 0)
-        high = token * len(self.coded) + np.minimum(at + slop, len(self.coded) - 1)
-        place = np.searchsorted(self.keys, low)
+        self.ends = np.flatnonzero(coded == -2)  # a separator lies behind each document
+        self.begins = np.concatenate(([0], self.ends + 1))
+
+    def near(self, token: np.ndarray, at: np.ndarray, slop: int, doc: np.ndarray) -> np.ndarray:
+        """Whether the token's list has a position of the document within ``slop`` of ``at``."""
+        low = np.maximum(at - slop, self.begins[doc])
+        high = token * len(self.coded) + np.minimum(at + slop, self.ends[doc] - 1)
+        place = np.searchsorted(self.keys, token * len(self.coded) + low)
         found = np.minimum(place, len(self.keys) - 1)
         return (place < len(self.keys)) & (self.keys[found] <= high)
 
     def search(self, windows: Windows, slop: int) -> tuple[np.ndarray, ...]:
-        """Window and start of exact matches, then of proximity matches."""
-        width = windows.tokens.shape[1]
+        """Window and start of exact matches, then window and document of proximity matches."""
         nothing = np.zeros(0, np.int64)
         if not len(windows.tokens) or not len(self.keys):
             return nothing, nothing, nothing, nothing
         frequency = np.where(windows.tokens >= 0, self.counts[windows.tokens], np.iinfo(np.int64).max)
         rarest = np.argsort(frequency, axis=1, kind="stable")
         every = np.flatnonzero(frequency.min(axis=1) > 0)
-        lists = frequency[every, rarest[every, 0]]
-        # Candidate starts are held for some windows at a time.
+        exact = [self.exact(windows, rarest, own) for own in self.some(every, frequency[every, rarest[every, 0]])]
+        spare = (windows.size >= SPARED).astype(np.int64)
+        near = []
+        for step in (0, 1):
+            # a window is left out if more of its words are nowhere than may be missing
+            able = (windows.size > 2) & (spare >= step) & ((frequency == 0).sum(axis=1) <= spare)
+            able = np.flatnonzero(able)
+            lists = frequency[able, rarest[able, min(step, windows.tokens.shape[1] - 1)]]
+            near += [self.close(windows, rarest, own, step, slop) for own in self.some(able, lists)]
+        parts = [[np.concatenate([nothing, *c]) for c in zip(*found, strict=True)] or [nothing] * 2 for found in (exact, near)]
+        return *parts[0], *parts[1]
+
+    @staticmethod
+    def some(windows: np.ndarray, lists: np.ndarray) -> list[np.ndarray]:
+        """Windows in groups, so that candidate starts are held for some at a time."""
         cuts = np.flatnonzero(np.diff(np.cumsum(lists) // CANDIDATES)) + 1
-        found = [self.search_some(windows, rarest, own, slop) for own in np.split(every, cuts) if len(own)]
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (nothing,) * 4
+        return [own for own in np.split(windows, cuts) if len(own)]
 
-    def search_some(
-        self, windows: Windows, rarest: np.ndarray, window: np.ndarray, slop: int
-    ) -> tuple[np.ndarray, ...]:
-        width, last = windows.tokens.shape[1], len(self.coded) - 1
-        anchor = rarest[window, 0]
+    def starts_of(self, windows: Windows, window: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each position of each window's anchor: which window, and the position."""
         token = windows.tokens[window, anchor]
         lists = self.counts[token]
         which = np.repeat(np.arange(len(window)), lists)
         within = np.arange(len(which)) - np.repeat(np.cumsum(lists) - lists, lists)
-        start = self.positions[self.starts[token][which] + within] - anchor[which]
-        window = window[which]
+        return which, self.positions[self.starts[token][which] + within]
+
+    def exact(self, windows: Windows, rarest: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width, last = windows.tokens.shape[1], len(self.coded) - 1
+        anchor = rarest[window, 0]
+        which, at = self.starts_of(windows, window, anchor)
+        window, start = window[which], at - anchor[which]
         inside = (start >= 0) & (start + windows.size[window] <= len(self.coded))
-        near_w, near_s = window, start = window[inside], start[inside]
+        window, start = window[inside], start[inside]
         for step in range(1, width):
             if not len(window):
                 break
@@ -117,20 +137,43 @@ class Index:
             wanted = windows.tokens[window, place]
             same = (wanted < 0) | (self.coded[np.minimum(start + place, last)] == wanted)
             window, start = window[same], start[same]
-        for step in (1, 2):
-            long = windows.size[near_w] > 2
-            near_w, near_s = near_w[long], near_s[long]
-            if len(near_w):
-                place = rarest[near_w, step]
-                close = self.near(windows.tokens[near_w, place], near_s + place, slop)
-                near_w, near_s = near_w[close], near_s[close]
-        return window, start, near_w, near_s
+        return window, start
+
+    def close(
+        self, windows: Windows, rarest: np.ndarray, window: np.ndarray, step: int, slop: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        anchor = rarest[window, step]
+        which, at = self.starts_of(windows, window, anchor)
+        window, start = window[which], at - anchor[which]
+        doc = np.searchsorted(self.ends, at, side="right")
+        # The anchor may itself be out of place by ``slop``: others are off by twice that at most.
+        window, start, doc = self.all_near(windows, rarest, window, start, doc, 2 * slop)
+        moves = np.arange(-slop, slop + 1)
+        window, doc = np.repeat(window, len(moves)), np.repeat(doc, len(moves))
+        start = (start[:, None] + moves).ravel()
+        window, _, doc = self.all_near(windows, rarest, window, start, doc, slop)
+        pairs = np.unique(np.stack([window, doc], axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def all_near(self, windows: Windows, rarest: np.ndarray, window, start, doc, slop: int) -> tuple[np.ndarray, ...]:
+        """Candidates of which all words but the spare one are within ``slop`` of their places."""
+        spare = (windows.size[window] >= SPARED).astype(np.int64)
+        for step in range(windows.tokens.shape[1]):
+            if not len(window):
+                break
+            place = rarest[window, step]
+            wanted = windows.tokens[window, place]
+            there = (wanted < 0) | self.near(np.maximum(wanted, 0), start + place, slop, doc)
+            spare = spare - ~there
+            left = spare >= 0
+            window, start, spare, doc = window[left], start[left], spare[left], doc[left]
+        return window, start, doc
 
 
 def judged(coded: np.ndarray, ends: np.ndarray, windows: Windows, slop: int) -> list[tuple]:
     """For each document: words, hit words, hit positions as [from, to) pairs, items, near items."""
     index = Index(coded, len(windows.vocabulary))
-    window, start, near_w, near_s = index.search(windows, slop)
+    window, start, near_w, near_d = index.search(windows, slop)
     size = windows.size[window]
     change = np.zeros(len(coded) + 1, np.int64)
     np.add.at(change, start, 1)
@@ -141,10 +184,7 @@ def judged(coded: np.ndarray, ends: np.ndarray, windows: Windows, slop: int) ->
     totals = hits[ends] - hits[begins] if len(ends) else []
     # A match can't cross documents: a separator lies behind each.
     found: dict[int, tuple[set, set]] = {}
-    same = np.searchsorted(ends, near_s, side="right") == np.searchsorted(ends, near_s + windows.size[near_w] - 1, side="right")
-    near_w, near_s = near_w[same], near_s[same]
-    for slot, own, at in ((0, window, start), (1, near_w, near_s)):
-        doc = np.searchsorted(ends, at, side="right")
+    for slot, own, doc in ((0, window, np.searchsorted(ends, start, side="right")), (1, near_w, near_d)):
         pairs = np.unique(doc * (len(windows.names) + 1) + windows.item[own])
         for pair in pairs.tolist():
             d, item = divmod(pair, len(windows.names) + 1)

@@ -52,6 +52,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(found)
 
 
+def op6_proximity_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "near_items")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(documents, F.col("source"))
@@ -82,6 +87,7 @@ QUERIES = {
         op4_line_dedup,
         op5_token_counts,
         op6_benchmark_decontamination,
+        op6_proximity_passages,
         op7_lm_scoring,
         op8_url_filters,
         op9_quality_rules,

@@ -58,6 +58,43 @@ def test_proximity_matches_are_reported_apart(docs, llm_spark):
     assert [(s["from"], s["to"]) for s in rows[1].spans] == [(0, 13)]
 
 
+def near_by_hand(text, items):
+    own, found = words(text), set()
+    for item, t in items:
+        ws = words(t)
+        for k in range(max(1, len(ws) - 12)):
+            window = ws[k : k + 13]
+            for s in range(-13, len(own) + 13) if len(window) > 2 else ():
+                missing = sum(w not in own[max(0, s + i - 2) : max(0, s + i + 3)] for i, w in enumerate(window))
+                if missing <= (len(window) >= 8):
+                    found.add(str(item))
+                    break
+    return found
+
+
+def test_proximity_equals_brute_force_however_documents_are_dealt(docs, llm_spark, monkeypatch):
+    monkeypatch.setattr(dc, "CANDIDATES", 50)
+    rng = random.Random(9)
+    own = [f"w{i}" for i in range(60)]
+    items = [(i, prose(rng, rng.choice([3, 7, 8, 13, 16]), own)) for i in range(10)] + [(20, " ".join(own[:13]))]
+    rows = [(1, " ".join(own[:12])), (2, " ".join(own[1:13])), (3, " ".join(own[:5])), (4, " ".join(own[5:13]))]
+    for i in range(60):
+        near = words(items[i % 11][1])
+        for _ in range(i % 4):
+            at = rng.randrange(len(near))
+            near[at : at + 1] = rng.choice([["other"], [rng.choice(own)], [], [near[at], "more"]])
+        rows.append((10 + i, " ".join([prose(rng, rng.randrange(4), own), *near, prose(rng, rng.randrange(4), own)])))
+    bench = llm_spark.createDataFrame(items, "item_id long, text string")
+    want = None
+    for parts, block in ((1, 10**6), (7, 10**6), (64, 40)):
+        found = dc.find_passages(docs(rows).repartition(parts), bench, block_words=block).collect()
+        if want is None:
+            exact = {r.doc_id: set(r["items"]) for r in found}
+            want = {i: near_by_hand(t, items) - exact[i] for i, t in rows}
+            assert sum(map(len, want.values())) > 20
+        assert {r.doc_id: set(r.near_items) for r in found} == want
+
+
 def test_empty_tables(docs, llm_spark):
     none = llm_spark.createDataFrame([], "item_id long, text string")
     assert dc.report(dc.find_passages(docs([]), none)).count() == 0
