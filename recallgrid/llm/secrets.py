@@ -1,12 +1,14 @@
 """Secrets in whole texts: fixed patterns, and a token-efficiency test for random strings.
 
 Fixed patterns give ``assign`` (a named value), ``access`` (a key id) and
-``hex`` spans.  The efficiency test looks at every other run of key characters:
-natural words come out of a tiktoken vocabulary at four or more characters a
-token, random strings at about two, so a run with few characters per token is
-reported as ``random``.  Known digests and identifiers are excluded first:
-whole hex digests, UUIDs, numbers and dates, and runs whose parts are plain
-words (paths, snake_case, camelCase).
+``hex`` spans.  The efficiency test looks at every other run of 16 or more key
+characters: natural words come out of a tiktoken vocabulary at four or more
+characters a token, random strings at about two, so a run that without its
+separators has few characters per token is reported as ``random``, whatever the
+case of its letters.  Known digests and identifiers are excluded: whole hex
+digests, UUIDs, numbers and dates, and runs of several parts that are each a
+number or a single token of letters (paths, snake_case; so ``to-be-or-not-to-be``
+is none, but neither are random groups that all happen to be tokens).
 
 Spans count code points, the end excluded.  A null or empty text has none;
 repeated rows are searched each; an empty table gives an empty result; other
@@ -34,15 +36,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 KNOWN = re.compile(
     r"(?:sha\d+[-:=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|[0-9+/_.=-]+"
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9.+-]+Z?"
 )
 PART = re.compile(r"[A-Za-z0-9]+")
-# digits are taken as a whole, so that a long run of them is tried in one way only
-PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]++)(?:[A-Z][a-z]{2,}+|[0-9]++)*+")
 MAX_RATIO = 2.4
 PIECE = 4_096  # characters encoded at a time, for runs of any length
 
@@ -65,13 +66,14 @@ def is_random(run: str, coder: tiktoken.Encoding, max_ratio: float) -> bool:
     if KNOWN.fullmatch(run):
         return False
     parts = PART.findall(run)
-    odd = [p for p in parts if not (PLAIN.fullmatch(p) or len(p) < 8)]
-    mixed = [p for p in odd if sum((any(c.islower() for c in p), any(c.isupper() for c in p), any(c.isdigit() for c in p))) > 1]
-    if not mixed:  # words in any order, or one kind of letter only
-        return False
-    joined = "".join(mixed)
+    joined = "".join(parts)
     tokens = sum(len(coder.encode_ordinary(joined[i : i + PIECE])) for i in range(0, len(joined), PIECE))
-    return len(joined) < max_ratio * tokens
+    return len(joined) < max_ratio * tokens and not is_name(parts, coder)
+
+
+def is_name(parts: list[str], coder: tiktoken.Encoding) -> bool:
+    """Whether a run is an identifier: words between separators, each a single token of letters, or a number."""
+    return len(parts) > 1 and all(p.isdigit() or (p.isalpha() and len(p) < PIECE and len(coder.encode_ordinary(p)) == 1) for p in parts)
 
 
 def spans_of(text: str, coder: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int, int]]:

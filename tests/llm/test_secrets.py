@@ -53,6 +53,19 @@ def test_random_strings_are_found_and_known_shapes_are_not(docs):
     assert all(("random" not in [k for k, _, _ in got[100 + i]]) for i in range(len(known)))
 
 
+def test_the_ratio_decides_on_grouped_and_single_case_and_shorter_keys():
+    coder = secrets.encoding(RANKS, P.PATTERN)
+    rng = random.Random(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = ["A1B2C-D3E4F-G5H6I-J7K8L", "kq7x-9zvb-w3jr-p8ty"]
+    keys += ["".join(rng.choice(own) for _ in range(n)) for own in (lower, upper, upper + digits, lower + upper) for n in (16, 19, 40) for _ in range(20)]
+    keys += ["".join(rng.choice(lower) for _ in range(8)) + "20240117" for _ in range(20)]
+    for key in keys:
+        assert secrets.spans_of(f"here {key} there", coder, secrets.MAX_RATIO) == [(5, 3, 5 + len(key))], key
+    for name in ("to-be-or-not-to-be", "www.example.com/index.html", "HTTPServerRequestHandler", "2024-01-02T10.11.12Z", "a-b-c-d-e-f-g-h-i-j"):
+        assert secrets.spans_of(f"here {name} there", coder, secrets.MAX_RATIO) == [], name
+
+
 def test_work_stays_linear_in_long_runs_and_many_spans():
     coder = secrets.encoding(RANKS, P.PATTERN)
     digits = "abc" + "1" * 5_000 + "X_" + "a" * 20
