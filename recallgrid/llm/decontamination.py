@@ -1,10 +1,10 @@
 """Benchmark passages in training documents, through a positional inverted index.
 
-The index is partitioned by document: a task stores, for its documents, the
-positions of every token that some test window has, sorted by token (a token
+The index is transient and partitioned by document: a task holds, for about
+``INDEX_WORDS`` words of its documents at a time, the positions of every token that some test window has, sorted by token (a token
 of no window can take no part in a match).  A window is searched from its
 rarest token in that index: the token's positions, less its place in the
-window, are candidate starts, which are intersected with the lists of the
+window, are candidate starts, at which the text itself is compared with the
 window's other tokens, rarest first.  What is left are exact phrase matches.
 A proximity match is a place in a document where all words of a window lie
 within ``slop`` words of their places; one may be missing if the window has
@@ -264,7 +264,8 @@ def find_passages(
     # Written once, so that a row has the same number in every block's pass.
     numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     keys = ["doc_id", "_row"]
-    parts = [match_block(numbered, items_of(b), width, slop, keys) for b in range(blocks)]
+    # Each block is matched and written before the next is read, so the driver holds one.
+    parts = [stage(match_block(numbered, items_of(b), width, slop, keys), "block") for b in range(blocks)]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

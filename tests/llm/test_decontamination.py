@@ -95,6 +95,17 @@ def test_proximity_equals_brute_force_however_documents_are_dealt(docs, llm_spar
         assert {r.doc_id: set(r.near_items) for r in found} == want
 
 
+def test_one_block_is_held_at_a_time(docs, llm_spark, monkeypatch):
+    seen = []
+    match, stage = dc.match_block, dc.stage
+    monkeypatch.setattr(dc, "match_block", lambda *a: seen.append("read") or match(*a))
+    monkeypatch.setattr(dc, "stage", lambda df, name: seen.append(name) or stage(df, name))
+    bench = llm_spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(6)], "item_id long, text string")
+    found = dc.find_passages(docs([(1, "a1 b1 c1"), (2, "x")]), bench, block_words=6).collect()
+    assert {r.doc_id: r["items"] for r in found} == {1: ["1"], 2: []}
+    assert seen == ["numbered", *["read", "block"] * 3]
+
+
 def test_empty_tables(docs, llm_spark):
     none = llm_spark.createDataFrame([], "item_id long, text string")
     assert dc.report(dc.find_passages(docs([]), none)).count() == 0
