@@ -18,6 +18,7 @@ from recallgrid.llm import (
     secrets,
     token_counts,
     url_filters,
+    whitening,
 )
 
 BYTES_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +79,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES = {
         op8_url_filters,
         op9_quality_rules,
         op10_quality_classifier,
+        op13_embedding_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = oracle.SQL
