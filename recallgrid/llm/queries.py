@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.llm import (
+    alignment,
     decontamination,
     line_dedup,
     lm_scoring,
@@ -16,12 +17,14 @@ from recallgrid.llm import (
     quality_classifier,
     quality_rules,
     secrets,
+    suffix_dedup,
     token_counts,
     url_filters,
     whitening,
 )
 
 BYTES_50K = public_tokenizers.path("byte_bpe_50k.json")
+PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 RANKS_50K = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -79,6 +82,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), BYTES_50K, PIECES_32K)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
@@ -97,6 +108,8 @@ QUERIES = {
         op8_url_filters,
         op9_quality_rules,
         op10_quality_classifier,
+        op11_suffix_dedup,
+        op12_tokenizer_alignment,
         op13_embedding_whitening,
     )
 }
