@@ -24,7 +24,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -62,48 +61,54 @@ def stretches(text: str) -> list[str]:
     return parts
 
 
-def refined_ends(coarse: list[int], lengths: list[int]) -> list[int]:
+def refined_ends(coarse: np.ndarray, lengths: np.ndarray, bases: np.ndarray) -> np.ndarray:
     """Byte ends of tokens from the coarse ends of their spans.
 
     A token whose span has as many bytes as it decodes to ends where the span
     does.  Tokens inside one character share a span: they end one after the
-    other, by their decoded bytes, from the last sure end on.
+    other, by their decoded bytes, from the last sure end on.  ``bases``: where
+    the stretch of each token begins.
     """
-    ends, before = [], 0
-    for end, length in zip(coarse, lengths, strict=True):
-        before = end if end - before == length else before + length
-        ends.append(before)
-    return ends
+    done = np.cumsum(lengths)
+    first = np.diff(bases, prepend=-1) > 0
+    before = np.where(first, bases, np.concatenate([[0], coarse[:-1]]))
+    sure = coarse - before == lengths
+    place = np.arange(len(coarse))
+    begins = np.maximum.accumulate(np.where(first, place, -1))
+    last = np.maximum.accumulate(np.where(sure, place, -1))
+    known = last >= begins
+    from_sure = coarse[last] + done - done[last]
+    from_base = bases + done - (done - lengths)[begins]
+    return np.where(known, from_sure, from_base)
 
 
 class Aligned:
-    """A stretch: ids of both sides, the groups' ends in tokens of each side and in bytes, and the links."""
-
-    __slots__ = ("a_ids", "b_ids", "cuts", "links")
-
-    def __init__(self, a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]):
-        """Both sides walked by byte ends; every step is a pair of tokens whose ranges overlap."""
-        cuts, links, i, j = [], [], 0, 0
-        while i < len(a_ids):
-            links.append(a_ids[i] * PAIR + b_ids[j])
-            x, y = a_ends[i], b_ends[j]
-            if x <= y:
-                i += 1
-            if y <= x:
-                j += 1
-                if x == y:
-                    cuts.append((i, j, x))
-        self.a_ids, self.b_ids, self.cuts, self.links = a_ids, b_ids, cuts, links
-
-    def members(self) -> Iterator[tuple[list[int], list[int]]]:
-        a = b = 0
-        for x, y, _ in self.cuts:
-            yield self.a_ids[a:x], self.b_ids[b:y]
-            a, b = x, y
-
-    def groups(self) -> str:
-        """a1,a2|b1;a3|b2,b3"""
-        return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in self.members()])
+    """Stretches that lie in a row: tokens of both sides, the groups that their ends cut, and the links.
+
+    Byte ends rise over all stretches, each of which begins where the one before
+    it ends, so one sorted merge serves all of them.
+    """
+
+    def __init__(self, a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray, ends: np.ndarray):
+        self.a_ids, self.b_ids, self.ends = a_ids, b_ids, ends
+        self.cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        self.a_group, self.b_group = np.searchsorted(self.cuts, a_ends), np.searchsorted(self.cuts, b_ends)
+        self.a_last, self.b_last = self.cuts[self.a_group] == a_ends, self.cuts[self.b_group] == b_ends
+        # Between neighbouring ends lies exactly one pair of tokens whose ranges overlap.
+        both = np.union1d(a_ends, b_ends)
+        self.links = a_ids[np.searchsorted(a_ends, both)] * PAIR + b_ids[np.searchsorted(b_ends, both)]
+        at = [np.searchsorted(e, ends, side="right") for e in (a_ends, b_ends, self.cuts, both)]
+        self.counts = np.diff(np.stack(at, axis=1), axis=0, prepend=0)
+
+    def groups(self, tables: list[np.ndarray]) -> list[str]:
+        """a1,a2|b1;a3|b2,b3 for every stretch."""
+        made = np.empty(len(self.a_ids) + len(self.b_ids), object)
+        a_at = np.arange(len(self.a_ids)) + np.searchsorted(self.b_group, self.a_group, side="left")
+        b_at = np.arange(len(self.b_ids)) + np.searchsorted(self.a_group, self.b_group, side="right")
+        made[a_at] = np.where(self.a_last, tables[1][self.a_ids], tables[0][self.a_ids])
+        made[b_at] = np.where(self.b_last, tables[2][self.b_ids], tables[0][self.b_ids])
+        parts, stops = made.tolist(), np.cumsum(self.counts[:, 0] + self.counts[:, 1]).tolist()
+        return ["".join(parts[x:y])[:-1] for x, y in zip([0, *stops], stops, strict=False)]
 
 
 class Aligner:
@@ -121,38 +126,56 @@ class Aligner:
         with open(a_path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
-        self.a_bytes = {i: bytes(map(letters.__getitem__, e)) for e, i in spec["model"]["vocab"].items() if letters.keys() >= set(e)}
-        self.b_bytes = {}
+        vocabulary = {t["content"]: t["id"] for t in spec.get("added_tokens", [])} | spec["model"]["vocab"]
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
+            if letters.keys() >= set(entry):
+                self.a_bytes[i] = bytes(map(letters.__getitem__, entry))
+        self.b_bytes = [b""] * self.b.get_piece_size()
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
             if re.search(f"[^{SPACE}]{SPACE}", piece):
                 raise ValueError(f"a piece that spans a space, so texts can't be cut there: {piece!r}")
-
-    def align(self, stretches: list[str]) -> list[Aligned | None]:
-        """Each stretch, which begins with a space, on both sides; None if the bytes differ."""
-        a_side = self.a.encode_batch(stretches, add_special_tokens=False)
-        b_side = self.b.encode_as_proto([s[1:] for s in stretches], num_threads=1)
-        made = []
-        for stretch, a, b in zip(stretches, a_side, b_side, strict=True):
-            raw = stretch.encode("utf-8", "surrogatepass")
-            b_ids, b_ends = [], []
-            for piece in b.pieces:
-                b_ids.append(piece.id)
-                b_ends.append(piece.end + 1)  # the added space comes first
-            a_ids = a.ids
-            a_bytes = [self.a_bytes.get(i, b"") for i in a_ids]
-            b_bytes = [self.b_bytes[i] for i in b_ids]
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                made.append(None)
-                continue
-            a_ends = [end for _, end in a.offsets]
-            if len(raw) > len(stretch):  # else every character is a byte, and spans are exact
-                octet = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in stretch)]
-                a_ends = refined_ends([octet[end] for end in a_ends], [*map(len, a_bytes)])
-                b_ends = refined_ends(b_ends, [*map(len, b_bytes)])
-            made.append(Aligned(a_ids, a_ends, b_ids, b_ends))
-        return made
+        self.a_sizes, self.b_sizes = (np.array([*map(len, t)], np.int64) for t in (self.a_bytes, self.b_bytes))
+        ids = range(max(len(self.a_bytes), len(self.b_bytes)))
+        self.tables = [np.array([f"{i}{mark}" for i in ids], object) for mark in ",|;"]
+
+    def align(self, parts: list[str]) -> tuple[list[int], Aligned | None]:
+        """Stretches, each beginning with a space, on both sides: numbers of those whose bytes agree, and these aligned."""
+        a_side = self.a.encode_batch(parts, add_special_tokens=False)
+        b_side = self.b.encode_as_proto([s[1:] for s in parts], num_threads=1)
+        a_lists = [e.ids for e in a_side]
+        b_lists = [[p.id for p in e.pieces] for e in b_side]
+        raws = [s.encode("utf-8", "surrogatepass") for s in parts]
+        good = list(range(len(parts)))
+        joined = b"".join(raws)
+        sides = ((a_lists, self.a_bytes), (b_lists, self.b_bytes))
+        if any(b"".join([table[i] for ids in lists for i in ids]) != joined for lists, table in sides):
+            good = [n for n, raw in enumerate(raws) if all(b"".join([table[i] for i in lists[n]]) == raw for lists, table in sides)]
+            if not good:
+                return good, None
+        sizes = np.array([len(raws[n]) for n in good])
+        ends = np.cumsum(sizes)
+        bases = ends - sizes
+        # Characters of all stretches to bytes, for A's offsets.
+        points = np.frombuffer("".join([parts[n] for n in good]).encode("utf-32-le", "surrogatepass"), "<u4")
+        octets = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+        chars = np.array([len(parts[n]) for n in good])
+        chars = np.cumsum(chars) - chars
+
+        def flat(lists: list, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+            counts = np.array([len(lists[n]) for n in good])
+            return np.array([v for n in good for v in lists[n]], kind), np.repeat(np.arange(len(good)), counts)
+
+        a_ids, a_of = flat(a_lists)
+        b_ids, b_of = flat(b_lists)
+        a_spans = octets[chars[a_of] + np.array([end for n in good for _, end in a_side[n].offsets])]
+        # B's spans are bytes of the text without the space that it adds.
+        b_spans = bases[b_of] + 1 + np.array([p.end for n in good for p in b_side[n].pieces])
+        a_ends = refined_ends(a_spans, self.a_sizes[a_ids], bases[a_of])
+        b_ends = refined_ends(b_spans, self.b_sizes[b_ids], bases[b_of])
+        return good, Aligned(a_ids, a_ends, b_ids, b_ends, ends)
 
 
 class Memory:
@@ -164,9 +187,9 @@ class Memory:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str | None] = []
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.links: list[np.ndarray] = []
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links; zeros: not aligned
+        self.links = np.zeros(0, np.int64)  # one stretch after the other
         self.uses = np.zeros(0, np.int64)
         self.size = 0
 
@@ -174,29 +197,43 @@ class Memory:
         """Once full, keep only what was met several times; numbers change."""
         if self.size <= KEPT:
             return
-        old = list(self.number.items()), self.groups, self.counts, self.links, self.uses
+        often = np.flatnonzero((self.uses > 2) & (self.counts[:, 3] < 100))[-KEPT // 40 :]
+        number, groups, counts, links = list(self.number), self.groups, self.counts, self.links_of(often)
         self.forget()
-        often = np.flatnonzero(old[4] > 2).tolist()
-        often = [i for i in often if len(old[3][i]) < 100][-KEPT // 40 :]
-        self.number = {old[0][i][0]: at for at, i in enumerate(often)}
-        self.groups, self.counts, self.links = ([old[c][i] for i in often] for c in (1, 2, 3))
+        self.number = {number[i]: at for at, i in enumerate(often.tolist())}
+        self.groups = [groups[i] for i in often.tolist()]
+        self.counts, self.links = counts[often], links
         self.uses = np.zeros(len(often), np.int64)
-        self.size = sum(10 + len(links) for links in self.links)
+        self.size = 10 * len(often) + len(links)
+
+    def links_of(self, which: np.ndarray) -> np.ndarray:
+        sizes = self.counts[which, 3]
+        firsts = (np.cumsum(self.counts[:, 3]) - self.counts[:, 3])[which]
+        return self.links[np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of stretches, all of them known from now on."""
-        new = list(dict.fromkeys(s for s in parts if s not in self.number))
+        known = self.number
+        new = list(dict.fromkeys([s for s in parts if s not in known]))
+        counts, links = [self.counts], [self.links]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for s, found in zip(some, self.aligner.align(some), strict=True):
-                self.number[s] = len(self.groups)
-                self.groups.append(found and found.groups())
-                self.links.append(np.array(found.links if found else [], np.int64))
-                self.counts.append((len(found.a_ids), len(found.b_ids), len(found.cuts), len(found.links)) if found else (0,) * 4)
-                self.size += 10 + len(self.links[-1])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        made = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
-        self.uses += np.bincount(made, minlength=len(self.uses))
+            good, aligned = self.aligner.align(some)
+            found, groups = np.zeros((len(some), 4), np.int64), [""] * len(some)
+            if aligned is not None:
+                found[good] = aligned.counts
+                links.append(aligned.links)
+                for n, text in zip(good, aligned.groups(self.aligner.tables), strict=True):
+                    groups[n] = text
+            known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
+            self.groups += groups
+            counts.append(found)
+        if new:
+            self.counts, self.links = np.concatenate(counts), np.concatenate(links)
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            self.size = 10 * len(known) + len(self.links)
+        made = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        np.add.at(self.uses, made, 1)
         return made
 
 
@@ -207,7 +244,6 @@ class Block:
         self.memory = memory
         self.rows: list[tuple] = []
         self.docs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc_ids: list, texts: list[list[str]]) -> None:
@@ -215,29 +251,31 @@ class Block:
         numbers = memory.numbers([s for parts in texts for s in parts])
         ends = np.cumsum([*map(len, texts)])
         self.size += len(numbers) + len(texts)
-        for doc_id, own in zip(doc_ids, np.split(numbers, ends[:-1]), strict=True):
-            which, times = np.unique(own, return_counts=True)
-            counts = [memory.counts[i] for i in which.tolist()]
-            groups = [memory.groups[i] for i in own.tolist()]
-            if not groups or not all(c[0] for c in counts):
-                self.rows.append((doc_id, 0, 0, 0, 0, ""))
-                which = times = which[:0]
+        counts = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(memory.counts[numbers], axis=0)])
+        missing = np.concatenate([[0], np.cumsum(memory.counts[numbers, 0] == 0)])
+        first = np.concatenate([[0], ends[:-1]])
+        totals, bad = (counts[ends] - counts[first]).tolist(), (missing[ends] > missing[first]) | (ends == first)
+        groups = list(map(memory.groups.__getitem__, numbers.tolist()))
+        for n, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+            if bad[n]:
+                self.rows.append((doc_ids[n], 0, 0, 0, 0, ""))
+                self.docs.append(numbers[:0])
             else:
-                totals = (np.array(counts) * times[:, None]).sum(axis=0).tolist()
-                self.rows.append((doc_id, *totals, hashlib.sha256(";".join(groups).encode()).hexdigest()))
-            self.docs.append(which)
-            self.times.append(times)
+                self.rows.append((doc_ids[n], *totals[n], hashlib.sha256(";".join(groups[a:b]).encode()).hexdigest()))
+                self.docs.append(numbers[a:b])
 
     def record(self, number: int, id_kind: pa.DataType) -> pa.RecordBatch:
         """One row: what the documents show already, and what their links are counted by."""
         doc_ids, n_a, n_b, n_groups, n_links, digests = zip(*self.rows, strict=True)
-        which, docs = np.unique(np.concatenate(self.docs).astype(np.int64), return_inverse=True)
-        times = np.concatenate(self.times).astype(np.int64)
-        own = [self.memory.links[i] for i in which.tolist()]
-        links = np.concatenate([np.zeros(0, np.int64), *own])
-        pairs, at = np.unique(links, return_inverse=True)
-        sizes = np.array([*map(len, own)], np.int64)
-        met = np.zeros(len(own), np.int64)
+        # Each document's stretches once, with how often it has them.
+        which, local = np.unique(np.concatenate(self.docs), return_inverse=True)
+        owner = np.repeat(np.arange(len(self.docs)), [*map(len, self.docs)])
+        cells, times = np.unique(owner * max(1, len(which)) + local, return_counts=True)
+        owner, docs = np.divmod(cells, max(1, len(which)))
+        held = np.bincount(owner, minlength=len(self.docs))
+        pairs, at = np.unique(self.memory.links_of(which), return_inverse=True)
+        sizes = self.memory.counts[which, 3]
+        met = np.zeros(len(which), np.int64)
         np.add.at(met, docs, times)
         counts = np.zeros(len(pairs), np.int64)
         np.add.at(counts, at, np.repeat(met, sizes))
@@ -254,7 +292,7 @@ class Block:
             "n_groups": one(n_groups, pa.int64()),
             "n_links": one(n_links, pa.int64()),
             "digests": one(digests, pa.string()),
-            "held": one([*map(len, self.docs)], pa.int32()),
+            "held": one(held, pa.int32()),
             "stretches": one(docs, pa.int32()),
             "times": one(times, pa.int32()),
             "sizes": one(sizes, pa.int32()),
@@ -348,31 +386,22 @@ def spans(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = kept(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
+        lists, kind = pa.list_(pa.int32()), None
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch["text"][i].as_py()
-                rows = group_rows(aligner.align(stretches(text))) if text else []
-                if rows:
-                    starts, ends, a_ids, b_ids = zip(*rows, strict=True)
-                    doc = pa.array([batch["doc_id"][i].as_py()] * len(rows), batch.schema.field("doc_id").type)
-                    lists = pa.list_(pa.int32())
-                    columns = [doc, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(a_ids, lists), pa.array(b_ids, lists)]
-                    yield pa.record_batch(columns, ["doc_id", "start", "end", "a_ids", "b_ids"])
+            kind = batch.schema.field("doc_id").type
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                parts = stretches(text) if text else []
+                good, found = aligner.align(parts) if parts else ([], None)
+                if found is None or len(good) < len(parts):
+                    continue
+                n = len(found.cuts)
+                starts = np.concatenate([[0], found.cuts[:-1]])
+                sides = [
+                    pa.array([x.tolist() for x in np.split(ids, np.searchsorted(group, np.arange(1, n)))], lists)
+                    for ids, group in ((found.a_ids, found.a_group), (found.b_ids, found.b_group))
+                ]
+                columns = [pa.array([doc_id] * n, kind), pa.array(starts, pa.int64()), pa.array(found.cuts, pa.int64()), *sides]
+                yield pa.record_batch(columns, ["doc_id", "start", "end", "a_ids", "b_ids"])
 
     schema = f"doc_id {own}, start long, end long, a_ids array<int>, b_ids array<int>"
     return texts_of(df, id_col, text_col).mapInArrow(run, schema)
-
-
-def group_rows(parts: list[Aligned | None]) -> list[tuple]:
-    """(start, end, A ids, B ids) of every group of a text's stretches; none if one doesn't align."""
-    rows: list[tuple] = []
-    offset = 0
-    for part in parts:
-        if part is None:
-            return []
-        start = 0
-        for (_, _, end), (a_ids, b_ids) in zip(part.cuts, part.members(), strict=True):
-            rows.append((offset + start, offset + end, a_ids, b_ids))
-            start = end
-        offset += start
-    return rows
