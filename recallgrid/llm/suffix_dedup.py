@@ -175,7 +175,7 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 "doc_ids": pa.array([[d[0] for d in held]], pa.list_(kind)),
                 "ties": pa.array([[d[1] >> 1 for d in held]], pa.list_(pa.int64())),
                 "sizes": pa.array([[len(d[2]) for d in held]], pa.list_(pa.int64())),
-                "raw": pa.array([zstandard.compress(raw, 3)], pa.binary()),
+                "raw": pa.array([packer().compress(raw)], pa.binary()),
                 "sampled": pa.array([signed(np.concatenate([np.zeros(0, np.uint64), *seen])).tolist()], pa.list_(pa.int64())),
             }
             return pa.record_batch(list(columns.values()), list(columns))
@@ -196,6 +196,11 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return texts_of(df, id_col, text_col).mapInArrow(run, schema)
 
 
+def packer() -> zstandard.ZstdCompressor:
+    """Looks for matches over a whole block: blocks are written once and shuffled twice."""
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(6, window_log=24, enable_ldm=True))
+
+
 def frequent_anchors(packed: DataFrame) -> frozenset[int]:
     """Anchors of a good share of the sampled records: by that share, at most 2,000."""
     seen = packed.select(F.explode("sampled").alias("h"))
@@ -209,10 +214,11 @@ def unpacked(raw: pa.Scalar, sizes) -> tuple[bytes, np.ndarray]:
 
 
 def repeated_records(packed: DataFrame, frequent: frozenset[int], width: int = WIDTH) -> DataFrame:
-    """block, at, what, h, content and other: records whose anchor other blocks hold, too, and a block's own repeats.
+    """block, at, h, about and other: records whose anchor other blocks hold, too, and a block's own repeats.
 
-    ``other`` says that the anchor heads different records, which need their bytes.
-    ``h`` of a repeat is the end of its windows.
+    ``other`` says that the anchor heads different records, and that this is the
+    one of several equal ones that is to bring the bytes.  ``h`` of a repeat is
+    the end of its windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +239,14 @@ def repeated_records(packed: DataFrame, frequent: frozenset[int], width: int = W
                 )
 
     made = packed.select("block", "sizes", "raw").mapInArrow(run, "block long, at long, h long, about long")
-    anchor = Window.partitionBy("h")
-    counted = made.select(
-        "*", F.count("*").over(anchor).alias("n"), (F.min("about").over(anchor) != F.max("about").over(anchor)).alias("other")
+    anchor, equal = Window.partitionBy("h"), Window.partitionBy("h", "about")
+    counted = made.withColumn("least", F.min(F.struct("block", "at")).over(equal)).select(
+        "block",
+        "at",
+        "h",
+        "about",
+        F.count("*").over(anchor).alias("n"),
+        ((F.min("about").over(anchor) != F.max("about").over(anchor)) & (F.col("least") == F.struct("block", "at"))).alias("other"),
     )
     span = F.col("about") == SPAN
     return counted.filter(span | (F.col("n") > 1)).drop("n")
@@ -283,41 +294,46 @@ def _if_any(work, schema: str):
 
 
 class Shard:
-    """Records of a shard, in document order."""
+    """Records of a shard: collected, then looked through in document order."""
 
     def __init__(self, width: int):
-        self.width, self.family = width, Family(width)
-        self.known: set[tuple[int, int]] = set()
-        self.waiting: list[tuple[int, int, bytes]] = []
-        self.windows = 0
-        self.removed: list[tuple[int, int, int]] = []
+        self.width = width
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.contents: dict[tuple[int, int], bytes] = {}
 
     def add(self, block: int, at: int, h: int, about: int, content: bytes | None) -> None:
-        if about == SPAN:
-            self.removed.append((block, at, h))
-            return
-        size = about >> 2 & 127
-        if (h, about) in self.known:
-            self.removed.append((block, at, at + size))
-            return
-        self.known.add((h, about))
+        self.rows.append((block, at, h, about))
         if content is not None:
-            self.waiting.append((block, at, content))
-            self.windows += size
-            if self.windows >= BATCH:
-                self.settle()
-
-    def settle(self) -> None:
-        """Compare the batch that waits."""
-        if self.waiting:
-            for (block, at, _), earlier in zip(self.waiting, self.family.add([w[2] for w in self.waiting]), strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], earlier.view(np.int8), [0]])))
-                self.removed.extend((block, at + a, at + b) for a, b in edges.reshape(-1, 2).tolist())
-            self.waiting, self.windows = [], 0
+            self.contents[h, about] = content
+
+    def removed(self) -> list[tuple[int, int, int]]:
+        """What stands earlier: (block, first window, end)."""
+        family, known = Family(self.width), set()
+        made: list[tuple[int, int, int]] = []
+        waiting: list[tuple[int, int, bytes]] = []
+        windows = 0
 
-    def taken(self) -> list[tuple[int, int, int]]:
-        """What was found since the last time: (block, first window, end)."""
-        made, self.removed = self.removed, []
+        def settle() -> None:
+            for (block, at, _), earlier in zip(waiting, family.add([w[2] for w in waiting]), strict=True):
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], earlier.view(np.int8), [0]])))
+                made.extend((block, at + a, at + b) for a, b in edges.reshape(-1, 2).tolist())
+
+        for block, at, h, about in self.rows:
+            size = about >> 2 & 127
+            if about == SPAN:
+                made.append((block, at, h))
+            elif (h, about) in known:
+                made.append((block, at, at + size))
+            else:
+                known.add((h, about))
+                if (h, about) in self.contents:
+                    waiting.append((block, at, self.contents[h, about]))
+                    windows += size
+                    if windows >= BATCH:
+                        settle()
+                        waiting, windows = [], 0
+        if waiting:
+            settle()
         return made
 
 
@@ -330,19 +346,14 @@ def removed_windows(records: DataFrame, shards: int, width: int = WIDTH) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, shard = None, None
         for batch in batches:
-            rows = zip(batch["shard"].to_pylist(), *(batch[c].to_pylist() for c in names), strict=True)
-            found: list = []
-            for own, *row in rows:
+            for own, *row in zip(batch["shard"].to_pylist(), *(batch[c].to_pylist() for c in names), strict=True):
                 if own != number:
                     if shard:
-                        shard.settle()
-                        found += shard.taken()
+                        yield as_spans(shard.removed())
                     number, shard = own, Shard(width)
                 shard.add(*row)
-            yield as_spans(found + (shard.taken() if shard else []))
         if shard:
-            shard.settle()
-            yield as_spans(shard.taken())
+            yield as_spans(shard.removed())
 
     return dealt.select("shard", *names).mapInArrow(run, "block long, first long, last long")
 
