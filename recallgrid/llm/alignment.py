@@ -36,10 +36,12 @@ from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, kept, texts_of
 
 SPACE = "▁"
-BLOCK = 2_000_000  # stretches of a block, unless one text alone has more
-KEPT = 8_000_000  # links of the stretches a worker remembers, each stretch counting for 10 more
+BLOCK = 400_000  # stretches of a block, unless one text alone has more
+KEPT = 4_000_000  # links of the stretches a worker remembers, each stretch counting for 10 more
 PAIR = 1 << 32  # a pair of ids as one number: A's times this, plus B's
 
+ODD = re.compile(r"\s |\A | \Z")  # a space that is not the first after a word, or the last character
+
 
 def stretches(text: str) -> list[str]:
     """Space+text, cut before every space that follows a character other than white space.
@@ -47,7 +49,7 @@ def stretches(text: str) -> list[str]:
     A single space at the end stays with what it follows.
     """
     words = text.split(" ")
-    if not any(not w or w[-1].isspace() for w in words):
+    if not ODD.search(text):
         return [" " + w for w in words]
     parts = [" " + words[0]]
     for word in words[1:]:
@@ -214,7 +216,7 @@ class Memory:
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of stretches, all of them known from now on."""
         known = self.number
-        new = list(dict.fromkeys([s for s in parts if s not in known]))
+        new = list(set(parts).difference(known))
         counts, links = [self.counts], [self.links]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
