@@ -51,12 +51,14 @@ def test_quality_rules_equal_brute_force(docs):
 def test_rules_that_reject_more_per_second_come_first(docs):
     frame = docs([(i, "plain words") for i in range(300)])
     rules = {"never": F.length("text") < 0, "always": F.length("text") > 0}
-    whole = quality_rules.SAMPLE_SHARE
-    quality_rules.SAMPLE_SHARE = 1.0
-    try:
-        assert list(quality_rules.ordered(frame, rules)) == ["always", "never"]
-    finally:
-        quality_rules.SAMPLE_SHARE = whole
+    assert list(quality_rules.ordered(frame, rules)) == ["always", "never"]
+
+
+def test_rule_sample_is_bounded_and_from_all_rows(docs):
+    frame = docs([(i, f"text number {i}") for i in range(5_000)])
+    some = [r.doc_id for r in quality_rules.sampled(frame, 500).select("doc_id").collect()]
+    assert 350 < len(some) < 650 and min(some) < 100 and max(some) > 4_900
+    assert quality_rules.sampled(frame, 5_000).count() == 5_000
 
 
 def lines_by_hand(rows, ratio, least):
