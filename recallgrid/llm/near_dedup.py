@@ -352,7 +352,9 @@ def keep_representatives(
     marked = stage(fingerprints(df, width, id_col, text_col), "fingerprints")
     found = stage(assigned(marked, radius).select("doc_id", "fp", "component_id"), "components")
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = chosen.groupBy("doc_id").agg(F.count("*").alias("n"))
+    # An id is single if the whole table has it once; a head of one group may stand on rows of others, too.
+    heads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("head")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), heads).filter("head")
     single = ids.filter("n = 1 and doc_id is not null").select(F.col("doc_id").alias("_kept_id"))
     repeated_n = ids.filter("n > 1 or doc_id is null").count()
     main = df.join(single, F.col(id_col) == F.col("_kept_id"), "left_semi")
