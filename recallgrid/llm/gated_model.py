@@ -1,8 +1,9 @@
 """A small gated recurrent language model in numpy: training windows and whole-document scores.
 
-The vocabulary is cut into classes of about equal frequency, so that a word
-costs about the root of the vocabulary's size; its probability is that of its
-class times that within the class.  Word 0 is the end of a document, word 1
+The vocabulary is cut into classes of about equal frequency, and the classes into
+groups, so that a word costs about three times the cube root of the vocabulary's
+size; its probability is that of its group, times that of its class within the
+group, times its own within the class.  Word 0 is the end of a document, word 1
 stands for all rarer words.
 """
 
@@ -12,15 +13,16 @@ import numpy as np
 
 END, RARE = 0, 1
 HIDDEN = 16
-FIXED = "cuts"  # first words of the classes, which aren't trained
-LOGITS = 8_000_000  # class logits held at a time in scoring
+FIXED = ("cuts", "group_cuts")  # first words of the classes and first classes of the groups, which aren't trained
+LEVELS = ("group", "class", "word")
+LOGITS = 8_000_000  # logits held at a time
 
 
 def balanced(frequency: np.ndarray) -> np.ndarray:
     """First word of each class, and the number of words: classes of about equal frequency."""
     mass = np.cumsum(frequency)
     share = (mass - frequency) / mass[-1]
-    label = (share * np.ceil(1.5 * np.sqrt(len(frequency)))).astype(np.int64)
+    label = (share * np.ceil(len(frequency) ** (2 / 3))).astype(np.int64)
     return np.concatenate(([0], np.flatnonzero(np.diff(label)) + 1, [len(frequency)]))
 
 
@@ -30,17 +32,22 @@ def start(frequency: np.ndarray, hidden: int = HIDDEN, seed: int = 7) -> dict[st
     words = len(frequency)
     grown = frequency + 1.0
     cuts = balanced(grown)
+    of_class = np.add.reduceat(grown, cuts[:-1])
+    group_cuts = np.unique(np.linspace(0, len(of_class), int(np.ceil(np.sqrt(len(of_class)))) + 1).round().astype(np.int64))
     made = {
         "into": rng.normal(0, 0.1, (words, 3 * hidden)),
         "back": rng.normal(0, 0.3 / np.sqrt(hidden), (hidden, 3 * hidden)),
         "bias": np.zeros(3 * hidden),
-        "class_w": np.zeros((hidden, len(cuts) - 1)),
-        "class_b": np.log(np.add.reduceat(grown, cuts[:-1])),
+        "group_w": np.zeros((len(group_cuts) - 1, hidden)),
+        "group_b": np.log(np.add.reduceat(of_class, group_cuts[:-1])),
+        "class_w": np.zeros((len(of_class), hidden)),
+        "class_b": np.log(of_class),
         "word_w": np.zeros((words, hidden)),
         "word_b": np.log(grown),
-        FIXED: cuts,
+        "cuts": cuts,
+        "group_cuts": group_cuts,
     }
-    return {k: v.astype(np.float32) for k, v in made.items()}
+    return {k: v.astype(np.int64 if k in FIXED else np.float32) for k, v in made.items()}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -58,45 +65,58 @@ def step(p: dict, words: np.ndarray, h: np.ndarray) -> tuple:
     return new + z * (h - new), z, r, new, kept[:, 2 * n :]
 
 
+def parts(family: np.ndarray, cuts: np.ndarray):
+    """Runs of rows of one family, split where their logits would be too many at a time."""
+    heads = np.flatnonzero(np.diff(family, prepend=-1))
+    members = (cuts[1:] - cuts[:-1])[family[heads]]
+    for at, end, n in zip(heads.tolist(), [*heads[1:].tolist(), len(family)], members.tolist(), strict=True):
+        size = max(1, LOGITS // n)
+        for first in range(at, end, size):
+            yield first, min(first + size, end)
+
+
 def log_probabilities(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
-    """Natural log of every target's probability; with ``grads``, also the states' gradient."""
-    rows = np.arange(len(targets))
-    cuts = np.rint(p[FIXED]).astype(np.int64)
-    classes = len(cuts) - 1
-    own = np.repeat(np.arange(classes), np.diff(cuts))[targets]
-    logits = states @ p["class_w"] + p["class_b"]
-    logits -= logits.max(axis=1, keepdims=True)
-    picked = logits[rows, own]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    out = (picked - np.log(total)).astype(np.float64)
-    d_states = None
-    if grads is not None:
-        logits /= total[:, None]
-        logits[rows, own] -= 1
-        grads["class_w"] += states.T @ logits
-        grads["class_b"] += logits.sum(axis=0)
-        d_states = logits @ p["class_w"].T
-    order = np.argsort(own, kind="stable")
-    ends = np.cumsum(np.bincount(own, minlength=classes))
-    # a class of one word has probability one within
-    for c in np.flatnonzero((np.diff(ends, prepend=0) > 0) & (np.diff(cuts) > 1)).tolist():
-        mine = order[ends[c - 1] if c else 0 : ends[c]]
-        members = slice(cuts[c], cuts[c + 1])
-        h, at, place = states[mine], np.arange(len(mine)), targets[mine] - cuts[c]
-        logits = h @ p["word_w"][members].T + p["word_b"][members]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[at, place]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        out[mine] += picked - np.log(total)
-        if grads is not None:
-            logits /= total[:, None]
-            logits[at, place] -= 1
-            grads["word_w"][members] += logits.T @ h
-            grads["word_b"][members] += logits.sum(axis=0)
-            d_states[mine] += logits @ p["word_w"][members]
-    return out, d_states
+    """Natural log of every target's probability; with ``grads``, also the states' gradient.
+
+    Rows are put in the order of their targets, so that those of one class, and
+    of one group, lie side by side at every level.
+    """
+    order = np.argsort(targets, kind="stable")
+    h, word = states[order], targets[order]
+    of_class = np.searchsorted(p["cuts"], word, side="right") - 1
+    of_group = np.searchsorted(p["group_cuts"], of_class, side="right") - 1
+    whole = np.array([0, len(p["group_w"])])
+    out = np.zeros(len(word))
+    d_h = None if grads is None else np.zeros_like(h)
+    levels = (
+        (np.zeros(len(word), np.int64), whole, of_group),
+        (of_group, p["group_cuts"], of_class),
+        (of_class, p["cuts"], word),
+    )
+    for name, (family, cuts, member) in zip(LEVELS, levels, strict=True):
+        w, b = p[f"{name}_w"], p[f"{name}_b"]
+        for at, end in parts(family, cuts):
+            first, last = cuts[family[at]], cuts[family[at] + 1]
+            if last - first == 1:
+                continue  # the only member has probability one
+            own, place = h[at:end], member[at:end] - first
+            rows = np.arange(end - at)
+            logits = own @ w[first:last].T
+            logits += b[first:last]
+            logits -= logits.max(axis=1, keepdims=True)
+            picked = logits[rows, place]
+            np.exp(logits, out=logits)
+            total = logits.sum(axis=1)
+            out[at:end] += picked - np.log(total)
+            if grads is not None:
+                logits /= total[:, None]
+                logits[rows, place] -= 1
+                grads[f"{name}_w"][first:last] += logits.T @ own
+                grads[f"{name}_b"][first:last] += logits.sum(axis=0)
+                d_h[at:end] += logits @ w[first:last]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back], None if d_h is None else d_h[back]
 
 
 def window(p: dict, words: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, dict]:
@@ -113,7 +133,7 @@ def window(p: dict, words: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tu
         h_new, *rest = step(p, words[t], h)
         tape.append((go_on, h, *rest))
         h = states[t] = h_new
-    grads = {k: np.zeros(v.shape, v.dtype) for k, v in p.items()}
+    grads = {k: np.zeros(v.shape, v.dtype) for k, v in p.items() if k not in FIXED}
     logs, d_states = log_probabilities(p, states.reshape(-1, n), targets.ravel(), grads)
     d_states = d_states.reshape(steps, streams, n)
     d_entered = np.empty((steps, streams, 3 * n), np.float32)
@@ -131,7 +151,7 @@ def window(p: dict, words: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tu
         d_next = (d * z + d_kept @ p["back"].T) * go_on
     flat = words.ravel()
     order = np.argsort(flat, kind="stable")
-    heads = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
+    heads = np.flatnonzero(np.diff(flat[order], prepend=-1))
     grads["into"][flat[order][heads]] = np.add.reduceat(d_entered.reshape(-1, 3 * n)[order], heads, axis=0)
     return -logs.sum(), h, grads
 
@@ -160,8 +180,6 @@ class Trainer:
             self.tokens, self.loss = self.tokens + size, self.loss + loss
             read = np.unique(words[at : at + self.steps])
             for k, g in grads.items():
-                if k == FIXED:
-                    continue
                 own = read if k == "into" else slice(None)  # other rows have no gradient
                 g = g[own] / size
                 squares = self.squares[k][own] + g * g
@@ -170,7 +188,7 @@ class Trainer:
         self.learn(ids[streams * length :])  # what streams of equal length left over
 
 
-def score(p: dict, ids: np.ndarray, sizes: np.ndarray, steps: int = 32, rows: int = 65_536) -> np.ndarray:
+def score(p: dict, ids: np.ndarray, sizes: np.ndarray, rows: int = 131_072) -> np.ndarray:
     """Natural log probability of each document; ``ids`` holds them in a row, each closed by END.
 
     Documents run side by side, longest first; states are carried from window to
@@ -187,9 +205,7 @@ def score(p: dict, ids: np.ndarray, sizes: np.ndarray, steps: int = 32, rows: in
     def flush() -> None:
         if held:
             states, targets, who = (np.concatenate(x) for x in zip(*held, strict=True))
-            each = max(1, LOGITS // p["class_w"].shape[1])
-            logs = [log_probabilities(p, states[a : a + each], targets[a : a + each])[0] for a in range(0, len(who), each)]
-            out[order] += np.bincount(who, np.concatenate(logs), len(sizes))
+            out[order] += np.bincount(who, log_probabilities(p, states, targets)[0], len(sizes))
             held.clear()
 
     pending = 0

@@ -39,11 +39,11 @@ from recallgrid.llm.worker import id_type, texts_of
 FOLDS, HELD = 7, 2
 KEEP = 100_000
 LEAST = 5  # words seen less often have too few examples to be told apart
-LANES = 8
+LANES = 1
 LANE_TOKENS = 4_000_000  # tokens aimed at in a lane, or so many for every word of the model
 WORD_TOKENS = 128
 PART = 262_144  # parameters summed at a time
-STREAMS = 512
+STREAMS = 2_048
 FLUSH = 1_000_000  # tokens held at a time
 END_WORD = ""  # no word is empty
 
@@ -112,7 +112,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) ->
     first = gm.start(vocabulary.frequency)
     size = max(LANE_TOKENS, WORD_TOKENS * len(vocabulary.frequency))
     lanes = max(lanes, math.ceil(share * vocabulary.total / size))
-    trained = [k for k in first if k != gm.FIXED]
+    trained = [k for k in first if k not in gm.FIXED]
     chosen = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
     if share < 1:
         chosen = chosen.filter(F.pmod("mark", F.lit(1 << 20)) < int(share * (1 << 20)))

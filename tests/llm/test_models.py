@@ -12,8 +12,8 @@ from recallgrid.llm import lm_scoring, quality_classifier
 
 def test_probabilities_sum_to_one_and_gradients_are_right():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in gm.start(np.arange(1, 131)).items()}
-    for k in ("class_w", "word_w", "bias"):
+    p = {k: v if k in gm.FIXED else v.astype(np.float64) for k, v in gm.start(np.arange(1, 131)).items()}
+    for k in ("group_w", "class_w", "word_w", "bias"):
         p[k] = rng.normal(0, 0.3, p[k].shape)
     h = rng.normal(size=(1, gm.HIDDEN))
     logs, _ = gm.log_probabilities(p, np.repeat(h, 130, 0), np.arange(130))
@@ -21,7 +21,7 @@ def test_probabilities_sum_to_one_and_gradients_are_right():
     words, targets = rng.integers(0, 130, (3, 5)), rng.integers(0, 130, (3, 5))
     start = rng.normal(size=(5, gm.HIDDEN))
     _, _, grads = gm.window(p, words, targets, start)
-    for name in p:
+    for name in grads:
         at = tuple(rng.integers(0, s) for s in p[name].shape)
         if name == "into":
             at = (words[0, 0], at[1])
@@ -48,6 +48,47 @@ def test_learning_beats_unigrams_and_windows_do_not_matter():
     assert np.allclose(one, after[:1], atol=1e-3)
 
 
+def score_by_hand(p, ids):
+    """Log10 probability of one document: a plain loop over its words and the levels of each."""
+
+    def softmax(logits):
+        e = [math.exp(x - max(logits)) for x in logits]
+        return [x / sum(e) for x in e]
+
+    def member(name, first, last, chosen, h):
+        logits = [float(p[f"{name}_w"][m] @ h + p[f"{name}_b"][m]) for m in range(first, last)]
+        return softmax(logits)[chosen - first]
+
+    n, total = p["back"].shape[0], 0.0
+    h, read = np.zeros(n), gm.END
+    for word in ids:
+        x, kept = p["into"][read].astype(float), h @ p["back"] + p["bias"]
+        z, r = (1 / (1 + np.exp(-(x[i * n : (i + 1) * n] + kept[i * n : (i + 1) * n]))) for i in (0, 1))
+        new = np.tanh(x[2 * n :] + r * kept[2 * n :])
+        h = new + z * (h - new)
+        own = max(c for c in range(len(p["cuts"]) - 1) if p["cuts"][c] <= word)
+        group = max(g for g in range(len(p["group_cuts"]) - 1) if p["group_cuts"][g] <= own)
+        total += math.log10(member("group", 0, len(p["group_w"]), group, h))
+        total += math.log10(member("class", p["group_cuts"][group], p["group_cuts"][group + 1], own, h))
+        total += math.log10(member("word", p["cuts"][own], p["cuts"][own + 1], word, h))
+        read = word
+    return total
+
+
+def test_document_scores_equal_a_plain_loop(monkeypatch):
+    rng = np.random.default_rng(8)
+    p = gm.start(1e5 / np.arange(1, 301))
+    for k in p.keys() - set(gm.FIXED):
+        p[k] = (p[k] + rng.normal(0, 0.3, p[k].shape)).astype(np.float32)
+    documents = [[*rng.integers(1, 300, n).tolist(), gm.END] for n in (0, 1, 40, 7, 40)]
+    sizes = np.array([*map(len, documents)])
+    want = [score_by_hand(p, d) for d in documents]
+    for logits in (gm.LOGITS, 50):
+        monkeypatch.setattr(gm, "LOGITS", logits)
+        got = gm.score(p, np.concatenate(documents), sizes) / np.log(10)
+        assert np.allclose(got, want, atol=1e-3)
+
+
 def base_by_hand(rows):
     split = lambda t: [w for w in (t or "").encode().lower().split()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -95,8 +136,8 @@ def test_the_model_names_every_word_of_enough_examples(docs, monkeypatch):
     assert set(held[0].model) == {f"w{i}".encode() for i in range(2_500)}
     assert lm_scoring.least_count(10**6) < lm_scoring.least_count(10**8) < 10 * lm_scoring.least_count(10**6)
     p = gm.start(1e6 / np.arange(1, 2_503))
-    mass = np.add.reduceat(1e6 / np.arange(1, 2_503), p[gm.FIXED][:-1].astype(int))
-    assert np.diff(p[gm.FIXED]).max() > 100 and np.median(mass) < 3 * mass.min() and len(mass) < 100
+    mass = np.add.reduceat(1e6 / np.arange(1, 2_503), p["cuts"][:-1])
+    assert np.diff(p["cuts"]).max() > 30 and np.median(mass) < 3 * mass.min() and len(mass) < 200
 
 
 def test_classifier_separates_held_out_junk(docs, llm_spark):
