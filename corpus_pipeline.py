@@ -27,6 +27,7 @@ from recallgrid.llm import (  # noqa: E402
     packing,
     quality_rules,
 )
+from recallgrid.llm.tables import stage  # noqa: E402
 from recallgrid.session import shared_dir  # noqa: E402
 
 cloudpickle.register_pickle_by_value(recallgrid)
@@ -52,20 +53,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with benchmark passages."""
+    """Documents that aren't contaminated with benchmark passages.
+
+    Contamination is a matter of the text alone, so texts are judged by their
+    digest: ids may be missing, or stand on several texts.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.report(decontamination.find_passages(docs, items))
-    bad = found.filter("contaminated").select("doc_id").distinct()
-    # One row is left for each id by now, but for ids that are null: those are judged by text.
-    known = docs.filter(F.col("doc_id").isNotNull()).join(bad, "doc_id", "left_anti").select(docs.columns)
-    unnamed = docs.filter(F.col("doc_id").isNull())
-    marks = decontamination.report(
-        decontamination.find_passages(unnamed.select(F.md5("text").alias("mark"), "text"), items, id_col="mark")
-    )
-    clean = unnamed.join(
-        marks.filter("contaminated").select(F.col("doc_id").alias("_mark")).distinct(), F.md5("text") == F.col("_mark"), "left_anti"
-    )
-    return known.unionByName(clean)
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    found = decontamination.find_passages(docs.select(mark.alias("mark"), "text"), items, id_col="mark")
+    bad = decontamination.report(found).filter("contaminated").select(F.col("doc_id").alias("_mark")).distinct()
+    return docs.join(stage(bad, "contaminated"), mark == F.col("_mark"), "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
