@@ -14,8 +14,11 @@ from recallgrid.operators.turns import turn_tags
 NO_STRINGS = "array<string>"
 
 
-def notes_from_turns(turns: DataFrame) -> DataFrame:
-    """One note per turn; the collection is the conversation, the order the turn order."""
+def notes_from_turns(turns: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One note per turn; the collection is the conversation, the order the turn order.
+
+    ``keep`` names further columns of the turns to carry along.
+    """
     conv = F.col("conv_id").cast("string")
     return note_defaults(
         turns.select(
@@ -26,6 +29,7 @@ def notes_from_turns(turns: DataFrame) -> DataFrame:
             F.nullif("timestamp", F.lit("")).alias("timestamp"),
             conv.alias("category"),
             turn_tags(F.col("conv_id"), F.col("session_id")).alias("tags"),
+            *keep,
         )
     )
 

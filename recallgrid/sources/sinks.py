@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_FIELDS = ["id", "content", "score", "keywords", "tags", "context", "timestamp", "category"]
@@ -64,13 +64,16 @@ def eval_sections(
     }
 
 
+def _case_columns(cases: DataFrame) -> list[Column]:
+    """What places a case: its file where cases of several are together, its cut-off, its number."""
+    source = ["source"] if "source" in cases.columns else []
+    return [F.col("k_label").alias("k"), *[F.col(c) for c in [*source, "idx", "question_id", "reason"]]]
+
+
 def write_bad_cases(cases: DataFrame, path: str) -> None:
-    """Bad cases as JSON, one folder per cut-off, metrics nested."""
+    """Bad cases as JSON, one folder per cut-off, metrics nested; ``source`` is kept where there is one."""
     cases.select(
-        F.col("k_label").alias("k"),
-        "idx",
-        "question_id",
-        "reason",
+        *_case_columns(cases),
         F.struct("precision", "recall", "f1", "ndcg").alias("metrics"),
         "question",
     ).write.mode("overwrite").partitionBy("k").json(path)
@@ -79,10 +82,7 @@ def write_bad_cases(cases: DataFrame, path: str) -> None:
 def write_bad_cases_csv(cases: DataFrame, path: str) -> None:
     """The same, flat, with a header."""
     cases.select(
-        F.col("k_label").alias("k"),
-        "idx",
-        "question_id",
-        "reason",
+        *_case_columns(cases),
         "precision",
         "recall",
         "f1",
