@@ -1,44 +1,44 @@
-"""Incremental indexing: turns arrive, notes are appended exactly once."""
+"""Incremental indexing: turns arrive, notes are appended exactly once.
+
+What a micro-batch costs depends on the batch and on the conversations it
+touches, not on history: stored keys are looked up in the batch's own folders of
+the collection, and no key is kept in stream state.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recallgrid.functions.text import turn_key
+from recallgrid.operators.ledger import with_turn_key
 from recallgrid.operators.neighbors import nearest
-from recallgrid.operators.notes import consolidation_points, notes_from_turns
-
-
-def _batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id}"
-
-
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write a micro-batch to its own folder; a replay replaces the same folder."""
-    rows.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+from recallgrid.operators.notes import notes_from_turns
+from recallgrid.sources.collections import Collection
 
+KEY = ("conv_id", "turn_key")
 
-def read_batches(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
 
+def add_turns(
+    turns: DataFrame, collection: Collection, batch_id: int, encode: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Append the notes of a batch of turns; returns those that this batch has stored.
 
-def earlier_batches(spark, path: str, batch_id: int) -> DataFrame | None:
-    """Rows of the batches before this one; later or replayed folders are pruned."""
-    stored = read_batches(spark, path)
-    return None if stored is None else stored.filter(F.col("batch") < batch_id)
+    A turn whose key is stored already is left out, so a replayed batch, also one
+    that was cut off on the way, completes what it wrote before.
+    """
+    notes = notes_from_turns(with_turn_key(turns), keep=("turn_key",))
+    if encode is not None:
+        notes = notes.withColumn("embedding", encode(F.col("content")))
+    touched = collection.add(notes.withColumn("batch", F.lit(batch_id).cast("long")), KEY)
+    return collection.read(touched).filter(F.col("batch") == batch_id)
 
 
 def ingest_turns(
     turns: DataFrame,
-    path: str,
+    collection: Collection,
     checkpoint: str,
     encode: Callable[[Column], Column] | None = None,
     after_batch: Callable[[DataFrame, int], None] | None = None,
@@ -46,49 +46,45 @@ def ingest_turns(
 ) -> StreamingQuery:
     """Append a note per new turn of a stream.
 
-    Repeated turn keys are dropped by keyed state, not by reading back the
-    notes, and each micro-batch owns a folder, so failures and restarts leave
-    every note stored once.  ``after_batch`` gets the written notes.
+    The stream itself is stateless.  ``after_batch`` gets the notes its batch
+    has stored; it runs again when a batch is replayed, with the same notes.
     """
-    keyed = turns.withColumn("turn_key", turn_key(F.col("turn_idx"), F.col("timestamp")))
-    fresh = keyed.dropDuplicates(["conv_id", "turn_key"])
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        notes = notes_from_turns(batch)
-        if encode is not None:
-            notes = notes.withColumn("embedding", encode(F.col("content")))
-        write_batch(notes, path, batch_id)
+        own = Collection(batch.sparkSession, collection.path, collection.partitions)
+        if batch.isEmpty():
+            return
+        stored = add_turns(batch, own, batch_id, encode)
         if after_batch is not None:
-            written = batch.sparkSession.read.parquet(_batch_path(path, batch_id))
-            after_batch(written, batch_id)
+            after_batch(stored, batch_id)
 
     return (
-        fresh.writeStream.foreachBatch(store)
+        turns.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch's result to its own folder; a replay replaces the same folder."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def batch_neighbors(
-    new_notes: DataFrame, path: str, batch_id: int, k: int = 5, metric: str = "l2sq"
+    new_notes: DataFrame, collection: Collection, batch_id: int, k: int = 5, metric: str = "l2sq"
 ) -> DataFrame:
-    """Nearest earlier notes of a batch's notes, among the stored and the new ones.
+    """Nearest earlier notes of a batch's notes, among those stored up to that batch.
 
-    Only stored notes of the batch's own conversations take part.
+    Only the folders of the batch's conversations are read, and of these only
+    the notes of the conversations themselves.
     """
-    spark = new_notes.sparkSession
-    columns = ["conv_id", "seq", "embedding"]
-    pool = new_notes.select(*columns)
-    stored = earlier_batches(spark, path, batch_id)
-    if stored is not None:
-        touched = new_notes.select("conv_id").distinct()
-        pool = pool.unionByName(
-            stored.select(*columns).join(touched, "conv_id", "left_semi")
-        )
+    stored = collection.read(collection.buckets_of(new_notes)).filter(F.col("batch") <= batch_id)
+    touched = new_notes.select("conv_id").distinct()
+    pool = stored.select("conv_id", F.col("seq").alias("neighbor_seq"), "embedding")
     return nearest(
         new_notes,
-        pool.withColumnRenamed("seq", "neighbor_seq"),
+        pool.join(touched, "conv_id", "left_semi"),
         group=["conv_id"],
         query_key="seq",
         item_key="neighbor_seq",
@@ -96,29 +92,3 @@ def batch_neighbors(
         metric=metric,
         earlier_only=True,
     )
-
-
-def batch_consolidation_points(
-    evolved: DataFrame, counts_path: str, batch_id: int, threshold: int
-) -> DataFrame:
-    """Every ``threshold``-th evolved note, counting on from the batches before.
-
-    ``evolved``: ``conv_id, seq, should_evolve`` of this batch.  Counts per
-    conversation are kept under ``counts_path``, one small folder per batch.
-    """
-    spark = evolved.sparkSession
-    flag = F.when(F.coalesce("should_evolve", F.lit(False)), 1).otherwise(0)
-    sums = evolved.groupBy("conv_id").agg(F.sum(flag).alias("evolved_in_batch"))
-    write_batch(sums, counts_path, batch_id)
-    before = (
-        earlier_batches(spark, counts_path, batch_id)
-        .groupBy("conv_id")
-        .agg(F.sum("evolved_in_batch").alias("before"))
-    )
-    counted = consolidation_points(evolved, 1)
-    return (
-        counted.join(before, "conv_id", "left")
-        .withColumn("evolved_count", F.col("evolved_count") + F.coalesce("before", F.lit(0)))
-        .drop("before")
-        .filter(F.col("evolved_count") % threshold == 0)
-    )

@@ -48,18 +48,19 @@ class TurnPairing(StatefulProcessor):
     messages that arrived ahead of their turn.  A session closes with an ``end``
     row or, after ``idle_ms`` without messages, with a timer; gaps are then
     stepped over.  What comes later for a position already passed is ``late``.
+    With ``ttl_ms`` the state of a session goes that long after its last change.
     """
 
-    def __init__(self, idle_ms: int | None = None) -> None:
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int | None = None, ttl_ms: int | None = None) -> None:
+        self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
 
     def init(self, handle) -> None:
         self.handle = handle
         progress = "next_pos bigint, turn_no bigint, closed boolean"
-        self.progress = handle.getValueState("progress", progress)
+        self.progress = handle.getValueState("progress", progress, self.ttl_ms)
         waiting = T.StructType([T.StructField("pos", T.LongType()), *MESSAGE.fields])
-        self.waiting = handle.getValueState("waiting", waiting)
-        self.ahead = handle.getMapState("ahead", "pos bigint", MESSAGE)
+        self.waiting = handle.getValueState("waiting", waiting, self.ttl_ms)
+        self.ahead = handle.getMapState("ahead", "pos bigint", MESSAGE, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
@@ -161,23 +162,25 @@ def _text(value) -> str | None:
     return None if value is None or value != value else value
 
 
-def pair_turns_stream(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def pair_turns_stream(messages: DataFrame, idle_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
     """Turns as their sessions go on.
 
     ``messages`` needs ``conv_id, session_pos, session_id, timestamp, msg_pos,
     role, content, kind``; ``kind`` is ``end`` in the row that closes a session.
     The session must use the RocksDB state store.  On closed sessions the turns
     equal those of ``operators.turns.pair_turns``, which is also the way to
-    repair a session that has ``late`` rows.
+    repair a session that has ``late`` rows.  Without ``ttl_ms`` a closed session
+    keeps one small row of state for good; with it, what comes for a session
+    after that time counts as the beginning of a new one.
     """
     keyed = messages.withColumn("conv_id", F.col("conv_id").cast("string")).groupBy(
         "conv_id", "session_pos"
     )
     made = keyed.transformWithStateInPandas(
-        statefulProcessor=TurnPairing(idle_ms),
+        statefulProcessor=TurnPairing(idle_ms, ttl_ms),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="ProcessingTime" if idle_ms is not None else "None",
+        timeMode="None" if idle_ms is None and ttl_ms is None else "ProcessingTime",
     )
     return made.withColumn(
         "content",
