@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid.functions import text
 from recallgrid.functions.stemming import porter_stem
-from recallgrid.operators.neighbors import BLOCK, nearest
+from recallgrid.operators.neighbors import BLOCK, best_partners
 
 MAX_ORDER = 4  # BLEU n-gram orders
 
@@ -48,12 +50,29 @@ def rouge_tokens(value: Column) -> Column:
     return F.filter(F.split(F.lower(value), "[^a-z0-9]+"), lambda t: t != "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_all(lists: pd.Series) -> pd.Series:
-    stem = lru_cache(maxsize=200_000)(porter_stem)
-    return lists.map(
-        lambda items: [stem(t) if len(t) > 3 else t for t in items], na_action="ignore"
-    )
+_STEMS: dict[str, str] = {}  # what a worker has stemmed so far
+STEMS_KEPT = 200_000
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stem_all(lists: pa.Array) -> pa.Array:
+    """Stems by dictionary: each distinct token of a batch is looked at once, in a worker's memory of stems."""
+    codes = lists.flatten().dictionary_encode()
+    if len(_STEMS) > STEMS_KEPT:
+        _STEMS.clear()
+    made = []
+    for token in codes.dictionary.to_pylist():
+        if len(token) <= 3:
+            made.append(token)
+            continue
+        if token not in _STEMS:
+            _STEMS[token] = porter_stem(token)
+        made.append(_STEMS[token])
+    stems = pa.array(made, pa.string()).take(codes.indices)
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int32)
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    mask = pa.compute.is_null(lists) if lists.null_count else None
+    return pa.ListArray.from_arrays(ends, stems, mask=mask)
 
 
 def stem_tokens(tokens: Column) -> Column:
@@ -283,27 +302,17 @@ def greedy_match(
 
     ``tokens``: ``row``, ``side`` (``p`` or ``r``), ``tok`` (position) and
     ``embedding``.  The best partner of a token is its nearest neighbour on the
-    other side, found twice with the blocked search.
+    other side; one comparison serves both sides.
     """
-    sides = {s: tokens.filter(F.col("side") == s).select(row, "tok", "embedding") for s in "pr"}
-
-    def best(source: str, target: str, name: str) -> DataFrame:
-        hits = nearest(
-            sides[source],
-            sides[target].withColumnRenamed("tok", "partner"),
-            group=[row],
-            query_key="tok",
-            item_key="partner",
-            k=1,
-            metric="cosine",
-            block=block,
-        )
-        return hits.groupBy(row).agg(F.avg(1 - F.col("distance")).alias(name))
+    best = best_partners(tokens, row, block)
+
+    def mean(side: str) -> Column:
+        return F.avg(F.when(F.col("side") == side, 1 - F.col("distance")))
 
     p, r = F.col("precision"), F.col("recall")
     return (
-        best("p", "r", "precision")
-        .join(best("r", "p", "recall"), row, "full")
+        best.groupBy(row)
+        .agg(mean("p").alias("precision"), mean("r").alias("recall"))
         .join(tokens.select(row).distinct(), row, "right")  # also rows with tokens on one side only
         .fillna(0.0, ["precision", "recall"])
         .withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))

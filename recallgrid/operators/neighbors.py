@@ -1,39 +1,30 @@
 """Exact nearest-neighbour joins inside groups.
 
-Vectors travel in blocks of bounded size.  Spark shuffles and joins blocks, and
-one task compares one pair of blocks at a time as a matrix product, keeping
-``k`` rows per query.  So neither a row per (query, item) pair nor a whole group
-ever exists, and a group holding a large share of all rows is spread over as
-many keys as it has blocks.  A final window merges the per-block winners.
+A group's queries and items are cut into tiles of bounded size, and every pair of
+a query tile and an item tile is one cell.  Spark deals the rows of both sides to
+the cells (a group of n items and tiles of t send each query n/t times, and a
+group below t just once), a task holds one item tile and streams the cell's
+queries past it as matrix products, keeping ``k`` rows per query.  So neither a
+row per (query, item) pair nor a whole group ever exists, and a group holding a
+large share of all rows is spread over as many tasks as it has cells.  A final
+window merges the per-cell winners.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid.functions.vectors import DECIMALS, METRICS
-from recallgrid.operators.ordered import chunk_of
 
-BLOCK = 1_024
-SALTS = 16
-
-
-def _matrix(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and vectors of one block, in key order."""
-    keys, vectors = block.values.flatten()
-    keys = keys.to_numpy(zero_copy_only=False)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) % len(keys):
-        raise ValueError("vectors of one block differ in length")
-    order = np.argsort(keys)
-    rows = flat.reshape(len(keys), -1).astype(np.float64)
-    return keys[order], rows[order]
+BLOCK = 4_096
+STRIP = 1_024  # queries compared at a time
 
 
 def _distances(q: np.ndarray, n: np.ndarray, metric: str) -> np.ndarray:
@@ -77,52 +68,143 @@ def _best(
     return rows[keep], cols[keep], values[keep]
 
 
-def _compare_blocks(group: Sequence[str], k: int, metric: str, earlier_only: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source, q_out, n_out, d_out = [], [], [], []
-            for i in range(batch.num_rows):
-                q_keys, q = _matrix(batch.column("q_block")[i])
-                n_keys, n = _matrix(batch.column("n_block")[i])
-                dist = _distances(q, n, metric)
-                rows, cols, values = _best(q_keys, n_keys, dist, k, earlier_only)
-                source.append(np.full(len(rows), i))
-                q_out.append(q_keys[rows])
-                n_out.append(n_keys[cols])
-                d_out.append(values)
-            if not source:
-                continue
-            take = pa.array(np.concatenate(source), type=pa.int64())
-            columns = [batch.column(g).take(take) for g in group]
-            columns += [
-                pa.array(np.concatenate(q_out), type=pa.int64()),
-                pa.array(np.concatenate(n_out), type=pa.int64()),
-                pa.array(np.concatenate(d_out), type=pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [*group, "q_key", "n_key", "distance"])
-
-    return run
-
-
-def _blocks(
-    df: DataFrame, group: Sequence[str], key: str, vector: str, block: int, prefix: str
-) -> DataFrame:
-    """One row per block; a block holds at most ``block`` distinct ordinals."""
-    return (
-        df.filter(F.col(vector).isNotNull())
-        .select(
-            *group,
-            chunk_of(key, block).alias(f"{prefix}_no"),
-            F.struct(
-                F.col(key).cast("long").alias("key"),
-                F.col(vector).cast("array<float>").alias("vec"),
-            ).alias("item"),
-        )
-        .groupBy(*group, f"{prefix}_no")
-        .agg(F.collect_list("item").alias(f"{prefix}_block"))
+def _side(rows: DataFrame, group: Sequence[str], key: str, vector: str) -> DataFrame:
+    there = rows.filter(F.col(vector).isNotNull())
+    return there.select(*group, F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("vec"))
+
+
+def _directory(queries: DataFrame, items: DataFrame, group: Sequence[str], block: int, ordered: bool) -> DataFrame:
+    """Per group with both sides: its number of tiles on each side, and how keys are placed.
+
+    With ``ordered``, tiles are ranges of keys where these are dense enough for
+    ranges to be even; then only item tiles up to the query's own are needed.
+    """
+    keys = queries.select(*group, "key", F.lit(1).alias("q")).unionByName(items.select(*group, "key", F.lit(0).alias("q")))
+    sized = keys.groupBy(*group).agg(
+        F.sum("q").alias("n_q"), F.sum(1 - F.col("q")).alias("n_i"), F.min("key").alias("low"), F.max("key").alias("high")
+    )
+    reach = F.col("high") - F.col("low") + 1
+    ranged = F.lit(ordered) & (reach <= 2 * F.greatest("n_q", "n_i"))
+    return sized.filter("n_q > 0 and n_i > 0").select(
+        *group,
+        "low",
+        reach.alias("reach"),
+        ranged.alias("ranged"),
+        *[
+            F.ceil(F.when(ranged, F.greatest("n_q", "n_i")).otherwise(F.col(n)) / block).alias(t)
+            for n, t in (("n_q", "t_q"), ("n_i", "t_i"))
+        ],
     )
 
 
+def deal(queries: DataFrame, items: DataFrame, group: Sequence[str], block: int, ordered: bool = False) -> DataFrame:
+    """Rows of both sides by cell, each cell's items before its queries.
+
+    ``queries``, ``items``: group, ``key``, ``vec``.  Adds ``tile_q``, ``tile_i``
+    and ``query``, whether the row is one.
+    """
+    known = _directory(queries, items, group, block, ordered)
+
+    def tile(count: str) -> Column:
+        spot = F.expr(f"(key - low) * {count} div reach")
+        return F.when(F.col("ranged"), spot).otherwise(F.pmod(F.xxhash64("key"), F.col(count)))
+
+    def cells(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(first, last))
+
+    last_i = F.when(F.col("ranged"), F.col("tile_q")).otherwise(F.col("t_i") - 1)
+    first_q = F.when(F.col("ranged"), F.col("tile_i")).otherwise(F.lit(0).cast("long"))
+    asking = queries.join(known, list(group)).withColumn("tile_q", tile("t_q")).withColumn("tile_i", cells(F.lit(0).cast("long"), last_i))
+    asked = items.join(known, list(group)).withColumn("tile_i", tile("t_i")).withColumn("tile_q", cells(first_q, F.col("t_q") - 1))
+    columns = [*group, "tile_q", "tile_i"]
+    rows = [side.select(*columns, F.lit(q).alias("query"), "key", "vec") for side, q in ((asking, True), (asked, False))]
+    # Named explicitly, because adaptive execution would merge partitions by the size
+    # of the vectors, and comparing them costs many times what reading them does.
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows[0].unionByName(rows[1]).repartition(n, *columns).sortWithinPartitions(*columns, "query")
+
+
+def _matrix(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a run of rows."""
+    vectors = part.column("vec")
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != lengths[0]).any():
+        raise ValueError("vectors of one group differ in length")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return part.column("key").to_numpy(zero_copy_only=False), flat.reshape(part.num_rows, -1)
+
+
+class Cell:
+    """The items of a cell, in key order, once the first query comes."""
+
+    def __init__(self, row: pa.RecordBatch, block: int):
+        self.row, self.limit = row, 2 * block + 2  # more means that keys repeat
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys = self.vectors = None
+
+    def hold(self, part: pa.RecordBatch) -> None:
+        self.parts.append(_matrix(part))
+        if sum(len(keys) for keys, _ in self.parts) > self.limit:
+            raise ValueError("keys must be unique within their group")
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.keys is None:
+            if len({vectors.shape[1] for _, vectors in self.parts}) > 1:
+                raise ValueError("vectors of one group differ in length")
+            keys = np.concatenate([keys for keys, _ in self.parts])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.vectors = keys[order], np.concatenate([vectors for _, vectors in self.parts])[order]
+        return self.keys, self.vectors
+
+    def strips(self, part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys, vectors = _matrix(part)
+        if self.parts and vectors.shape[1] != self.parts[0][1].shape[1]:
+            raise ValueError("vectors of one group differ in length")
+        for at in range(0, len(keys), STRIP):
+            yield keys[at : at + STRIP], vectors[at : at + STRIP]
+
+    def rows(self, group: Sequence[str], n: int) -> list[pa.Array]:
+        """The group's columns for ``n`` result rows."""
+        take = pa.array(np.zeros(n, np.int64))
+        return [self.row.column(g).take(take) for g in group]
+
+
+def over_cells(
+    batches: Iterator[pa.RecordBatch],
+    group: Sequence[str],
+    block: int,
+    ask: Callable[[Cell, pa.RecordBatch], list[pa.RecordBatch]],
+    end: Callable[[Cell], list[pa.RecordBatch]] = lambda cell: [],
+) -> Iterator[pa.RecordBatch]:
+    """Walk through dealt rows; ``ask`` gets a cell with all its items and a run of its queries."""
+    names = [*group, "tile_q", "tile_i"]
+    cell, own = None, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        for name in [*names, "query"]:
+            column = batch.column(name)
+            change[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(change)]).tolist()
+        out: list[pa.RecordBatch] = []
+        for start, stop in zip(starts, [*starts[1:], n], strict=True):
+            part = batch.slice(start, stop - start)
+            now = tuple(part.column(name)[0].as_py() for name in names)
+            if now != own:
+                out += end(cell) if cell else []
+                cell, own = Cell(part.slice(0, 1), block), now
+            if not part.column("query")[0].as_py():
+                cell.hold(part)
+            elif cell.parts:
+                out += ask(cell, part)
+        if out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    if cell:
+        yield from end(cell)
+
+
 def nearest(
     queries: DataFrame,
     items: DataFrame,
@@ -139,45 +221,37 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest items of the same group for every query.
 
-    The keys are integers, unique within the group and best dense from 0, as
-    they also place rows into blocks.  With ``earlier_only`` an item must have a
-    smaller key than the query.  Distances are rounded to six decimals before
-    ranking; ties go to the lower item key.  Columns: group, ``query_key``,
-    ``item_key``, ``distance``, ``rank`` (from 1).
+    The keys are integers, unique within the group; repeated ones are an error.
+    With ``earlier_only`` an item must have a smaller key than the query.
+    Distances are rounded to six decimals before ranking; ties go to the lower
+    item key.  Columns: group, ``query_key``, ``item_key``, ``distance``, ``rank``
+    (from 1).
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
     group = list(group)
-    q_blocks = _blocks(queries, group, query_key, query_vector, block, "q")
-    n_blocks = _blocks(items, group, item_key, item_vector, block, "n")
+    sides = _side(queries, group, query_key, query_vector), _side(items, group, item_key, item_vector)
+    dealt = deal(*sides, group, block, earlier_only)
+    names = [*group, "q_key", "n_key", "distance"]
+
+    def ask(cell: Cell, part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        n_keys, n = cell.items()
+        found = []
+        for q_keys, q in cell.strips(part):
+            rows, cols, values = _best(q_keys, n_keys, _distances(q, n, metric), k, earlier_only)
+            columns = [*cell.rows(group, len(rows)), pa.array(q_keys[rows]), pa.array(n_keys[cols]), pa.array(values, pa.float64())]
+            found.append(pa.RecordBatch.from_arrays(columns, names))
+        return found
 
-    if earlier_only:
-        aimed = q_blocks.withColumn("n_no", F.explode(F.sequence(F.lit(0).cast("long"), "q_no")))
-    else:
-        # Which item blocks a group has: keys only, and repeated per salt so that
-        # the query blocks of one big group do not meet in one task.
-        spots = (
-            items.filter(F.col(item_vector).isNotNull())
-            .select(*group, chunk_of(item_key, block).alias("n_no"))
-            .distinct()
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        )
-        aimed = (
-            q_blocks.withColumn("salt", (F.col("q_no") % SALTS).cast("int"))
-            .join(spots, [*group, "salt"])
-            .drop("salt")
-        )
-    pairs = aimed.join(n_blocks, [*group, "n_no"]).select(*group, "q_block", "n_block")
-    fields = [pairs.schema[g] for g in group]
     schema = T.StructType(
-        fields
-        + [
+        [
+            *[dealt.schema[g] for g in group],
             T.StructField("q_key", T.LongType()),
             T.StructField("n_key", T.LongType()),
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    winners = pairs.mapInArrow(_compare_blocks(group, k, metric, earlier_only), schema)
+    winners = dealt.mapInArrow(lambda batches: over_cells(batches, group, block, ask), schema)
     order = Window.partitionBy(*group, "q_key").orderBy("distance", "n_key")
     return (
         winners.withColumn("rank", F.row_number().over(order))
@@ -186,6 +260,47 @@ def nearest(
     )
 
 
+def best_partners(tokens: DataFrame, row: str, block: int = BLOCK) -> DataFrame:
+    """Per token, the cosine distance of its nearest token on the other side of its row.
+
+    ``tokens``: ``row``, ``side`` (``p`` or ``r``), ``tok``, ``embedding``.  Each
+    pair of tiles is compared once, for both sides.  Columns: ``row``, ``side``,
+    ``tok``, ``distance``.
+    """
+    sides = [_side(tokens.filter(F.col("side") == s), [row], "tok", "embedding") for s in "pr"]
+    dealt = deal(*sides, [row], block)
+    names = [row, "side", "tok", "distance"]
+
+    def answer(cell: Cell, side: str, keys: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        values = np.round(best, DECIMALS) + 0.0
+        return pa.RecordBatch.from_arrays([*cell.rows([row], len(keys)), pa.array([side] * len(keys)), pa.array(keys), pa.array(values)], names)
+
+    def ask(cell: Cell, part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        n_keys, n = cell.items()
+        if not hasattr(cell, "least"):
+            cell.least = np.full(len(n_keys), np.inf)
+        found = []
+        for q_keys, q in cell.strips(part):
+            dist = _distances(q, n, "cosine")
+            np.minimum(cell.least, dist.min(axis=0), out=cell.least)
+            found.append(answer(cell, "p", q_keys, dist.min(axis=1)))
+        return found
+
+    def end(cell: Cell) -> list[pa.RecordBatch]:
+        return [answer(cell, "r", cell.keys, cell.least)] if hasattr(cell, "least") else []
+
+    schema = T.StructType(
+        [
+            dealt.schema[row],
+            T.StructField("side", T.StringType()),
+            T.StructField("tok", T.LongType()),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    found = dealt.mapInArrow(lambda batches: over_cells(batches, [row], block, ask, end), schema)
+    return found.groupBy(row, "side", "tok").agg(F.min("distance").alias("distance"))
+
+
 def retrieve_topk(
     questions: DataFrame,
     notes: DataFrame,

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.functions.vectors import distance, embed, letter_counts, letter_encoder
+from recallgrid.operators import neighbors
 from recallgrid.operators.neighbors import asof_neighbors, retrieve_topk
 
 SCHEMA = "conv_id string, seq long, embedding array<float>"
@@ -104,3 +105,49 @@ def test_encoders(spark):
             yield texts.map(lambda t: [float(len(t or ""))])
 
     assert [r.embedding for r in embed(df, lengths).collect()] == [[4.0], [0.0], [0.0]]
+
+
+def test_repeated_keys_are_an_error(spark):
+    rows = [("a", 0, [1.0, float(i)]) for i in range(40)]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(Exception, match="unique"):
+        retrieve_topk(notes.withColumnRenamed("seq", "q_idx"), notes, 3, block=4).count()
+
+
+@pytest.mark.parametrize("block", [4, 1_024])
+def test_sparse_keys_and_one_row_per_tile_pair(spark, block):
+    vs = vectors(30, seed=21)
+    keys = [7 * i * i + 10**9 for i in range(30)]
+    notes = spark.createDataFrame([("a", k, [float(x) for x in v]) for k, v in zip(keys, vs)], SCHEMA)
+    got = asof_neighbors(notes, 3, block=block).collect()
+    want = []
+    for i, v in enumerate(vs):
+        best = sorted((measure(v, vs[j], "l2sq"), keys[j]) for j in range(i))[:3]
+        want += [(keys[i], j, d) for d, j in best]
+    assert sorted((r.seq, r.neighbor_seq, r.distance) for r in got) == sorted(want)
+
+
+def test_rows_are_sent_once_for_every_tile_of_the_other_side(spark):
+    def sides(n):
+        rows = spark.createDataFrame([("a", i, [float(i)]) for i in range(n)], "g string, key long, vec array<float>")
+        return rows, rows
+
+    dealt = neighbors.deal(*sides(64), ["g"], 16)
+    assert dealt.count() == 2 * 64 * 4 and dealt.select("tile_q", "tile_i").distinct().count() == 16
+    earlier = neighbors.deal(*sides(64), ["g"], 16, ordered=True)
+    assert earlier.count() == 2 * 16 * (4 + 3 + 2 + 1)
+    assert neighbors.deal(*sides(10), ["g"], 16).count() == 20
+
+
+def test_best_partners_of_both_sides_in_one_search(spark):
+    a, b = vectors(9, seed=31), vectors(7, seed=32)
+    rows = [("x", "p", i, [float(c) for c in v]) for i, v in enumerate(a)] + [("x", "r", i, [float(c) for c in v]) for i, v in enumerate(b)]
+    rows += [("alone", "p", 0, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    tokens = spark.createDataFrame(rows, "row_id string, side string, tok long, embedding array<float>")
+    for block in (2, 1_024):
+        found = neighbors.best_partners(tokens, "row_id", block)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        got = {(r.side, r.tok): r.distance for r in found.collect()}
+        want = {("p", i): min(measure(v, w, "cosine") for w in b) for i, v in enumerate(a)}
+        want |= {("r", i): min(measure(v, w, "cosine") for v in a) for i, w in enumerate(b)}
+        assert got == want
