@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -148,6 +149,68 @@ def match_in_record(records: DataFrame, threshold: float = COVERAGE_THRESHOLD, n
     )
 
 
+# ---- matching by note, before records are nested -------------------------------------
+
+
+def _hashed(tokens: Column) -> Column:
+    """Tokens as 64-bit numbers: compared and moved at a fraction of their texts' cost."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def note_forms(notes: DataFrame, key: Sequence[str], nfkc: bool = True) -> DataFrame:
+    """The dictionary of notes: key, ``norm`` and ``tokens`` (distinct, hashed), each note's text handled once."""
+    formed = notes.select(*key, text.evidence_form(F.col("content"), nfkc).alias("norm"))
+    return formed.withColumn("tokens", F.array_distinct(_hashed(text.word_tokens(F.col("norm")))))
+
+
+def match_hits(
+    hits: DataFrame,
+    notes: DataFrame,
+    asked: DataFrame,
+    question: Sequence[str],
+    note: Sequence[str],
+    threshold: float = COVERAGE_THRESHOLD,
+    nfkc: bool = True,
+) -> DataFrame:
+    """``asked`` with ``hits`` and ``gold`` as ``match_in_record`` gives them, from hits that carry keys only.
+
+    ``hits``: question and note keys and ``rank``; ``notes``: note keys and
+    ``content``; ``asked``: question keys and ``evidences``.  A note's normal form
+    and tokens are made once, however many questions retrieve it.  Evidences
+    travel to the notes, which are the longer texts; what comes back per hit is a
+    few numbers.  Questions without a hit are left out.
+    """
+    _checked(threshold)
+    no_text = asked.withColumn("gold", F.size("evidences"))
+    forms = F.array_distinct(F.transform(_folded(F.col("evidences"), nfkc), lambda e: text.normalize_text(e, nfkc=False)))
+    wanted = asked.select(
+        *question,
+        F.transform(
+            forms,
+            lambda e, i: F.struct(i.alias("no"), e.alias("norm"), _hashed(text.word_tokens(e)).alias("tokens")),
+        ).alias("wanted"),
+    )
+    found = F.transform(
+        F.filter(
+            "wanted",
+            lambda e: F.contains(F.col("norm"), e["norm"]) | text.covers(F.col("tokens"), e["tokens"], threshold),
+        ),
+        lambda e: e["no"],
+    )
+    keys = list(dict.fromkeys([*question, *note]))
+    # Named explicitly, as adaptive execution would merge partitions by the size of these rows.
+    n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = (
+        hits.select(*keys, "rank")
+        .join(wanted, list(question))
+        .repartition(n, *note)
+        .join(note_forms(notes, note, nfkc), list(note))
+        .select(*question, F.struct("rank", found.alias("held")).alias("hit"))
+    )
+    nested = held.groupBy(*question).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    return no_text.join(nested, list(question)).withColumn("hits", F.transform("hits", lambda h: h["held"]))
+
+
 # ---- corpus-wide matching -------------------------------------------------------
 
 PIECES = f"([{text.WORD_CLASS}]+|[^{text.WORD_CLASS}]+)"
@@ -156,7 +219,7 @@ SURPLUS = 4
 EMPTY_SALTS = 256
 
 
-def _anchors(wanted: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame:
+def _anchors(wanted: DataFrame, asked: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame:
     """The rarest tokens of every evidence in the corpus, and how many of them a text must have.
 
     Coverage allows ``m = n - ceil(threshold * n)`` of ``n`` token occurrences to
@@ -167,7 +230,6 @@ def _anchors(wanted: DataFrame, pieces: DataFrame, threshold: float) -> DataFram
     out texts that share a rare word by chance.
     """
     tokens = wanted.select("norm", "n", F.posexplode("tokens").alias("pos", "piece"))
-    asked = tokens.select("piece").distinct()
     counted = pieces.join(asked, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("found"))
     seen = asked.join(counted, "piece", "left").select("piece", F.coalesce("found", F.lit(0)).alias("seen"))
     order = Window.partitionBy("norm").orderBy("seen", F.desc(F.length("piece")), "pos")
@@ -234,9 +296,12 @@ def match_corpus(
     ``chunks``: ``doc_id``, ``text``; ``evidences``: ``item_id``, ``text``.
     Candidates come from equi-joins on rare tokens, never from a product of the
     two tables, and every candidate is then checked on the whole texts.
-    Evidences with equal normal form are matched once.  The chunks are cut into
-    pieces once; these and the lookup are staged, so that a join's build side is
-    chosen by their true sizes.  Only candidates' texts are read again.
+    Evidences with equal normal form are matched once.  The evidences' tokens are
+    staged first, so that Spark knows how few they are, and only pieces of the
+    chunks that some evidence has are ever written or shuffled; evidences of one
+    or two words look through the vocabulary, for which all pieces are staged.
+    Candidates are staged, too: where they are few, the texts they are checked on
+    stay where they are.
     """
     _checked(threshold)
     body = text.evidence_form(F.col("text"), nfkc)
@@ -248,16 +313,19 @@ def match_corpus(
         .withColumn("tokens", text.word_tokens(F.col("norm")))
         .withColumn("n", F.size("tokens"))
     )
+    wanted = stage(wanted, "evidences", heavy=False)
+    asked = stage(wanted.select(F.explode("tokens").alias("piece")).distinct(), "asked", heavy=False)
     # A lone blank holds no evidence, as those are trimmed and not empty.
     pieces = chunks.select(
         "doc_id",
         F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(PIECES), F.lit(1)))).alias("piece"),
     ).filter(F.col("piece") != " ")
-    pieces = stage(pieces, "pieces")
-    lookup = stage(
-        _anchors(wanted, pieces, threshold).unionByName(_short_anchors(pieces.select("piece").distinct(), wanted)),
-        "lookup",
-    )
+    some_short = not wanted.filter(F.col("n") <= 2).isEmpty()
+    pieces = stage(pieces if some_short else pieces.join(asked, "piece", "left_semi").select("doc_id", "piece"), "pieces")
+    anchors = _anchors(wanted, asked, pieces, threshold)
+    if some_short:
+        anchors = anchors.unionByName(_short_anchors(pieces.select("piece").distinct(), wanted))
+    lookup = stage(anchors, "lookup", heavy=False)
     candidates = (
         pieces.join(lookup, "piece")
         .groupBy("doc_id", "norm")
@@ -265,14 +333,13 @@ def match_corpus(
         .filter(F.col("found") >= F.col("need"))
         .select("doc_id", "norm")
     )
-    matches = let(
-        body,
-        lambda whole: F.contains(whole, F.col("norm"))
-        | text.covers(text.word_tokens(whole), F.col("tokens"), threshold),
-    )
+    candidates = stage(candidates, "candidates", heavy=False)
+    # Each text that is a candidate is put in normal form once, however many evidences it may hold.
+    named = candidates.select("doc_id").distinct()
+    forms = chunks.join(named, "doc_id", "left_semi").select("doc_id", body.alias("whole"))
+    matches = F.contains(F.col("whole"), F.col("norm")) | text.covers(text.word_tokens(F.col("whole")), F.col("tokens"), threshold)
     checked = (
-        candidates.join(chunks.select("doc_id", "text"), "doc_id")
-        .join(wanted.select("norm", "tokens"), "norm")
+        forms.join(candidates.join(wanted.select("norm", "tokens"), "norm"), "doc_id")
         .filter(matches)
         .select("doc_id", "norm")
         .join(items, "norm")
