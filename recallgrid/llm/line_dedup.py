@@ -2,17 +2,17 @@
 
 Pages are grouped by host; a line's ratio is the number of its host's pages
 that contain it, over all pages of the host.  Lines with a ratio above
-``max_ratio`` on at least ``min_pages`` pages are dropped.  Lines are counted by
-64-bit hash after a partial count in each task, so a hot host or line is no hot
-key; only the few hashes of each host's boilerplate (at most the host's mean
-number of lines over ``max_ratio``) meet the pages again, by host, in a join that Spark
-broadcasts or splits where it is skewed.
+``max_ratio`` on at least ``min_pages`` pages are dropped wherever they stand.
+Pages with the same text count as one, so copies of a page don't turn its own
+lines into boilerplate.  Pages and lines are known by 64-bit hashes, and counted
+after a partial count in each task, so a hot host, page or line is no hot key.
+The few hashes of each host's boilerplate (at most the host's mean number of
+lines over ``max_ratio``) are written down and meet the pages by host in a join
+whose small side Spark knows the size of, so texts stay where they are.
 
-A line with white space only is never dropped.  A page whose every worded line
-would go is a copy rather than a page with boilerplate around it, and stays
-whole.  Null texts stay null; a null host is a host of its own; repeated rows
-count as pages each; an empty table gives an empty result; input columns named
-like a result are replaced.
+A line with white space only is never dropped.  Null texts stay null; a null
+host is a host of its own; repeated rows are cleaned each; an empty table gives
+an empty result; input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.llm.tables import stage
+
 MAX_RATIO = 0.05
 MIN_PAGES = 5
 WORDED = r"[^\x20\x09-\x0D]"
@@ -31,10 +33,11 @@ def url_host(url: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """(_host, _bad): the hashes of every host's boilerplate lines; pages have _host and _lines."""
-    totals = pages.groupBy("_host").agg(F.count("*").alias("total"))
-    lines = pages.select("_host", F.explode(F.array_distinct("_lines")).alias("line")).filter(F.col("line").rlike(WORDED))
-    counts = lines.select("_host", F.xxhash64("line").alias("mark")).groupBy("_host", "mark").agg(F.count("*").alias("n"))
+    """(_host, _bad): the hashes of every host's boilerplate lines; pages have _host, _page (their text's hash) and _lines."""
+    totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("total"))
+    lines = pages.select("_host", "_page", F.explode(F.array_distinct("_lines")).alias("line")).filter(F.col("line").rlike(WORDED))
+    marks = lines.select("_host", F.xxhash64("line").alias("mark"), "_page").distinct()
+    counts = marks.groupBy("_host", "mark").agg(F.count("*").alias("n"))
     frequent = counts.filter(F.col("n") >= min_pages)
     far = frequent.alias("f").join(totals.alias("t"), F.col("f._host").eqNullSafe(F.col("t._host")))
     bad = far.filter(F.col("n") > max_ratio * F.col("total"))
@@ -49,13 +52,12 @@ def drop_boilerplate(
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """``df`` with its text cleaned, n_lines and n_dropped."""
-    own = df.drop("n_lines", "n_dropped", "_host", "_lines", "_bad", "_bad_host", "_kept")
+    own = df.drop("n_lines", "n_dropped", "_host", "_lines", "_page", "_bad", "_bad_host", "_kept")
     split = own.withColumn("_host", host).withColumn("_lines", F.split(text_col, "\n"))
-    bad = boilerplate(split.select("_host", "_lines"), max_ratio, min_pages)
-    met = split.join(bad, F.col("_host").eqNullSafe(F.col("_bad_host")), "left")
-    # without boilerplate at the host, or with nothing else on the page, all lines stay
+    bad = boilerplate(split.select("_host", F.xxhash64(text_col).alias("_page"), "_lines"), max_ratio, min_pages)
+    met = split.join(stage(bad, "boilerplate"), F.col("_host").eqNullSafe(F.col("_bad_host")), "left")
     rest = F.filter("_lines", lambda line: ~line.rlike(WORDED) | ~F.array_contains("_bad", F.xxhash64(line)))
-    kept = F.when(F.col("_bad").isNull() | ~F.exists(rest, lambda line: line.rlike(WORDED)), F.col("_lines")).otherwise(rest)
+    kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(rest)
     count = lambda lines: F.coalesce(F.size(lines), F.lit(0)).cast("long")
     return (
         met.withColumn("_kept", kept)

@@ -9,22 +9,19 @@ BLACK = r"[^\x20\x09-\x0D]"
 
 LINE_DEDUP = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-t AS (SELECT source, count(*) AS total FROM d GROUP BY source),
-l AS (SELECT source, unnest(list_distinct(ls)) AS line FROM d),
+p AS (SELECT DISTINCT source, text, ls FROM d),
+t AS (SELECT source, count(*) AS total FROM p GROUP BY source),
+l AS (SELECT source, unnest(list_distinct(ls)) AS line FROM p),
 bad AS (
   SELECT l.source, l.line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
   WHERE regexp_matches(l.line, '{BLACK}')
   GROUP BY l.source, l.line, t.total
   HAVING count(*) >= {MIN_PAGES} AND count(*) > {MAX_RATIO} * t.total),
 b AS (SELECT source, list(line) AS bs FROM bad GROUP BY source),
-r AS (
-  SELECT d.doc_id, d.source, d.text, ls,
-         list_filter(ls, lambda x: NOT regexp_matches(x, '{BLACK}') OR NOT list_contains(coalesce(bs, []), x)) AS rest
-  FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
 k AS (
-  SELECT doc_id, source, text, ls,
-         CASE WHEN len(list_filter(rest, lambda x: regexp_matches(x, '{BLACK}'))) = 0 THEN ls ELSE rest END AS kept
-  FROM r)
+  SELECT d.doc_id, d.source, d.text, ls,
+         list_filter(ls, lambda x: NOT regexp_matches(x, '{BLACK}') OR NOT list_contains(coalesce(bs, []), x)) AS kept
+  FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
        CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped
 FROM k

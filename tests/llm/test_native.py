@@ -62,16 +62,15 @@ def test_rule_sample_is_bounded_and_from_all_rows(docs):
 
 
 def lines_by_hand(rows, ratio, least):
-    pages, counts = Counter(h for _, _, h in rows), Counter()
-    for _, text, host in rows:
+    single = {(t, h) for _, t, h in rows}  # copies of a page count as one
+    pages, counts = Counter(h for _, h in single), Counter()
+    for text, host in single:
         counts.update({(host, x) for x in (text or "").split("\n")} if text is not None else ())
     out = []
     for i, text, host in rows:
         own = None if text is None else text.split("\n")
         bad = lambda x: re.search(r"[^\x20\x09-\x0D]", x) and counts[host, x] >= least and counts[host, x] > ratio * pages[host]  # noqa: B023, E731
         rest = None if own is None else [x for x in own if not bad(x)]
-        if own is not None and not any(re.search(r"[^\x20\x09-\x0D]", x) for x in rest):
-            rest = own
         out.append((str(i), str(host), None if own is None else "\n".join(rest), len(own or []), len(own or []) - len(rest or [])))
     return sorted(out, key=str)
 
@@ -87,6 +86,7 @@ def test_line_dedup_equals_brute_force(docs):
             own.append("rare notice")
         rows.append((100 + i, "\n".join(own), rng.choice(["a", "b", None])))
     rows += [(500 + i, "All rights reserved", "a") for i in range(3)]
+    rows += [(600 + i, "one page\nof which\nthere are copies", "b") for i in range(40)]
     frame = docs([])
     for host in {h for _, _, h in rows}:
         frame = frame.union(docs([(i, t) for i, t, h in rows if h == host], host))
