@@ -272,9 +272,9 @@ def records_folder(spark: SparkSession, sf: str) -> str:
     )
     bare = rows.filter(number == 4).withColumn("value", _json(*base[:3], conv, F.col("chunks")))
     cut = rows.filter(number == 0).withColumn("value", F.concat(F.lit('{"question_id": "'), "question_id"))
-    _write_lines(plain.select("value").unionByName(cut.select("value")).coalesce(1), f"{root}/plain")
-    _write_lines(odd.coalesce(1), f"{root}/objects")
-    _write_lines(bare.coalesce(1), f"{root}/bare")
+    _write_lines(plain.select("value").unionByName(cut.select("value")), f"{root}/plain")
+    _write_lines(odd, f"{root}/objects")
+    _write_lines(bare, f"{root}/bare")
     return root
 
 

@@ -17,6 +17,9 @@ from recallgrid.functions.stemming import porter_stem
 from recallgrid.operators.neighbors import BLOCK, best_partners
 
 MAX_ORDER = 4  # BLEU n-gram orders
+# ---- fixed value: what 13a sets apart everywhere, as the inside of a character class
+PUNCTUATION = r"!\"#$%&()*+/:;<=>?@\[\\\]^_`{|}~"
+# ---- end of fixed value -----------------------------------------------------------
 
 
 # ---- tokens ---------------------------------------------------------------------
@@ -35,7 +38,7 @@ def bleu_tokens(value: Column, tokenize: str = "13a") -> Column:
             spread = F.replace(spread, F.lit(name), F.lit(char))
         spread = F.concat(F.lit(" "), spread, F.lit(" "))
         for pattern, put in (
-            (r"([\x21-\x26\x28-\x2b\x2f\x3a-\x40\x5b-\x60\x7b-\x7e])", " $1 "),
+            (f"([{PUNCTUATION}])", " $1 "),
             (r"([^0-9])([.,])", "$1 $2 "),
             (r"([.,])([^0-9])", " $1 $2"),
             (r"([0-9])(-)", "$1 $2 "),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from recallgrid.operators.matching import coerce_records
 from recallgrid.operators.ordered import sum_before
 from recallgrid.schemas import CORRUPT, DATASET, RETRIEVAL_RECORD
+from recallgrid.sources.stages import stage
 
 
 def _read_json(
@@ -20,7 +21,7 @@ def _read_json(
 
     Positions count from 0 in every file, however it is split: the rows of every
     split are counted in a pass of their own.  JSON Lines files are split over
-    tasks; an array file cannot be, so one task streams it.
+    tasks, which is the way at scale; an array file cannot be, so one task streams it.
     """
     wanted = [paths] if isinstance(paths, str) else list(paths)
     rows = (
@@ -36,6 +37,7 @@ def _read_json(
     # A split lies in one task, which may read several; rows before it are summed along the file.
     splits = rows.groupBy("source", "_split").agg(F.min("position").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     begins = sum_before(splits, ["source"], ["_split"], "_rows", "_begin").drop("_rows")
+    begins = stage(begins, "splits", heavy=False)  # a few numbers a split: conversations needn't move to meet them
     return (
         rows.join(begins, ["source", "_split"])
         .withColumn("position", F.col("position") - F.col("_first") + F.col("_begin"))
