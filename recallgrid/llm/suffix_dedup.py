@@ -4,7 +4,7 @@ Every window of 100 bytes that also starts earlier (in a document before, or
 further up in the same one) is removed; windows may overlap.
 
 1. Documents are packed in blocks of bounded size.  In each, windows that share
-   their least 24-byte hash are one record: equal windows always fall in records
+   their least 20-byte hash are one record: equal windows always fall in records
    of the same anchor.  Records repeated inside a block are marked at once.
 2. Records of an anchor that stands once in the corpus can't match and go no
    further.  The others meet in shards by anchor, in document order.  Equal
@@ -43,7 +43,7 @@ from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, texts_of
 
 WIDTH = 100
-GRAM = 24  # bytes of an anchor: 16 + 8
+GRAM = 20  # bytes of an anchor: 16 + 4
 BLOCK = 1 << 24  # bytes of a block, unless one text alone has more
 STRIPE = 1 << 20  # bytes hashed at a time
 SHARD = 1 << 24  # bytes of the corpus for each shard of anchors
@@ -51,6 +51,7 @@ BATCH = 32_768  # windows of a batch
 TASKS = 20_000
 SAMPLED = 32  # one document of so many shows which anchors are frequent
 FREQUENT = 2_000  # an anchor that heads more than one of so many records goes window by window
+TIES = 1 << 16  # rows of one id go by so much of their texts' hashes, then by place
 RECORD, SPAN = 0, 1
 
 _rng = np.random.default_rng(11)
@@ -62,12 +63,12 @@ STEPS = _rng.integers(0, 1 << 63, 5, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(octets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 24 bytes from each place on."""
+    """A 64-bit hash of the 20 bytes from each place on."""
     held = {1: LETTERS[octets]}
     for step, size in enumerate((1, 2, 4, 8)):
         last = held[size]
         held[2 * size] = last[:-size] * STEPS[step] + last[size:]
-    both = held[16][:-8] * STEPS[4] + held[8][16:]
+    both = held[16][:-4] * STEPS[4] + held[4][16:]
     both ^= both >> np.uint64(31)
     both *= np.uint64(0x9E3779B97F4A7C15)
     both ^= both >> np.uint64(29)
@@ -173,7 +174,7 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             columns = {
                 "block": pa.array([number], pa.int64()),
                 "doc_ids": pa.array([[d[0] for d in held]], pa.list_(kind)),
-                "ties": pa.array([[d[1] >> 1 for d in held]], pa.list_(pa.int64())),
+                "ties": pa.array([[d[1] for d in held]], pa.list_(pa.int64())),
                 "sizes": pa.array([[len(d[2]) for d in held]], pa.list_(pa.int64())),
                 "raw": pa.array([packer().compress(raw)], pa.binary()),
                 "sampled": pa.array([signed(np.concatenate([np.zeros(0, np.uint64), *seen])).tolist()], pa.list_(pa.int64())),
@@ -187,7 +188,7 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 if held and length + len(octets) > limit:
                     yield record()
                     number, held, length = number + 1, [], 0
-                held.append((doc_id, xxhash.xxh3_64_intdigest(octets), octets))
+                held.append((doc_id, xxhash.xxh3_64_intdigest(octets) % TIES, octets))
                 length += len(octets)
         if held:
             yield record()
@@ -240,13 +241,14 @@ def repeated_records(packed: DataFrame, frequent: frozenset[int], width: int = W
 
     made = packed.select("block", "sizes", "raw").mapInArrow(run, "block long, at long, h long, about long")
     anchor, equal = Window.partitionBy("h"), Window.partitionBy("h", "about")
-    counted = made.withColumn("least", F.min(F.struct("block", "at")).over(equal)).select(
+    # A block has a record once, so its number tells equal ones apart.
+    counted = made.withColumn("least", F.min("block").over(equal)).select(
         "block",
         "at",
         "h",
         "about",
         F.count("*").over(anchor).alias("n"),
-        ((F.min("about").over(anchor) != F.max("about").over(anchor)) & (F.col("least") == F.struct("block", "at"))).alias("other"),
+        ((F.min("about").over(anchor) != F.max("about").over(anchor)) & (F.col("least") == F.col("block"))).alias("other"),
     )
     span = F.col("about") == SPAN
     return counted.filter(span | (F.col("n") > 1)).drop("n")
@@ -392,10 +394,10 @@ def cut(packed: DataFrame, removed: DataFrame, width: int = WIDTH) -> DataFrame:
 def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept of every row.
 
-    Strings of ``width`` bytes (24 to 150) that also start earlier are removed.
+    Strings of ``width`` bytes (20 to 146) that also start earlier are removed.
     """
     if not GRAM <= width <= GRAM + 126:
-        raise ValueError("width must be between 24 and 150")
+        raise ValueError("width must be between 20 and 146")
     packed = stage(blocks(df, id_col, text_col, width), "blocks")
     total = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
