@@ -36,7 +36,8 @@ from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, kept, texts_of
 
 SPACE = "▁"
-BLOCK = 400_000  # stretches of a block, unless one text alone has more
+BLOCK = 250_000  # stretches of a block, unless one text alone has more
+GROUP = 256  # texts looked at together
 KEPT = 4_000_000  # links of the stretches a worker remembers, each stretch counting for 10 more
 PAIR = 1 << 32  # a pair of ids as one number: A's times this, plus B's
 
@@ -148,7 +149,11 @@ class Aligner:
         a_side = self.a.encode_batch(parts, add_special_tokens=False)
         b_side = self.b.encode_as_proto([s[1:] for s in parts], num_threads=1)
         a_lists = [e.ids for e in a_side]
-        b_lists = [[p.id for p in e.pieces] for e in b_side]
+        b_lists, b_coarse = [], []
+        for e in b_side:
+            spans = [(p.id, p.end) for p in e.pieces]
+            b_lists.append([i for i, _ in spans])
+            b_coarse.append([end for _, end in spans])
         raws = [s.encode("utf-8", "surrogatepass") for s in parts]
         good = list(range(len(parts)))
         joined = b"".join(raws)
@@ -174,7 +179,7 @@ class Aligner:
         b_ids, b_of = flat(b_lists)
         a_spans = octets[chars[a_of] + np.array([end for n in good for _, end in a_side[n].offsets])]
         # B's spans are bytes of the text without the space that it adds.
-        b_spans = bases[b_of] + 1 + np.array([p.end for n in good for p in b_side[n].pieces])
+        b_spans = bases[b_of] + 1 + np.array([end for n in good for end in b_coarse[n]], np.int64)
         a_ends = refined_ends(a_spans, self.a_sizes[a_ids], bases[a_of])
         b_ends = refined_ends(b_spans, self.b_sizes[b_ids], bases[b_of])
         return good, Aligned(a_ids, a_ends, b_ids, b_ends, ends)
@@ -315,8 +320,8 @@ def blocks(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text
         number, block, kind = TaskContext.get().partitionId() << 32, Block(memory), pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
+            for start in range(0, batch.num_rows, GROUP):
+                part = batch.slice(start, GROUP)
                 block.add(part["doc_id"].to_pylist(), [stretches(t) if t else [] for t in part["text"].to_pylist()])
                 if block.size >= size or memory.size > KEPT:
                     yield block.record(number, kind)
