@@ -133,7 +133,7 @@ def marked(raw: bytes, ends: np.ndarray, frequent: frozenset, width: int) -> tup
             hashes = np.concatenate([hashes[~apart], own])
     digest, tail = xxhash.xxh3_64_intdigest, width - 1
     content = [digest(raw[s : s + n + tail]) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    content = np.array(content, np.uint64) >> np.uint64(10)
+    content = np.array(content, np.uint64) >> np.uint64(16)  # 48 bits beside the anchor's 64
     order = np.lexsort((starts, content, hashes))
     starts, sizes, hashes, content = starts[order], sizes[order], hashes[order], content[order]
     again = np.zeros(len(starts), bool)
@@ -199,7 +199,7 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 def packer() -> zstandard.ZstdCompressor:
     """Looks for matches over a whole block: blocks are written once and shuffled twice."""
-    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(6, window_log=24, enable_ldm=True))
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(9, window_log=24, enable_ldm=True))
 
 
 def frequent_anchors(packed: DataFrame) -> frozenset[int]:
