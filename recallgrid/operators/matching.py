@@ -229,10 +229,12 @@ def _anchors(wanted: DataFrame, asked: DataFrame, pieces: DataFrame, threshold:
     keeps common words out of the join, and ``s = SURPLUS`` instead of one keeps
     out texts that share a rare word by chance.
     """
-    tokens = wanted.select("norm", "n", F.posexplode("tokens").alias("pos", "piece"))
+    # A lone word found as such is found as a part of the text, too.
+    lone = (F.col("n") == 1) & (F.col("norm") == F.get("tokens", F.lit(0)))
+    tokens = wanted.filter(~lone).select("no", "n", F.posexplode("tokens").alias("pos", "piece"))
     counted = pieces.join(asked, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("found"))
     seen = asked.join(counted, "piece", "left").select("piece", F.coalesce("found", F.lit(0)).alias("seen"))
-    order = Window.partitionBy("norm").orderBy("seen", F.desc(F.length("piece")), "pos")
+    order = Window.partitionBy("no").orderBy("seen", F.desc(F.length("piece")), "pos")
     absent = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).cast("int")
     # One or two tokens: only coverage is decided here, substrings elsewhere.
     spare = F.when(F.col("n") >= 3, F.greatest(absent, F.lit(2))).otherwise(absent)
@@ -242,7 +244,7 @@ def _anchors(wanted: DataFrame, asked: DataFrame, pieces: DataFrame, threshold:
         .withColumn("place", F.row_number().over(order))
         .withColumn("need", need)
         .filter(F.col("place") <= spare + F.col("need"))
-        .groupBy("piece", "norm", "need")
+        .groupBy("piece", "no", "n", "need", F.least("n", spare + F.col("need")).alias("anchors"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
 
@@ -260,28 +262,42 @@ def _grams(value: Column) -> Column:
     return F.array_distinct(F.concat(*[of_length(n) for n in range(1, GRAM + 1)]))
 
 
-def _short_anchors(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pieces that hold an evidence of at most two tokens, or its longest token.
+def _short_parts(wanted: DataFrame) -> DataFrame:
+    """Of every evidence of at most two tokens, ``part``: its longest token, or the whole of it without any.
 
-    Such an evidence may begin and end inside words, so it is looked up in the
-    vocabulary: its longest token (or, without any token, the whole evidence)
-    must occur inside one word or one run of other characters.  The lookup goes
-    by the last ``GRAM`` characters.
+    Such an evidence may begin and end inside words, so its part must occur
+    inside one word or one run of other characters, and at the beginning or end
+    of that word where the evidence goes on.
     """
     longest = F.reduce(
         "tokens",
         F.lit(""),
         lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best),
     )
-    short = wanted.filter(F.col("n") <= 2).select(
-        "norm", F.when(F.col("n") == 0, F.col("norm")).otherwise(longest).alias("part")
+    second = F.coalesce(F.array_position("tokens", F.col("part")) == 2, F.lit(False))
+    return (
+        wanted.filter(F.col("n") <= 2)
+        .withColumn("part", F.when(F.col("n") == 0, F.col("norm")).otherwise(longest))
+        .select(
+            "no",
+            "part",
+            (second | ~F.startswith("norm", F.col("part"))).alias("begins"),
+            (((F.col("n") == 2) & ~second) | ~F.endswith("norm", F.col("part"))).alias("ends"),
+            (F.col("norm") == F.col("part")).alias("whole"),
+        )
     )
-    keyed = short.withColumn("gram", F.expr(f"right(part, {GRAM})"))
+
+
+def _holders(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pieces and the parts they hold, looked up by the last ``GRAM`` characters of a part."""
+    keyed = parts.withColumn("gram", F.expr(f"right(part, {GRAM})"))
+    piece, part = F.col("piece"), F.col("part")
     return (
-        vocabulary.withColumn("gram", F.explode(_grams(F.col("piece"))))
+        vocabulary.withColumn("gram", F.explode(_grams(piece)))
         .join(keyed, "gram")
-        .filter(F.contains(F.col("piece"), F.col("part")))
-        .select("piece", "norm", F.lit(1).alias("need"), F.lit(1).cast("long").alias("weight"))
+        .filter(F.contains(piece, part))
+        .filter((~F.col("begins") | F.startswith(piece, part)) & (~F.col("ends") | F.endswith(piece, part)))
+        .select("piece", "part_no")
     )
 
 
@@ -295,7 +311,7 @@ def match_corpus(
 
     ``chunks``: ``doc_id``, ``text``; ``evidences``: ``item_id``, ``text``.
     Candidates come from equi-joins on rare tokens, never from a product of the
-    two tables, and every candidate is then checked on the whole texts.
+    two tables, and are then checked on the whole texts.
     Evidences with equal normal form are matched once.  The evidences' tokens are
     staged first, so that Spark knows how few they are, and only pieces of the
     chunks that some evidence has are ever written or shuffled; evidences of one
@@ -312,6 +328,7 @@ def match_corpus(
         .distinct()
         .withColumn("tokens", text.word_tokens(F.col("norm")))
         .withColumn("n", F.size("tokens"))
+        .withColumn("no", F.monotonically_increasing_id())
     )
     wanted = stage(wanted, "evidences", heavy=False)
     asked = stage(wanted.select(F.explode("tokens").alias("piece")).distinct(), "asked", heavy=False)
@@ -322,29 +339,59 @@ def match_corpus(
     ).filter(F.col("piece") != " ")
     some_short = not wanted.filter(F.col("n") <= 2).isEmpty()
     pieces = stage(pieces if some_short else pieces.join(asked, "piece", "left_semi").select("doc_id", "piece"), "pieces")
-    anchors = _anchors(wanted, asked, pieces, threshold)
-    if some_short:
-        anchors = anchors.unionByName(_short_anchors(pieces.select("piece").distinct(), wanted))
-    lookup = stage(anchors, "lookup", heavy=False)
-    candidates = (
+    lookup = stage(_anchors(wanted, asked, pieces, threshold), "lookup", heavy=False)
+    # Ids that several texts share: what is found by id may hold for one of them only.
+    shared = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    shared = stage(shared.select("doc_id", F.lit(True).alias("shared")), "shared", heavy=False)
+    told = F.col("shared").isNull()
+    enough = (F.col("found") + F.col("n") - F.col("anchors")) / F.col("n") >= threshold
+    by_words = (
         pieces.join(lookup, "piece")
-        .groupBy("doc_id", "norm")
+        .groupBy("doc_id", "no", "n", "anchors")
         .agg(F.sum("weight").alias("found"), F.min("need").alias("need"))
         .filter(F.col("found") >= F.col("need"))
-        .select("doc_id", "norm")
+        .join(shared, "doc_id", "left")
+        .withColumn("covered", enough & (F.col("anchors") == F.col("n")) & told)
+        .select(
+            "doc_id",
+            "no",
+            F.lit(True).alias("by_words"),
+            enough.alias("may_cover"),
+            "covered",
+            (F.col("covered") & (F.col("n") > 2)).alias("sure"),
+        )
     )
-    candidates = stage(candidates, "candidates", heavy=False)
-    # Each text that is a candidate is put in normal form once, however many evidences it may hold.
-    named = candidates.select("doc_id").distinct()
-    forms = chunks.join(named, "doc_id", "left_semi").select("doc_id", body.alias("whole"))
-    matches = F.contains(F.col("whole"), F.col("norm")) | text.covers(text.word_tokens(F.col("whole")), F.col("tokens"), threshold)
-    checked = (
-        forms.join(candidates.join(wanted.select("norm", "tokens"), "norm"), "doc_id")
-        .filter(matches)
-        .select("doc_id", "norm")
-        .join(items, "norm")
-        .select("doc_id", "item_id")
+    found = by_words
+    if some_short:
+        # Evidences share their parts, and a text may hold a part in many pieces: both count once.
+        short, kind = _short_parts(wanted), ["part", "begins", "ends"]
+        parts = short.groupBy(*kind).agg(F.min("no").alias("part_no"))
+        holders = stage(_holders(pieces.select("piece").distinct(), parts), "holders", heavy=False)
+        held = pieces.join(holders, "piece").select("doc_id", "part_no").distinct()
+        inside = held.join(short.join(parts, kind).select("part_no", "no", "whole"), "part_no").join(shared, "doc_id", "left")
+        no = F.lit(False)
+        # A part that is the whole evidence needs no second look.
+        by_part = inside.select(
+            "doc_id", "no", no.alias("by_words"), no.alias("may_cover"), no.alias("covered"), (F.col("whole") & told).alias("sure")
+        )
+        found = found.unionByName(by_part)
+    found = stage(found, "candidates", heavy=False)
+    unsure = found.filter(~F.col("sure")).drop("sure")
+    # Each text that is looked at is put in normal form and cut into words once, however many evidences it may hold.
+    forms = (
+        chunks.join(unsure.select("doc_id").distinct(), "doc_id", "left_semi")
+        .select("doc_id", body.alias("whole"))
+        .withColumn("have", F.array_distinct(text.word_tokens(F.col("whole"))))
+    )
+    contained = F.contains(F.col("whole"), F.col("norm"))
+    covers = F.col("may_cover") & (F.col("covered") | text.covers(F.col("have"), F.col("tokens"), threshold))
+    # Short evidences that are contained come by their parts, so by words only the others are left.
+    matches = (
+        F.when(~F.col("by_words"), contained).when(F.col("n") <= 2, ~contained & covers).otherwise(contained | covers)
     )
+    checked = forms.join(unsure.join(wanted, "no"), "doc_id").filter(matches).select("doc_id", "norm")
+    sure = found.filter(F.col("sure") & F.col("doc_id").isNotNull()).join(wanted, "no").select("doc_id", "norm")
+    named = checked.unionByName(sure).join(items, "norm").select("doc_id", "item_id")
     # The empty evidence is part of every text, so all these pairs are the result.
     # Chunks are dealt by salt and only their ids are read.
     salts = F.sequence(F.lit(0), F.lit(EMPTY_SALTS - 1)).cast("array<bigint>")
@@ -355,4 +402,4 @@ def match_corpus(
         .join(empty, "salt")
         .select("doc_id", "item_id")
     )
-    return checked.unionByName(everywhere)
+    return named.unionByName(everywhere)

@@ -151,6 +151,24 @@ def test_corpus_matching_equals_brute_force(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
 
 
+def test_short_evidences_look_at_the_right_end_of_words(spark):
+    rows = [(1, "a fox", ["a", "fox"], 2), (2, "ox", ["ox"], 1), (3, "ox.", ["ox"], 1)]
+    parts = matching._short_parts(spark.createDataFrame(rows, "no long, norm string, tokens array<string>, n int"))
+    words = spark.createDataFrame([("fox",), ("redfox",), ("foxes",)], "piece string")
+    found = matching._holders(words, parts.withColumnRenamed("no", "part_no")).collect()
+    assert sorted((r.part_no, r.piece) for r in found) == [
+        (1, "fox"), (1, "foxes"), (2, "fox"), (2, "foxes"), (2, "redfox"), (3, "fox"), (3, "redfox"),
+    ]
+
+
+def test_texts_that_share_an_id_are_matched_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (1, "blue hen"), (1, "red fox"), (None, "red fox")], "doc_id int, text string")
+    wanted = ["red", "ed f", "fox red", "red fox hen", "the red blue fox"]
+    items = spark.createDataFrame(list(enumerate(wanted)), "item_id int, text string")
+    found = matching.match_corpus(docs, items, threshold=0.6)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1, i) for i in (0, 0, 1, 1, 2, 2, 3, 3)]
+
+
 def test_files_are_averaged_and_ranked_apart(spark):
     rows = [("f1", 0, "q", "a", 0.1), ("f1", 1, "q", "b", 0.9), ("f2", 0, "q", "c", 0.2), ("f2", 1, "q", "d", 0.8)]
     frame = spark.createDataFrame(rows, "source string, idx long, question_id string, question string, f1 double").selectExpr(
