@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -15,14 +14,8 @@ from recallgrid.operators.turns import turn_text
 
 END = "end"  # value of ``kind`` in the row that closes a session
 
-MESSAGE = T.StructType(
-    [
-        T.StructField("session_id", T.StringType()),
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("content", T.StringType()),
-    ]
-)
+MESSAGE = "session_id string, timestamp string, role string, content string"
+PROGRESS = f"next_pos bigint, turn_no bigint, closed boolean, ahead boolean, pos bigint, {MESSAGE}"
 
 OUTPUT = T.StructType(
     [
@@ -41,12 +34,17 @@ OUTPUT = T.StructType(
 )
 
 
+MADE = Row(*OUTPUT.names)
+
+
 class TurnPairing(StatefulProcessor):
     """Pairs messages of one session as they come.
 
-    State: where reading has got to, the opener waiting for its reply, and the
-    messages that arrived ahead of their turn.  A session closes with an ``end``
-    row or, after ``idle_ms`` without messages, with a timer; gaps are then
+    State: where reading has got to and the opener waiting for its reply, as one
+    value, and the messages that arrived ahead of their turn.  What a batch
+    brings is paired in memory, so only messages still ahead of a gap are
+    written to state, and only those are looked up there.  A session closes with an
+    ``end`` row or, after ``idle_ms`` without messages, with a timer; gaps are then
     stepped over.  What comes later for a position already passed is ``late``.
     With ``ttl_ms`` the state of a session goes that long after its last change.
     """
@@ -56,110 +54,112 @@ class TurnPairing(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        progress = "next_pos bigint, turn_no bigint, closed boolean"
-        self.progress = handle.getValueState("progress", progress, self.ttl_ms)
-        waiting = T.StructType([T.StructField("pos", T.LongType()), *MESSAGE.fields])
-        self.waiting = handle.getValueState("waiting", waiting, self.ttl_ms)
+        self.progress = handle.getValueState("progress", PROGRESS, self.ttl_ms)
         self.ahead = handle.getMapState("ahead", "pos bigint", MESSAGE, self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        next_pos, turn_no, closed = self._load()
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        at = _Reading(key, self.progress.get())
+        come: dict[int, tuple] = {}
         ending = False
-        for batch in rows:
-            for m in batch.itertuples(index=False):
-                if m.kind == END:
-                    ending = True
-                elif closed or m.msg_pos < next_pos:
-                    out.append(self._row(key, "late", m.msg_pos, None, m.session_id, m.timestamp, m.role, None, m.content, None))
-                else:
-                    self.ahead.updateValue(
-                        (int(m.msg_pos),),
-                        (m.session_id, m.timestamp, _text(m.role), _text(m.content)),
-                    )
-        while self.ahead.containsKey((next_pos,)):
-            turn_no = self._take(key, next_pos, turn_no, out)
-            next_pos += 1
+        for m in rows:
+            if m.kind == END:
+                ending = True
+            elif at.closed or m.msg_pos < at.next_pos:
+                at.put("late", m.msg_pos, None, m.session_id, m.timestamp, m.role, None, m.content, None)
+            else:
+                come[m.msg_pos] = (m.session_id, m.timestamp, m.role, m.content)
+        while (message := self._next(at, come)) is not None:
+            at.take(at.next_pos, message)
+            at.next_pos += 1
         if ending:
-            next_pos, turn_no = self._close(key, next_pos, turn_no, out)
-        closed = closed or ending
-        self.progress.update((next_pos, turn_no, closed))
-        if self.idle_ms is not None and not closed:
+            self._close(at, come)
+        for pos, message in come.items():
+            self.ahead.updateValue((pos,), message)
+            at.ahead = True
+        at.closed = at.closed or ending
+        self.progress.update(at.state())
+        if self.idle_ms is not None and not at.closed:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(
                 timer_values.getCurrentProcessingTimeInMs() + self.idle_ms
             )
-        yield self._frame(out)
+        yield from at.out
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        next_pos, turn_no, closed = self._load()
-        if not closed:
-            next_pos, turn_no = self._close(key, next_pos, turn_no, out)
-            self.progress.update((next_pos, turn_no, True))
-        yield self._frame(out)
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
+        at = _Reading(key, self.progress.get())
+        if not at.closed:
+            self._close(at, {})
+            at.closed = True
+            self.progress.update(at.state())
+        yield from at.out
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> tuple[int, int, bool]:
-        if not self.progress.exists():
-            return 0, 0, False
-        next_pos, turn_no, closed = self.progress.get()
-        return int(next_pos), int(turn_no), bool(closed)
-
-    def _take(self, key, pos: int, turn_no: int, out: list) -> int:
+    def _next(self, at: _Reading, come: dict[int, tuple]) -> tuple | None:
+        """The message at the next position, taken from the batch or from state; the newer one counts."""
+        message = come.pop(at.next_pos, None)
+        if at.ahead:
+            held = self.ahead.getValue((at.next_pos,))
+            if held is not None:
+                self.ahead.removeKey((at.next_pos,))
+                at.ahead = self.ahead.exists()
+                message = message or tuple(held)
+        return message
+
+    def _close(self, at: _Reading, come: dict[int, tuple]) -> None:
+        if at.ahead:
+            come |= {int(k[0]): tuple(v) for k, v in list(self.ahead.iterator()) if int(k[0]) not in come}
+            self.ahead.clear()
+            at.ahead = False
+        for pos in sorted(come):
+            at.take(pos, come[pos])
+            at.next_pos = pos + 1
+        come.clear()
+        at.end()
+
+
+class _Reading:
+    """Where the reading of a session has got to, and the rows made on the way."""
+
+    def __init__(self, key, state: tuple | None) -> None:
+        self.key, self.out = key, []
+        self.next_pos, self.turn_no, self.closed, self.ahead, *opener = state or (0, 0, False, False, None)
+        self.opener = tuple(opener) if opener[0] is not None else None
+
+    def state(self) -> tuple:
+        return (self.next_pos, self.turn_no, self.closed, self.ahead, *(self.opener or [None] * 5))
+
+    def put(self, kind: str, *fields) -> None:
+        self.out.append(MADE(self.key[0], self.key[1], kind, *fields))
+
+    def take(self, pos: int, message: tuple) -> None:
         """Read the message at ``pos``: as a reply, as an opener, or not at all."""
-        session_id, timestamp, role, content = self.ahead.getValue((pos,))
-        self.ahead.removeKey((pos,))
-        if self.waiting.exists():
-            opener = self.waiting.get()
-            self.waiting.clear()
+        session_id, timestamp, role, content = message
+        if self.opener is not None:
+            opener, self.opener = self.opener, None
             # A gap that was stepped over separates an opener from its reply.
             answers = opener[0] == pos - 1 and (role or "assistant") != opener[3]
-            turn_no = self._emit(key, opener, role or "assistant" if answers else None, content if answers else None, turn_no, out)
+            self._emit(opener, role or "assistant" if answers else None, content if answers else None)
             if answers:
-                return turn_no
+                return
         if (role or "user") not in NON_STARTER_ROLES:
-            self.waiting.update((pos, session_id, timestamp, role or "user", content))
-        return turn_no
-
-    def _close(self, key, next_pos: int, turn_no: int, out: list) -> tuple[int, int]:
-        for pos in sorted(int(k[0]) for k in self.ahead.keys()):
-            turn_no = self._take(key, pos, turn_no, out)
-            next_pos = pos + 1
-        if self.waiting.exists():
-            opener = self.waiting.get()
-            self.waiting.clear()
-            turn_no = self._emit(key, opener, None, None, turn_no, out)
-        out.append(self._row(key, "closed", next_pos, turn_no, None, None, None, None, None, None))
-        return next_pos, turn_no
-
-    def _emit(self, key, opener, role, content, turn_no: int, out: list) -> int:
+            self.opener = (pos, session_id, timestamp, role or "user", content)
+
+    def end(self) -> None:
+        if self.opener is not None:
+            opener, self.opener = self.opener, None
+            self._emit(opener, None, None)
+        self.put("closed", self.next_pos, self.turn_no, None, None, None, None, None, None)
+
+    def _emit(self, opener: tuple, role: str | None, content: str | None) -> None:
         pos, session_id, timestamp, user_role, user_text = opener
         if not user_text:
-            return turn_no
+            return
         reply = content or ""
-        out.append(
-            self._row(key, "turn", pos, turn_no, session_id, timestamp, user_role, role if reply else None, user_text, reply)
-        )
-        return turn_no + 1
-
-    @staticmethod
-    def _row(key, kind, pos, turn_no, session_id, timestamp, user_role, assistant_role, user_text, reply):
-        return (key[0], key[1], kind, pos, turn_no, session_id, timestamp, user_role, assistant_role, user_text, reply)
-
-    @staticmethod
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=OUTPUT.names)
-        for name in ("session_pos", "msg_pos", "turn_no"):
-            frame[name] = frame[name].astype("Int64")
-        return frame
-
-
-def _text(value) -> str | None:
-    return None if value is None or value != value else value
+        self.put("turn", pos, self.turn_no, session_id, timestamp, user_role, role if reply else None, user_text, reply)
+        self.turn_no += 1
 
 
 def pair_turns_stream(messages: DataFrame, idle_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
@@ -176,7 +176,7 @@ def pair_turns_stream(messages: DataFrame, idle_ms: int | None = None, ttl_ms: i
     keyed = messages.withColumn("conv_id", F.col("conv_id").cast("string")).groupBy(
         "conv_id", "session_pos"
     )
-    made = keyed.transformWithStateInPandas(
+    made = keyed.transformWithState(
         statefulProcessor=TurnPairing(idle_ms, ttl_ms),
         outputStructType=OUTPUT,
         outputMode="Append",

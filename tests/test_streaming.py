@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from recallgrid.functions.vectors import letter_counts
@@ -182,3 +183,75 @@ def test_streamed_pairing_equals_the_batch_job(spark, tmp_path):
     assert got == sorted(map(str, batch.select(*fields).collect()))
     assert made.filter("kind = 'closed'").count() == len(sessions)
     assert [r.user_text for r in made.filter("kind = 'late'").collect()] == ["again"]
+
+
+class Kept:
+    """A value or map of keyed state in memory; ``calls`` counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.items, self.calls = None, {}, 0
+
+    def __getattribute__(self, name):
+        if name in ("get", "update", "exists", "getValue", "updateValue", "removeKey", "iterator", "clear"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def exists(self):
+        return bool(self.items)
+
+    def getValue(self, key):
+        return self.items.get(key)
+
+    def updateValue(self, key, value):
+        self.items[key] = value
+
+    def removeKey(self, key):
+        del self.items[key]
+
+    def iterator(self):
+        return iter(list(self.items.items()))
+
+    def clear(self):
+        self.items.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    getMapState = getValueState
+
+    def calls(self):
+        return sum(s.calls for s in self.states.values())
+
+
+def test_what_a_batch_brings_in_order_is_not_written_to_state():
+    said = Row("msg_pos", "session_id", "timestamp", "role", "content", "kind")
+    messages = [said(i, "s", "t", "user" if i % 2 == 0 else "assistant", f"m{i}", "message") for i in range(100)]
+    handle, pair = Handle(), pairing.TurnPairing()
+    pair.init(handle)
+    made = list(pair.handleInputRows(("c", 0), iter(messages[3:] + messages[:2]), None))
+    assert len(made) == 1 and len(handle.states["ahead"].items) == 97
+    made += pair.handleInputRows(("c", 0), iter(messages[2:3]), None)
+    assert [r.turn_no for r in made] == list(range(50)) and not handle.states["ahead"].items
+    handle, pair = Handle(), pairing.TurnPairing()
+    pair.init(handle)
+    assert len(list(pair.handleInputRows(("c", 0), iter(messages), None))) == 50
+    assert handle.calls() <= 3
+    turn = Row("kind", "session_pos", "turn_no", *numbering.FIELDS)
+    texts = [None] * len(numbering.FIELDS)
+    rows = [turn("turn", s, i, *texts) for s in (1, 0) for i in range(20)] + [turn("closed", s, 20, *texts) for s in (1, 0)]
+    handle, chain = Handle(), numbering.SessionChain()
+    chain.init(handle)
+    made = list(chain.handleInputRows(("c",), iter(rows), None))
+    assert sorted(r.turn_idx for r in made if r.kind == "turn") == list(range(40))
+    assert handle.calls() <= 3
