@@ -16,10 +16,12 @@ from recallgrid.plans import evaluate
 from recallgrid.schemas import DECISION
 from recallgrid.session import shared_dir
 from recallgrid.sources import collections, datasets, sinks
+from recallgrid.sources.stages import stage
 from recallgrid.streaming import counting, ingest, numbering, pairing, sessions
 
 QUERIES: dict[str, q.Query] = {}
 PARTS = 8  # files of a streamed part
+SHAPES = ("plain", "objects", "bare")  # of record files
 
 
 def query(fn: q.Query) -> q.Query:
@@ -262,26 +264,31 @@ def records_folder(spark: SparkSession, sf: str) -> str:
         fields = [F.when(i % 6 == n, chunk).alias(name) for n, name in enumerate(kinds)]
         return F.struct(*fields, i.alias("score"))
 
-    plain = rows.filter(number < 2).withColumn("value", _json(*base, conv, F.col("chunks"), F.col("evidences")))
-    odd = rows.filter(number.isin(2, 3)).withColumn(
-        "value",
-        _json(
-            *base, conv, F.transform("chunks", piece).alias("chunks"),
-            F.col("evidences").alias("evidence"), F.array(F.lit("not this")).alias("evidences"),
-        ),
+    plain = _json(*base, conv, F.col("chunks"), F.col("evidences"))
+    odd = _json(
+        *base, conv, F.transform("chunks", piece).alias("chunks"),
+        F.col("evidences").alias("evidence"), F.array(F.lit("not this")).alias("evidences"),
     )
-    bare = rows.filter(number == 4).withColumn("value", _json(*base[:3], conv, F.col("chunks")))
-    cut = rows.filter(number == 0).withColumn("value", F.concat(F.lit('{"question_id": "'), "question_id"))
-    _write_lines(plain.select("value").unionByName(cut.select("value")), f"{root}/plain")
-    _write_lines(odd, f"{root}/objects")
-    _write_lines(bare, f"{root}/bare")
+    bare = _json(*base[:3], conv, F.col("chunks"))
+    cut = F.concat(F.lit('{"question_id": "'), "question_id")
+    shape = F.when(number < 2, "plain").when(number.isin(2, 3), "objects").when(number == 4, "bare")
+    # A broken line follows its record inside one value, so no text is made twice.
+    lines = (
+        F.when(number == 0, F.concat_ws("\n", plain, cut)).when(number < 2, plain)
+        .when(number.isin(2, 3), odd).when(number == 4, bare)
+    )
+    # One search serves all files; a shape without records has an empty folder.
+    for name in SHAPES:
+        spark.createDataFrame([], "value string").write.text(f"{root}/shape={name}")
+    made = rows.filter(shape.isNotNull()).select(shape.alias("shape"), lines.alias("value"))
+    made.write.mode("append").partitionBy("shape").text(root)
     return root
 
 
 def _read_records(spark, sf) -> tuple[DataFrame, DataFrame]:
     root = records_folder(spark, sf)
-    good, bad = datasets.read_retrieval_records(spark, [f"{root}/{n}" for n in ("plain", "objects", "bare")], lines=True)
-    kind = F.regexp_extract("source", "/(plain|objects|bare)/", 1)
+    good, bad = datasets.read_retrieval_records(spark, [f"{root}/shape={n}" for n in SHAPES], lines=True)
+    kind = F.regexp_extract("source", "/shape=(plain|objects|bare)/", 1)
     return good.withColumn("source", kind), bad.withColumn("source", kind)
 
 
@@ -323,9 +330,11 @@ def bad_cases_by_source(spark, sf):
     good, _ = _read_records(spark, sf)
     # Places in a file depend on how it was written: the question id orders here.
     scores = _evaluated(spark, sf)["per_record"].withColumn("idx", F.col("question_id"))
+    # Staged, as every limit reads the scores, and every file the cases.
     rounded = scores.select("source", "idx", "question_id", "k_label", *[q.six(m) for m in retrieval_metrics.METRICS])
-    cases = retrieval_metrics.bad_cases(rounded, {"recall": 0.5}, {"f1": 7}, by=("source",))
+    cases = retrieval_metrics.bad_cases(stage(rounded, "scores", heavy=False), {"recall": 0.5}, {"f1": 7}, by=("source",))
     cases = retrieval_metrics.attach_question_text(cases, good.withColumn("idx", F.col("question_id")), by=("source",))
+    cases = stage(cases, "cases", heavy=False)
     sinks.write_bad_cases(cases, f"{root}/json")
     sinks.write_bad_cases_csv(cases, f"{root}/csv")
     nested = spark.read.option("recursiveFileLookup", False).json(f"{root}/json")
@@ -381,8 +390,10 @@ def eval_report(spark, sf):
     """All sections of a written evaluation report: rows and the sum of their numbers."""
     root = folder(spark)
     rows = _evaluated(spark, sf)
-    per_record = rows["per_record"].select("source", "question_id", "k_label", q.six("f1"))
-    averages = retrieval_metrics.average_metrics(rows["per_record"], q.KS)
+    fields = ["source", "question_id", "category", "k_label", *retrieval_metrics.METRICS, *retrieval_metrics.COUNTS]
+    scores = stage(rows["per_record"].select(*fields), "scores", heavy=False)
+    per_record = scores.select("source", "question_id", "k_label", q.six("f1"))
+    averages = retrieval_metrics.average_metrics(scores, q.KS)
     meta = spark.range(1).select(F.lit("ir").alias("precision_mode"))
     failed = _read_records(spark, sf)[1].select("source")
     sections = sinks.eval_sections(meta, averages, per_record, rows["skipped"].select("question_id"), failed)
@@ -401,9 +412,10 @@ def eval_report(spark, sf):
 def generation_report(spark, sf):
     """A written report on answers, its parts read back as one table."""
     root = folder(spark)
-    metrics = q.answer_metrics.generation_metrics(fx.answers(spark, sf), tokenize="ws", stem=False)
+    answers = stage(fx.answers(spark, sf), "answers", heavy=False)
+    metrics = q.answer_metrics.generation_metrics(answers, tokenize="ws", stem=False)
     config = spark.range(1).select(F.lit(5).alias("context_k"))
-    sinks.write_generation_report(config, metrics, fx.answers(spark, sf), f"{root}/report")
+    sinks.write_generation_report(config, metrics, answers, f"{root}/report")
     names = ["f1", "bleu", "rouge1", "rouge2", "rougeL"]
     columns = ["count", *[q.six(m) for m in names]]
     overall = spark.read.parquet(f"{root}/report/section=overall").select(F.lit("ALL").alias("category"), *columns)

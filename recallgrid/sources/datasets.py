@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from recallgrid.operators.matching import coerce_records
 from recallgrid.operators.ordered import sum_before
 from recallgrid.schemas import CORRUPT, DATASET, RETRIEVAL_RECORD
+from recallgrid.sources.stages import stage
 
 
 def _read_json(
@@ -36,9 +37,12 @@ def _read_json(
     # A split lies in one task, which may read several; rows before it are summed along the file.
     splits = rows.groupBy("source", "_split").agg(F.min("position").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     begins = sum_before(splits, ["source"], ["_split"], "_rows", "_begin").drop("_rows")
+    # Staged, so that Spark knows how few they are and the rows stay where they are read.
+    begins = stage(begins, "splits", heavy=False)
+    here = F.col("position") - F.col("_first") + F.col("_begin")
     return (
-        rows.join(begins, ["source", "_split"])
-        .withColumn("position", F.col("position") - F.col("_first") + F.col("_begin"))
+        rows.join(begins, ["source", "_split"], "left")
+        .withColumn("position", F.coalesce(here, F.raise_error(F.lit("a file was split anew while it was read")).cast("long")))
         .drop("_split", "_first", "_begin")
     )
 

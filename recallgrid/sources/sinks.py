@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.sources.stages import stage
+
 CHUNK_FIELDS = ["id", "content", "score", "keywords", "tags", "context", "timestamp", "category"]
 QUESTION_FIELDS = ["question_id", "question", "answer", "evidences", "category", "conv_id"]
 
@@ -46,7 +48,8 @@ def write_eval_report(sections: Mapping[str, DataFrame], path: str) -> None:
 def eval_sections(
     meta: DataFrame, averages: DataFrame, per_record: DataFrame, skipped: DataFrame, failed: DataFrame
 ) -> dict[str, DataFrame]:
-    """The parts of a retrieval report from its tables."""
+    """The parts of a retrieval report from its tables; the averages are made once for all parts."""
+    averages = stage(averages, "averages", heavy=False)
     overall = averages.filter("section = 'overall'").drop("section", "category")
     macro = [c for c in averages.columns if c.startswith("macro_")]
     micro = [c for c in averages.columns if c.startswith("micro_")]
@@ -94,7 +97,8 @@ def write_bad_cases_csv(cases: DataFrame, path: str) -> None:
 def write_generation_report(
     config: DataFrame, metrics: DataFrame, per_question: DataFrame, path: str
 ) -> None:
-    """Config, overall, per-category and per-question tables."""
+    """Config, overall, per-category and per-question tables; the metrics are made once."""
+    metrics = stage(metrics, "metrics", heavy=False)
     write_eval_report(
         {
             "config": config,

@@ -199,3 +199,32 @@ def test_generation_report(spark, tmp_path):
     sinks.write_generation_report(config, metrics, made, str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g/section=by_category")).first().category == "1"
     assert spark.read.parquet(str(tmp_path / "g/section=overall")).select(F.sum("count")).first()[0] == 1
+
+
+def test_rows_are_not_shuffled_to_learn_their_position(spark, tmp_path):
+    lines = [json.dumps({"question_id": f"q{i}", "chunks": ["a"], "evidences": ["a"]}) for i in range(20)]
+    for name in ("a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text("\n".join(lines), encoding="utf-8")
+    good, _ = datasets.read_retrieval_records(spark, str(tmp_path), lines=True)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted(r.idx for r in good.collect()) == sorted([*range(20)] * 2)
+
+
+def test_a_report_is_averaged_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(value):
+        asked.add(1)
+        return float(value)
+
+    names = [f"{a}_{m}" for a in ("macro", "micro") for m in ("precision", "recall", "f1", "ndcg")]
+    sums = ["tp_evidence", "retrieved", "gold", "rel_chunks", "dcg", "idcg"]
+    frame = spark.range(1).select(
+        F.lit("overall").alias("section"), F.lit("c").alias("category"), F.lit("3").alias("k_label"), costly("id").alias("n"),
+        *[F.lit(0.5).alias(c) for c in [*names, *sums]],
+    )
+    some = spark.range(1)
+    sinks.write_eval_report(sinks.eval_sections(some, frame, some, some, some), str(tmp_path / "report"))
+    assert asked.value == 1
