@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -154,24 +155,51 @@ def ngram_overlap(
     )
 
 
+def _shared_grams(preds: Sequence[Sequence[str]], refs: Sequence[Sequence[str]], n: int) -> int:
+    """Clipped number of ``n``-grams that both sides have, over all their token lists."""
+    have, want = (
+        Counter(gram for tokens in side for gram in zip(*(tokens[i:] for i in range(n)))) for side in (preds, refs)
+    )
+    return sum(min(count, have[gram]) for gram, count in want.items() if gram in have)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _overlap_counts(preds: pd.Series, refs: pd.Series, max_n: pd.Series) -> pd.Series:
+    sides = ([[list(t) for t in p], [list(t) for t in r], k] for p, r, k in zip(preds, refs, max_n))
+    return pd.Series([[_shared_grams(p, r, n) for n in range(1, k + 1)] for p, r, k in sides])
+
+
 def _wide(
     rows: DataFrame, keys: Sequence[str], sides: Mapping[str, tuple[str, str, int]]
 ) -> DataFrame:
     """The same with one row per key and columns like ``bleu2_overlap``.
 
     ``keys[0]`` identifies the row, which may have no n-gram at all; the other
-    keys are carried along, so nothing has to be joined back.
+    keys are carried along, so nothing has to be joined back.  Rows are placed by
+    key before, and a row's n-grams are counted where its tokens are: one row per
+    n-gram, each with all keys, would be a hundred times the texts.
     """
-    parts = {"overlap": F.least("p", "r"), "pred_total": F.col("p"), "ref_total": F.col("r")}
-    return _overlaps(rows, keys, sides).groupBy(*keys).agg(
+    columns = [c for pred, ref, _ in sides.values() for c in (pred, ref)]
+    nested = rows.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in columns])
+    counted = nested.select(
+        "*", *[_overlap_counts(pred, ref, F.lit(max_n)).alias(f"_{kind}") for kind, (pred, ref, max_n) in sides.items()]
+    )
+
+    def total(column: str, n: int) -> Column:
+        return F.aggregate(
+            column, F.lit(0).cast("long"), lambda acc, tokens: acc + F.greatest(F.size(tokens) - n + 1, F.lit(0))
+        )
+
+    return counted.select(
+        *keys,
         *[
-            F.coalesce(
-                F.sum(F.when((F.col("kind") == kind) & (F.col("n") == n), value)), F.lit(0)
-            ).alias(f"{kind}{n}_{name}")
-            for kind, (_, _, max_n) in sides.items()
+            value.alias(f"{kind}{n}_{name}")
+            for kind, (pred, ref, max_n) in sides.items()
             for n in range(1, max_n + 1)
-            for name, value in parts.items()
-        ]
+            for name, value in (
+                ("overlap", F.get(f"_{kind}", F.lit(n - 1))), ("pred_total", total(pred, n)), ("ref_total", total(ref, n))
+            )
+        ],
     )
 
 

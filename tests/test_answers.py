@@ -150,3 +150,19 @@ def test_greedy_match_keeps_rows_with_one_side(spark):
     frame = spark.createDataFrame(rows, "row_id int, side string, tok long, embedding array<double>")
     got = {r.row_id: (r.precision, r.recall, r.f1) for r in am.greedy_match(frame).collect()}
     assert got == {1: (1.0, 1.0, 1.0), 2: (0.0, 0.0, 0.0)}
+
+
+def test_n_grams_are_counted_inside_the_row(spark):
+    said = [(1, "c", "the cat sat on the mat", "the cat on the mat"), (2, "c", "", "a b"), (3, None, "a a a", "a a"), (3, None, "a a a", "a a")]
+    scores = am.answer_scores(
+        spark.createDataFrame(said, "row_id long, category string, prediction string, reference string"), tokenize="ws", stem=False
+    )
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    got = {r.row_id: r for r in scores.collect()}
+    assert len(got) == scores.count() == 3
+    assert [got[1][f"bleu{n}_overlap"] for n in range(1, 5)] == [5, 3, 1, 0]
+    assert [got[1][f"bleu{n}_pred_total"] for n in range(1, 5)] == [6, 5, 4, 3]
+    assert [got[2][f"bleu{n}_ref_total"] for n in range(1, 5)] == [2, 1, 0, 0]
+    # Rows that are the same answer twice count as one with all their n-grams.
+    assert [got[3][f"bleu{n}_overlap"] for n in range(1, 5)] == [4, 2, 0, 0]
