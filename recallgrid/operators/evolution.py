@@ -241,7 +241,10 @@ def analyze(notes: DataFrame, completer: Completer | None = None, n: int = 5) ->
 def frequent_terms(notes: DataFrame, n: int = 5, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Keywords without a model: the ``n`` most frequent words of each note."""
     keys = list(keys)
-    words = notes.repartition(*keys).select(
+    # Named explicitly, because adaptive execution would merge partitions by the
+    # size of the texts, and these unfold to many times that.
+    tasks = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = notes.repartition(tasks, *keys).select(
         *keys, F.explode(text.word_tokens(F.lower("content"))).alias("term")
     )
     counted = words.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n_seen"))

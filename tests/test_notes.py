@@ -181,3 +181,11 @@ def test_empty_reply_has_the_shape_of_the_schema(spark):
 
     empty = spark.range(1).select(evolution.empty_reply(DECISION).alias("r")).first().r
     assert empty.should_evolve is False and empty.new_tags_neighborhood == []
+
+
+def test_words_are_counted_in_the_full_number_of_tasks(spark):
+    notes = spark.createDataFrame([("a", "x y x"), ("b", "z")], "id string, content string")
+    found = evolution.frequent_terms(notes, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')}" in plan
+    assert sorted((r.id, r.term, r.n_seen) for r in found.collect()) == [("a", "x", 2), ("b", "z", 1)]
