@@ -4,7 +4,8 @@ A is a ``tokenizers`` vocabulary of byte-level BPE and reads space+text; B is a
 ``sentencepiece`` BPE model with byte fallback and reads the text, to which it
 adds that space.  Both cut before a space that follows another character, so a
 text falls apart there into stretches that each vocabulary encodes alike wherever
-they stand.  A worker aligns every distinct stretch once: A's character offsets
+they stand.  They also cut between a letter and a mark such as a comma, and
+before a line end, unless a piece of B holds both.  A worker aligns every distinct stretch once: A's character offsets
 and B's spans are coarse cuts, and tokens that share a multibyte character or a
 byte fallback are refined by their decoded bytes.
 
@@ -36,53 +37,67 @@ from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, kept, texts_of
 
 SPACE = "▁"
-BLOCK = 250_000  # stretches of a block, unless one text alone has more
+BLOCK = 300_000  # stretches of a block, unless one text alone has more
 GROUP = 256  # texts looked at together
+RUN = 512  # stretches encoded in a row
 KEPT = 4_000_000  # links of the stretches a worker remembers, each stretch counting for 10 more
 PAIR = 1 << 32  # a pair of ids as one number: A's times this, plus B's
 
 ODD = re.compile(r"\s |\A | \Z")  # a space that is not the first after a word, or the last character
 
 
-def stretches(text: str) -> list[str]:
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+LETTER = frozenset(c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c))
+MARKS = ".,;:!?$#*%&()\""  # cut off a letter before them, if neither vocabulary joins the two; so are line ends
+
+
+def cuts(marks: str) -> re.Pattern:
+    """Where a text falls apart within a word: between a letter and a mark, and before a line end that follows no white space."""
+    return re.compile(rf"(?<=[{LETTERS}])(?=[{re.escape(marks)}])|(?<=\S)(?=\n)")
+
+
+def stretches(text: str, marks: str = "", within: re.Pattern | None = None) -> list[str]:
     """Space+text, cut before every space that follows a character other than white space.
 
-    A single space at the end stays with what it follows.
+    A single space at the end stays with what it follows.  With ``within`` (the
+    cuts of ``marks``), words are cut, too.
     """
     words = text.split(" ")
-    if not ODD.search(text):
+    if ODD.search(text):
+        parts = [" " + words[0]]
+        for word in words[1:]:
+            if parts[-1][-1].isspace():
+                parts[-1] += " " + word
+            else:
+                parts.append(" " + word)
+        if len(parts) > 1 and parts[-1] == " ":
+            del parts[-1]
+            parts[-1] += " "
+        return [x for part in parts for x in within.split(part)] if within else parts
+    if not within:
         return [" " + w for w in words]
-    parts = [" " + words[0]]
-    for word in words[1:]:
-        if parts[-1][-1].isspace():
-            parts[-1] += " " + word
-        else:
+    parts = []
+    for word in words:
+        if word.isalpha():
             parts.append(" " + word)
-    if len(parts) > 1 and parts[-1] == " ":
-        del parts[-1]
-        parts[-1] += " "
+        elif word[-1:] in marks and word[-2:-1] in LETTER and word[:-1].isalpha():
+            parts += " " + word[:-1], word[-1]
+        else:
+            parts += within.split(" " + word)
     return parts
 
 
-def refined_ends(coarse: np.ndarray, lengths: np.ndarray, bases: np.ndarray) -> np.ndarray:
+def refined_ends(coarse: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Byte ends of tokens from the coarse ends of their spans.
 
     A token whose span has as many bytes as it decodes to ends where the span
     does.  Tokens inside one character share a span: they end one after the
-    other, by their decoded bytes, from the last sure end on.  ``bases``: where
-    the stretch of each token begins.
+    other, by their decoded bytes, from the last sure end on.
     """
     done = np.cumsum(lengths)
-    first = np.diff(bases, prepend=-1) > 0
-    before = np.where(first, bases, np.concatenate([[0], coarse[:-1]]))
-    sure = coarse - before == lengths
-    place = np.arange(len(coarse))
-    begins = np.maximum.accumulate(np.where(first, place, -1))
-    last = np.maximum.accumulate(np.where(sure, place, -1))
-    known = last >= begins
-    from_sure = coarse[last] + done - done[last]
-    from_base = bases + done - (done - lengths)[begins]
-    return np.where(known, from_sure, from_base)
+    sure = np.diff(coarse, prepend=0) == lengths
+    last = np.maximum.accumulate(np.where(sure, np.arange(len(coarse)), -1))
+    return np.where(last >= 0, coarse[last] + done - done[last], done)
 
 
 class Aligned:
@@ -140,49 +155,89 @@ class Aligner:
             self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
             if re.search(f"[^{SPACE}]{SPACE}", piece):
                 raise ValueError(f"a piece that spans a space, so texts can't be cut there: {piece!r}")
+        # The cuts within words hold for the pattern of ByteLevel, and where no piece spans them.
+        plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_control(i) and not self.b.is_unknown(i)]
+        self.marks = "".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in pieces if m in p))
+        self.within = cuts(self.marks) if plain and self.marks and not any("\n" in p for p in pieces) else None
         self.a_sizes, self.b_sizes = (np.array([*map(len, t)], np.int64) for t in (self.a_bytes, self.b_bytes))
         ids = range(max(len(self.a_bytes), len(self.b_bytes)))
         self.tables = [np.array([f"{i}{mark}" for i in ids], object) for mark in ",|;"]
 
+    def stretches(self, text: str) -> list[str]:
+        return stretches(text, self.marks, self.within)
+
     def align(self, parts: list[str]) -> tuple[list[int], Aligned | None]:
-        """Stretches, each beginning with a space, on both sides: numbers of those whose bytes agree, and these aligned."""
-        a_side = self.a.encode_batch(parts, add_special_tokens=False)
-        b_side = self.b.encode_as_proto([s[1:] for s in parts], num_threads=1)
-        a_lists = [e.ids for e in a_side]
-        b_lists, b_coarse = [], []
-        for e in b_side:
-            spans = [(p.id, p.end) for p in e.pieces]
-            b_lists.append([i for i, _ in spans])
-            b_coarse.append([end for _, end in spans])
-        raws = [s.encode("utf-8", "surrogatepass") for s in parts]
-        good = list(range(len(parts)))
-        joined = b"".join(raws)
-        sides = ((a_lists, self.a_bytes), (b_lists, self.b_bytes))
-        if any(b"".join([table[i] for ids in lists for i in ids]) != joined for lists, table in sides):
-            good = [n for n, raw in enumerate(raws) if all(b"".join([table[i] for i in lists[n]]) == raw for lists, table in sides)]
-            if not good:
-                return good, None
-        sizes = np.array([len(raws[n]) for n in good])
-        ends = np.cumsum(sizes)
-        bases = ends - sizes
-        # Characters of all stretches to bytes, for A's offsets.
-        points = np.frombuffer("".join([parts[n] for n in good]).encode("utf-32-le", "surrogatepass"), "<u4")
-        octets = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
-        chars = np.array([len(parts[n]) for n in good])
-        chars = np.cumsum(chars) - chars
-
-        def flat(lists: list, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
-            counts = np.array([len(lists[n]) for n in good])
-            return np.array([v for n in good for v in lists[n]], kind), np.repeat(np.arange(len(good)), counts)
-
-        a_ids, a_of = flat(a_lists)
-        b_ids, b_of = flat(b_lists)
-        a_spans = octets[chars[a_of] + np.array([end for n in good for _, end in a_side[n].offsets])]
+        """Stretches on both sides: numbers of those whose bytes agree, and these aligned."""
+        # Stretches are encoded in a row, as both vocabularies cut between them, but for those after which they might not.
+        runs, open_run = [], False
+        for n, part in enumerate(parts):
+            joins = part[0] in " \n" and not part[-1].isspace() and SPACE not in part
+            if joins and open_run and len(runs[-1]) < RUN:
+                runs[-1].append(n)
+            else:
+                runs.append([n])
+            open_run = joins
+        runs.reverse()
+        good, a_lists, b_lists, a_ends, b_ends, ends, base = [], [], [], [], [], [], 0
+        while runs:
+            run = runs.pop()
+            raws = [parts[n].encode("utf-8", "surrogatepass") for n in run]
+            found = self.encoded("".join([parts[n] for n in run]), b"".join(raws))
+            stops = np.cumsum([*map(len, raws)])
+            if found is None or any((side[np.searchsorted(side, stops)] != stops).any() for side in found[1::2]):
+                runs += [[n] for n in reversed(run)] if len(run) > 1 else []
+                continue
+            good += run
+            for all_of, own in zip((a_lists, a_ends, b_lists, b_ends, ends), (found[0], found[1] + base, found[2], found[3] + base, stops + base), strict=True):
+                all_of.append(own)
+            base += int(stops[-1])
+        if not good:
+            return good, None
+        return good, Aligned(*map(np.concatenate, (a_lists, a_ends, b_lists, b_ends, ends)))
+
+    def encoded(self, text: str, raw: bytes) -> tuple | None:
+        """Ids and byte ends of a text on both sides; none if the bytes don't agree.
+
+        What begins within a word is read behind a letter, whose tokens are left out.
+        """
+        lead = 0 if text[0] == " " else 2
+        if lead:
+            text, raw = " x" + text, b" x" + raw
+        a_side = self.a.encode(text, add_special_tokens=False)
+        b_side = [(p.id, p.end) for p in self.b.encode_as_proto(text[1:]).pieces]
+        a_list, b_list = a_side.ids, [i for i, _ in b_side]
+        for table, ids in ((self.a_bytes, a_list), (self.b_bytes, b_list)):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+        a_spans = np.array([end for _, end in a_side.offsets], np.int64)
+        if len(text) < len(raw):  # A's spans are characters
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            octets = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+            a_spans = octets[a_spans]
         # B's spans are bytes of the text without the space that it adds.
-        b_spans = bases[b_of] + 1 + np.array([end for n in good for end in b_coarse[n]], np.int64)
-        a_ends = refined_ends(a_spans, self.a_sizes[a_ids], bases[a_of])
-        b_ends = refined_ends(b_spans, self.b_sizes[b_ids], bases[b_of])
-        return good, Aligned(a_ids, a_ends, b_ids, b_ends, ends)
+        b_spans = np.array([end for _, end in b_side], np.int64) + 1
+        made = []
+        for ids, spans, sizes in ((np.array(a_list, np.int64), a_spans, self.a_sizes), (np.array(b_list, np.int64), b_spans, self.b_sizes)):
+            ends = refined_ends(spans, sizes[ids]) - lead
+            first = int(np.searchsorted(ends, 0, side="right"))
+            if lead and (first == 0 or ends[first - 1] != 0):
+                return None
+            made += ids[first:], ends[first:]
+        return tuple(made)
+
+
+class Numbers(dict):
+    """Numbers of words as they come; those met for the first time are listed."""
+
+    def __init__(self, known: list[str]):
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
 
 class Memory:
@@ -193,7 +248,7 @@ class Memory:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers([])
         self.groups: list[str] = []
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links; zeros: not aligned
         self.links = np.zeros(0, np.int64)  # one stretch after the other
@@ -204,10 +259,12 @@ class Memory:
         """Once full, keep only what was met several times; numbers change."""
         if self.size <= KEPT:
             return
-        often = np.flatnonzero((self.uses > 2) & (self.counts[:, 3] < 100))[-KEPT // 40 :]
+        often = np.flatnonzero((self.uses > 1) & (self.counts[:, 3] < 100))
+        most = np.argsort(-self.uses[often], kind="stable")[: KEPT // 30]
+        often = often[np.sort(most)]
         number, groups, counts, links = list(self.number), self.groups, self.counts, self.links_of(often)
         self.forget()
-        self.number = {number[i]: at for at, i in enumerate(often.tolist())}
+        self.number = Numbers([number[i] for i in often.tolist()])
         self.groups = [groups[i] for i in often.tolist()]
         self.counts, self.links = counts[often], links
         self.uses = np.zeros(len(often), np.int64)
@@ -220,8 +277,8 @@ class Memory:
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of stretches, all of them known from now on."""
-        known = self.number
-        new = list(set(parts).difference(known))
+        made = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        new, self.number.new = self.number.new, []
         counts, links = [self.counts], [self.links]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
@@ -232,15 +289,13 @@ class Memory:
                 links.append(aligned.links)
                 for n, text in zip(good, aligned.groups(self.aligner.tables), strict=True):
                     groups[n] = text
-            known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
             self.groups += groups
             counts.append(found)
         if new:
             self.counts, self.links = np.concatenate(counts), np.concatenate(links)
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-            self.size = 10 * len(known) + len(self.links)
-        made = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        np.add.at(self.uses, made, 1)
+            self.size = 10 * len(self.number) + len(self.links)
+        self.uses += np.bincount(made, minlength=len(self.uses))
         return made
 
 
@@ -322,7 +377,7 @@ def blocks(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text
             kind = batch.schema.field("doc_id").type
             for start in range(0, batch.num_rows, GROUP):
                 part = batch.slice(start, GROUP)
-                block.add(part["doc_id"].to_pylist(), [stretches(t) if t else [] for t in part["text"].to_pylist()])
+                block.add(part["doc_id"].to_pylist(), [memory.aligner.stretches(t) if t else [] for t in part["text"].to_pylist()])
                 if block.size >= size or memory.size > KEPT:
                     yield block.record(number, kind)
                     memory.tidy()
@@ -397,7 +452,7 @@ def spans(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                parts = stretches(text) if text else []
+                parts = aligner.stretches(text) if text else []
                 good, found = aligner.align(parts) if parts else ([], None)
                 if found is None or len(good) < len(parts):
                     continue

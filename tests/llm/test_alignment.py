@@ -98,6 +98,28 @@ def test_alignment_equals_whole_texts(docs, tools, size, monkeypatch):
     assert sorted((tuple(r) for r in made), key=str) == by_hand(tools, rows)
 
 
+def test_words_with_marks_equal_whole_texts(docs, tools):
+    rng, alphabet = random.Random(9), "abcdetsZ é²ª.,'\n" + alignment.MARKS
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))) for i in range(300)]
+    made = alignment.align_documents(docs(rows).repartition(3), A, B).collect()
+    assert sorted((tuple(r) for r in made), key=str) == by_hand(tools, rows)
+
+
+def test_words_are_aligned_once_and_in_a_row(monkeypatch):
+    aligner = alignment.Aligner(A, B)
+    assert aligner.stretches('stone, stone.\nLight... x$$$ 9. "é"') == [" stone", ",", " stone", ".", "\nLight", "...", " x", "$$$", " 9.", ' "é', '"']
+    calls = []
+    encode = alignment.Aligner.encoded
+    monkeypatch.setattr(alignment.Aligner, "encoded", lambda self, *own: calls.append(own) or encode(self, *own))
+    words = [f" w{i}" for i in range(2_000)]
+    good, made = aligner.align(words)
+    assert good == list(range(2_000)) and len(calls) == -(-2_000 // alignment.RUN)
+    bad = [*words[:3], " ▁", ",", *words[3:6], "...\n"]
+    assert aligner.align(bad)[0] == [0, 1, 2, 4, 5, 6, 7, 8]
+    alone = [aligner.align([w])[1] for w in bad if w != " ▁"]
+    assert aligner.align(bad)[1].groups(aligner.tables) == [w.groups(aligner.tables)[0] for w in alone]
+
+
 def test_groups_cover_the_text(docs, tools):
     rows = [(1, "Some wörds 😀 here\n"), (2, "▁"), (3, None)]
     made = alignment.spans(docs(rows), A, B).orderBy("start").collect()
