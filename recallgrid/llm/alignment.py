@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.bpe import byte_letters
+from recallgrid.llm.bpe import Numbers, byte_letters
 from recallgrid.llm.tables import stage
 from recallgrid.llm.worker import id_type, kept, texts_of
 
@@ -227,19 +227,6 @@ class Aligner:
         return tuple(made)
 
 
-class Numbers(dict):
-    """Numbers of words as they come; those met for the first time are listed."""
-
-    def __init__(self, known: list[str]):
-        super().__init__(zip(known, range(len(known)), strict=True))
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 class Memory:
     """What a worker knows of stretches, by number: counts, group strings and links."""
 
@@ -248,7 +235,7 @@ class Memory:
         self.forget()
 
     def forget(self) -> None:
-        self.number = Numbers([])
+        self.number = Numbers()
         self.groups: list[str] = []
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links; zeros: not aligned
         self.links = np.zeros(0, np.int64)  # one stretch after the other

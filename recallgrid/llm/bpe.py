@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import regex
@@ -29,6 +30,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Numbers(dict):
+    """Numbers of words as they come; those met for the first time are listed."""
+
+    def __init__(self, known: Iterable[str] = ()):
+        super().__init__((word, n) for n, word in enumerate(known))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Merges:
     """Merge ranks of a vocabulary file, as sorted arrays."""
 
@@ -106,34 +120,50 @@ class TextEncoder:
 
     A text falls into chunks that begin at a space; chunks repeat, so each
     distinct one is cut into pre-tokens and merged once.  At most ``keep``
-    chunks of up to 48 characters stay between calls.
+    chunks, of 16 characters on average, stay between calls.
     """
 
     def __init__(self, path: str, pattern: str, counts: bool, keep: int = 600_000):
         self.merges, self.pattern = Merges(path), regex.compile(pattern)
         self.counts, self.keep = counts, keep
-        self.known: dict[str, object] = {}  # by chunk without its leading space
-
-    def values(self, pieces: list[str]) -> list:
-        """Ids as little-endian bytes, or their number, of pieces that don't depend on each other."""
-        raw, sizes, ends = [], [], []
-        for piece in pieces:
-            octets = piece.encode("utf-8", "surrogatepass")
-            raw.append(octets)
-            letters = piece[1:] if piece[:1] == " " else piece
-            if letters.isalpha():
-                sizes.append(len(octets))
-            elif letters[:-1].isalpha() and letters[-1] in ".,;:!?":
-                sizes += len(octets) - 1, 1
-            else:
-                sizes += [len(x.encode("utf-8", "surrogatepass")) for x in self.pattern.findall(piece)]
-            ends.append(len(sizes))
-        ids, offsets = self.merges.encode(b"".join(raw), sizes)
-        bounds = offsets[np.array([0, *ends])]
-        if self.counts:
-            return np.diff(bounds).tolist()
-        flat, at = ids.tobytes(), (bounds * 4).tolist()
-        return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Numbers()  # of chunks without their leading space; by number, where their ids begin and how many they are
+        self.begins, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.held = 0  # characters of these chunks
+
+    def values(self, pieces: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces that don't depend on each other, and of chunks behind a space; where those of each begin and end."""
+        # Chunks that neither begin nor end with white space are cut in a row: the space before the next one parts them.
+        strict = all(rest) and list(map(str.strip, rest)) == rest
+        lone = [] if strict else [n for n, x in enumerate(rest) if not x or x.strip() != x]
+        row = rest
+        if lone:
+            out = set(lone)
+            row = [x for n, x in enumerate(rest) if n not in out]
+        tokens, stops = [], [0]
+        for piece in [*pieces, *[" " + rest[n] for n in lone]]:
+            tokens += self.pattern.findall(piece)
+            stops.append(len(tokens))
+        in_row = self.pattern.findall(" " + " ".join(row)) if row else []
+        tokens += in_row
+        raw = "".join(tokens).encode("utf-8", "surrogatepass")
+        sizes = list(map(len, tokens))
+        if len(raw) > sum(sizes):
+            sizes = [len(x.encode("utf-8", "surrogatepass")) for x in tokens]
+        ids, offsets = self.merges.encode(raw, sizes)
+        # the tokens at which each chunk of the row ends
+        lengths = np.cumsum(np.fromiter(map(len, in_row), np.int64, len(in_row)))
+        ends = np.cumsum(np.fromiter(map(len, row), np.int64, len(row)) + 1)
+        ends = np.searchsorted(lengths, ends) + 1 + stops[-1]
+        bounds = offsets[np.concatenate([np.array(stops, np.int64), ends])]
+        begins, ends = bounds[:-1], bounds[1:]
+        if lone:
+            place = np.concatenate([np.array(lone), np.setdiff1d(np.arange(len(rest)), lone)])
+            order = np.concatenate([np.arange(len(pieces)), len(pieces) + np.argsort(place)])
+            begins, ends = begins[order], ends[order]
+        return ids, begins, ends
 
     def encode(self, texts: list[str]) -> list:
         parts, owner = [], []
@@ -150,22 +180,29 @@ class TextEncoder:
     def encode_plain(self, texts: list[str]) -> list:
         # Heads have no leading space, and texts with runs of white space are taken whole.
         split = [[text] if RUN.search(text) else text.split(" ") for text in texts]
-        heads = [own[0] for own in split]
-        rest = [own[1:] for own in split]
         known = self.known
-        found = [list(map(known.get, own)) for own in rest]
-        new: set[str] = set()
-        short = [n for n, own in enumerate(found) if None in own]
-        for n in short:
-            new.update(x for x, value in zip(rest[n], found[n], strict=True) if value is None)
-        listed = list(new)
-        made = self.values(heads + [" " + x for x in listed])
-        fresh = dict(zip(listed, made[len(heads) :], strict=True))
-        for n in short:
-            found[n] = [fresh[x] if value is None else value for x, value in zip(rest[n], found[n], strict=True)]
-        if len(known) + len(fresh) > self.keep:
-            known.clear()
-        known.update((x, value) for x, value in fresh.items() if len(x) <= 48)
+        words = [x for own in split for x in own[1:]]
+        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        stops = np.cumsum([0, *[len(own) - 1 for own in split]])
+        new, known.new = known.new, []
+        ids, begins, ends = self.values([own[0] for own in split], new)
+        heads = (ends - begins)[: len(split)]
+        # Ids of new chunks, which lie behind those of the heads, go behind those of the chunks that are known.
+        kept_from = int(heads.sum())
+        self.begins = np.concatenate([self.begins, begins[len(split) :] + len(self.ids) - kept_from])
+        self.sizes = np.concatenate([self.sizes, (ends - begins)[len(split) :]])
+        sizes = self.sizes[numbers]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        at = done[stops]
         if self.counts:
-            return [head + sum(own) for head, own in zip(made, found, strict=False)]
-        return [head + b"".join(own) for head, own in zip(made, found, strict=False)]
+            out = (heads + np.diff(at)).tolist()
+        else:
+            self.ids = np.concatenate([self.ids, ids[kept_from:]])
+            taken = self.ids[np.repeat(self.begins[numbers] - done[:-1], sizes) + np.arange(done[-1])].tobytes()
+            flat, cuts = ids.tobytes(), (4 * at).tolist()
+            first = zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)
+            out = [flat[a:b] + taken[c:d] for (a, b), c, d in zip(first, cuts, cuts[1:], strict=False)]
+        self.held += sum(map(len, new))
+        if len(known) > self.keep or self.held > 16 * self.keep:
+            self.forget()
+        return out

@@ -29,6 +29,30 @@ def test_encoder_equals_the_library_on_awkward_texts():
     assert TextEncoder(PATH, P.PATTERN, True).encode(texts) == [len(ids(t)) for t in texts]
 
 
+def test_chunks_are_cut_in_a_row_and_little_is_kept():
+    calls = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            calls.append(text)
+            return self.pattern.findall(text)
+
+    encoder = TextEncoder(PATH, P.PATTERN, False, 500)
+    encoder.pattern = Counted(encoder.pattern)
+    texts = ["head " + " ".join(f"w{i}é.\nx-{i}" for i in range(1_000)), "a\n b \nc\x1c d\x85 it's"]
+    assert [np.frombuffer(c, "<u4").tolist() for c in encoder.encode(texts)] == [ids(t) for t in texts]
+    assert len(calls) < 10 and len(encoder.known) == len(encoder.ids) == 0
+    long = ["x " + "ab" * 9_000]
+    assert np.frombuffer(encoder.encode(long)[0], "<u4").tolist() == ids(long[0])
+    assert len(encoder.known) == 0  # a long chunk isn't kept
+    whole = ["two  spaces and more  " * 50] * 20
+    assert [np.frombuffer(c, "<u4").tolist() for c in encoder.encode(whole)] == [ids(t) for t in whole]
+    assert len(encoder.ids) == 0  # nor are texts taken whole
+
+
 def test_token_counts_on_edge_rows(docs):
     got = token_counts.count_tokens(docs(EDGE), PATH, P.PATTERN).collect()
     want = [(i, len((t or "").encode()), len(ids(t)), len(ids(t)) > 1024) for i, t in EDGE]
