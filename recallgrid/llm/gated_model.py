@@ -15,7 +15,7 @@ END, RARE = 0, 1
 HIDDEN = 16
 FIXED = ("cuts", "group_cuts")  # first words of the classes and first classes of the groups, which aren't trained
 LEVELS = ("group", "class", "word")
-LOGITS = 8_000_000  # logits held at a time
+LOGITS = 1_500_000  # logits held at a time
 
 
 def balanced(frequency: np.ndarray) -> np.ndarray:

@@ -45,6 +45,8 @@ WORD_TOKENS = 128
 PART = 262_144  # parameters summed at a time
 STREAMS = 2_048
 FLUSH = 1_000_000  # tokens held at a time
+WORDS_HELD = 100_000  # distinct words a task counts before it hands them on, and
+GROUP = 256  # rows of a batch taken apart together
 END_WORD = ""  # no word is empty
 
 
@@ -52,6 +54,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD, F.lit(False))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            yield batch.slice(at, GROUP)
+
+
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
@@ -65,25 +73,27 @@ def least_count(total: int) -> int:
     return max(LEAST, math.ceil(math.sqrt(total) / 64))
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n), handed on whenever many words are held."""
+    counter: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(map(as_text, counter)), pa.array(counter.values(), pa.int64())], ["word", "n"])
+
+    for batch in slices(batches):
+        for text in batch["text"].to_pylist():
+            counter.update(words(text))
+        counter[b""] += batch.num_rows
+        if len(counter) > WORDS_HELD:
+            yield rows()
+            counter.clear()
+    if counter:
+        yield rows()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of ``docs``, with the end of each document as the empty word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counter: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(map(as_text, counter)), pa.array(counter.values(), pa.int64())], ["word", "n"])
-
-        counter: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                counter.update(words(text))
-            counter[b""] += batch.num_rows
-            if len(counter) > 500_000:
-                yield rows(counter)
-                counter = Counter()
-        if counter:
-            yield rows(counter)
-
-    parts = docs.select("text").mapInArrow(run, "word string, n long")
+    parts = docs.select("text").mapInArrow(counted, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -100,7 +110,6 @@ class Vocabulary:
         inside[gm.RARE] = self.tail_total
         self.frequency = np.array(inside, np.float64)
         self.end_count = counts.get(END_WORD, 0)
-        self.counts = {w.encode(): n for w, n in frequent if w != END_WORD}
 
     def ids(self, own: list[bytes]) -> list[int]:
         get = self.model.get
@@ -118,13 +127,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) ->
         chosen = chosen.filter(F.pmod("mark", F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             coded = [np.array(vocabulary.ids(words(t)), "<u4").tobytes() for t in batch["text"].to_pylist()]
             yield pa.record_batch([batch["mark"], pa.array(coded, pa.binary())], ["mark", "ids"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, held, size = gm.Trainer(first, streams=STREAMS), [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for ids in batch["ids"].to_pylist():
                 held.append(ids)
                 size += len(ids) // 4
@@ -195,17 +204,18 @@ def score_documents(
     model = train(taught, vocabulary, lanes, share)
     log_unit = float(np.log10(total + distinct + 1))
     tail_unit = float(np.log10(vocabulary.tail_total))
+    # what a word adds: its base term
+    known = {w.encode(): float(np.log10(n + 1)) for w, n in frequent if w != END_WORD}
+    del frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what a word adds: its base term, and whether it is one of the rarer words of the model
-        known = {w: float(np.log10(n + 1)) for w, n in vocabulary.counts.items()}
         end = float(np.log10(vocabulary.end_count + 1))
         number = TaskContext.get().partitionId() << 33
 
         def flush(rows: list, ids: list) -> pa.RecordBatch:
             nonlocal number
             sizes = np.array([r[1] for r in rows], np.int64)
-            logs = gm.score(model, np.array(ids, np.int64), sizes) / np.log(10)
+            logs = gm.score(model, np.concatenate(ids), sizes) / np.log(10)
             columns = [
                 pa.array(range(number, number + len(rows)), pa.int64()),
                 pa.array([r[0] for r in rows], kind),
@@ -219,8 +229,8 @@ def score_documents(
             return pa.record_batch(columns, names)
 
         names = ["row", "doc_id", "n_tokens", "n_frequent", "base", "model", "rest"]
-        rows, ids, kind = [], [], None
-        for batch in batches:
+        rows, ids, held, kind = [], [], 0, None
+        for batch in slices(batches):
             kind = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 tokens = words(text)
@@ -232,10 +242,11 @@ def score_documents(
                 base = sum(x for x in terms if x is not None) + end
                 known_n = len(tokens) - len(rest) + (vocabulary.end_count > 0)
                 rows.append((doc_id, len(coded), known_n, base, frequent_rare - len(rare) * tail_unit, rest))
-                ids += coded
-                if len(ids) >= FLUSH:
+                ids.append(np.array(coded, np.int32))
+                held += len(coded)
+                if held >= FLUSH:
                     yield flush(rows, ids)
-                    rows, ids = [], []
+                    rows, ids, held = [], [], 0
         if rows:
             yield flush(rows, ids)
 

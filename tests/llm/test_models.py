@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from tests.llm.conftest import EDGE, prose
 
 from recallgrid.llm import gated_model as gm
@@ -117,6 +118,17 @@ def test_base_scores_equal_brute_force(docs):
     assert lm_scoring.score_documents(docs([])).count() == 0
 
 
+def test_counting_hands_words_on_within_a_batch():
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) + " the" for i in range(8_000)]
+    made = list(lm_scoring.counted(iter([pa.record_batch([pa.array(texts)], ["text"])])))
+    assert max(b.num_rows for b in made) <= lm_scoring.WORDS_HELD + 31 * lm_scoring.GROUP
+    counts = Counter()
+    for b in made:
+        for word, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
+            counts[word] += n
+    assert counts["the"] == counts[""] == 8_000 and len(counts) == 240_002
+
+
 def test_every_training_token_is_learned_from(docs):
     trainer = gm.Trainer(gm.start(np.ones(70)), streams=32)
     trainer.learn(np.random.default_rng(2).integers(0, 70, 5_003))
