@@ -21,13 +21,13 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +44,10 @@ LANE_TOKENS = 4_000_000  # tokens aimed at in a lane, or so many for every word
 WORD_TOKENS = 128
 PART = 262_144  # parameters summed at a time
 STREAMS = 2_048
-FLUSH = 1_000_000  # tokens held at a time
+FLUSH = 1_000_000  # tokens held at a time in training, and
+SIDE_BY_SIDE = 2_000_000  # in scoring, where a step costs less a token the more documents there are
 WORDS_HELD = 100_000  # distinct words a task counts before it hands them on, and
-GROUP = 256  # rows of a batch taken apart together
+GROUP = 1_024  # rows of a batch taken apart together
 END_WORD = ""  # no word is empty
 
 
@@ -60,12 +61,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, GROUP)
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts in a row, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    found = split.flatten()
+    real = pc.not_equal(pc.binary_length(found), 0)  # none lies before, after or between spaces
+    own = pc.list_parent_indices(split).filter(real).to_numpy(zero_copy_only=False)
+    return found.filter(real), np.bincount(own, minlength=len(texts))
 
 
-def as_text(word: bytes) -> str:
-    return word.decode("utf-8", "replace")
+def numbers(found: pa.Array, among: pa.Array) -> np.ndarray:
+    """Each word's place ``among`` distinct ones, or -1."""
+    return pc.fill_null(pc.index_in(found, value_set=among), -1).to_numpy(zero_copy_only=False)
 
 
 def least_count(total: int) -> int:
@@ -75,19 +82,26 @@ def least_count(total: int) -> int:
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n), handed on whenever many words are held."""
-    counter: Counter = Counter()
+    held: list[pa.Table] = []
 
     def rows() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(map(as_text, counter)), pa.array(counter.values(), pa.int64())], ["word", "n"])
+        return pa.record_batch([c.combine_chunks() for c in held[0].columns], ["word", "n"])
+
+    def merge() -> None:
+        summed = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        held[:] = [summed.select(["word", "n_sum"]).rename_columns(["word", "n"])]
 
     for batch in slices(batches):
-        for text in batch["text"].to_pylist():
-            counter.update(words(text))
-        counter[b""] += batch.num_rows
-        if len(counter) > WORDS_HELD:
-            yield rows()
-            counter.clear()
-    if counter:
+        found = words(batch["text"])[0].value_counts()
+        held.append(pa.table([found.field(0), found.field(1)], ["word", "n"]))
+        held.append(pa.table([pa.array([END_WORD]), pa.array([batch.num_rows], pa.int64())], ["word", "n"]))
+        if sum(t.num_rows for t in held) > WORDS_HELD:
+            merge()
+            if held[0].num_rows > WORDS_HELD:
+                yield rows()
+                held.clear()
+    if held:
+        merge()
         yield rows()
 
 
@@ -104,16 +118,20 @@ class Vocabulary:
         counts = dict(frequent)
         self.total, self.distinct = total, distinct
         named = [w for w, _ in frequent if w != END_WORD][: model_words - 2]
-        self.model = {w.encode(): i + 2 for i, w in enumerate(named)}
+        self.model = [w.encode() for w in named]  # from id 2 on
+        self.named = pa.array(named, pa.string())
         inside = [counts.get(END_WORD, 0), 0, *[counts[w] for w in named]]
         self.tail_total = total - sum(inside) + distinct - (len(named) + (END_WORD in counts)) + 1
         inside[gm.RARE] = self.tail_total
         self.frequency = np.array(inside, np.float64)
         self.end_count = counts.get(END_WORD, 0)
 
-    def ids(self, own: list[bytes]) -> list[int]:
-        get = self.model.get
-        return [get(w, gm.RARE) for w in own] + [gm.END]
+    def ids(self, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Model ids of documents in a row, each closed by END, from their words' places among the frequent ones."""
+        made = np.full(len(place) + len(sizes), gm.END, np.int32)
+        at = np.arange(len(place)) + np.repeat(np.arange(len(sizes)), sizes)
+        made[at] = np.where(place < len(self.named), place + 2, gm.RARE)  # no place is -1, and RARE is 1
+        return made
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) -> dict[str, np.ndarray]:
@@ -128,8 +146,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, lanes: int, share: float) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            coded = [np.array(vocabulary.ids(words(t)), "<u4").tobytes() for t in batch["text"].to_pylist()]
-            yield pa.record_batch([batch["mark"], pa.array(coded, pa.binary())], ["mark", "ids"])
+            found, sizes = words(batch["text"])
+            ids = vocabulary.ids(numbers(found, vocabulary.named), sizes).astype("<u4")
+            ends = np.concatenate(([0], np.cumsum(4 * (sizes + 1)))).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.record_batch([batch["mark"], coded], ["mark", "ids"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, held, size = gm.Trainer(first, streams=STREAMS), [], 0
@@ -204,51 +225,57 @@ def score_documents(
     model = train(taught, vocabulary, lanes, share)
     log_unit = float(np.log10(total + distinct + 1))
     tail_unit = float(np.log10(vocabulary.tail_total))
-    # what a word adds: its base term
-    known = {w.encode(): float(np.log10(n + 1)) for w, n in frequent if w != END_WORD}
+    # what a word adds: its base term, and nothing if it isn't frequent
+    known = pa.array([w for w, _ in frequent if w != END_WORD], pa.string())
+    terms = np.log10(np.array([n for w, n in frequent if w != END_WORD] + [0], np.float64) + 1)
     del frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = float(np.log10(vocabulary.end_count + 1))
         number = TaskContext.get().partitionId() << 33
 
-        def flush(rows: list, ids: list) -> pa.RecordBatch:
+        def part(batch: pa.RecordBatch) -> tuple:
+            """Of each document: id, tokens, frequent ones, base terms, what is added to the model's score, other words; and all ids."""
+            found, sizes = words(batch["text"])
+            place = numbers(found, known)
+            own, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+            other, rare = place < 0, (place < 0) | (place >= len(vocabulary.named))
+            others = np.bincount(own[other], minlength=n)
+            base = np.bincount(own, terms[place], n) + end
+            shared = np.bincount(own[rare], terms[place[rare]] - tail_unit, n)
+            ends = np.concatenate(([0], np.cumsum(others))).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(ends), found.filter(pa.array(other)))
+            known_n = sizes - others + (vocabulary.end_count > 0)
+            doc_id = batch["doc_id"].take(pa.array(np.arange(n)))  # a copy, as the batch's own column holds on to its texts
+            return doc_id, sizes + 1, known_n, base, shared, rest, vocabulary.ids(place, sizes)
+
+        def flush(held: list[tuple]) -> pa.RecordBatch:
             nonlocal number
-            sizes = np.array([r[1] for r in rows], np.int64)
-            logs = gm.score(model, np.concatenate(ids), sizes) / np.log(10)
+            doc_id, sizes, known_n, base, shared, rest, ids = zip(*held, strict=True)
+            sizes, known_n, base, shared, ids = map(np.concatenate, (sizes, known_n, base, shared, ids))
+            logs = gm.score(model, ids, sizes) / np.log(10)
             columns = [
-                pa.array(range(number, number + len(rows)), pa.int64()),
-                pa.array([r[0] for r in rows], kind),
-                pa.array(sizes),
-                pa.array([r[2] for r in rows], pa.int64()),
-                pa.array([r[3] for r in rows], pa.float64()),
-                pa.array([a + r[4] for a, r in zip(logs.tolist(), rows, strict=True)], pa.float64()),
-                pa.array([r[5] for r in rows], pa.list_(pa.string())),
+                pa.array(range(number, number + len(sizes)), pa.int64()),
+                pa.concat_arrays(doc_id),
+                pa.array(sizes, pa.int64()),
+                pa.array(known_n, pa.int64()),
+                pa.array(base),
+                pa.array(logs + shared),
+                pa.concat_arrays(rest),
             ]
-            number += len(rows)
+            number += len(sizes)
             return pa.record_batch(columns, names)
 
         names = ["row", "doc_id", "n_tokens", "n_frequent", "base", "model", "rest"]
-        rows, ids, held, kind = [], [], 0, None
+        held, tokens = [], 0
         for batch in slices(batches):
-            kind = batch.schema.field("doc_id").type
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                tokens = words(text)
-                terms = list(map(known.get, tokens))
-                coded = vocabulary.ids(tokens)
-                rare = [x for x, i in zip(terms, coded, strict=False) if i == gm.RARE]
-                rest = [as_text(w) for w, x in zip(tokens, terms, strict=True) if x is None] if None in rare else []
-                frequent_rare = sum(x for x in rare if x is not None)
-                base = sum(x for x in terms if x is not None) + end
-                known_n = len(tokens) - len(rest) + (vocabulary.end_count > 0)
-                rows.append((doc_id, len(coded), known_n, base, frequent_rare - len(rare) * tail_unit, rest))
-                ids.append(np.array(coded, np.int32))
-                held += len(coded)
-                if held >= FLUSH:
-                    yield flush(rows, ids)
-                    rows, ids, held = [], [], 0
-        if rows:
-            yield flush(rows, ids)
+            held.append(part(batch))
+            tokens += len(held[-1][-1])
+            if tokens >= SIDE_BY_SIDE:
+                yield flush(held)
+                held, tokens = [], 0
+        if held:
+            yield flush(held)
 
     schema = f"row long, doc_id {own}, n_tokens long, n_frequent long, base double, model double, rest array<string>"
     scored = stage(docs.mapInArrow(run, schema), "scored")

@@ -90,6 +90,56 @@ def test_document_scores_equal_a_plain_loop(monkeypatch):
         assert np.allclose(got, want, atol=1e-3)
 
 
+def test_exponentials_of_many_classes_are_taken_at_once(monkeypatch):
+    calls = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x, **more):
+            calls.append(x.size)
+            return np.exp(x, **more)
+
+    rng = np.random.default_rng(4)
+    p = gm.start(1e6 / np.arange(1, 3_001))
+    h, targets = np.tanh(rng.normal(size=(3_000, gm.HIDDEN))).astype(np.float32), np.arange(3_000)
+    want = gm.log_probabilities(p, h, targets)[0]
+    monkeypatch.setattr(gm, "np", Counting())
+    got = gm.log_probabilities(p, h, targets, {})[0]
+    assert np.allclose(got, want) and len(p["cuts"]) > 100
+    assert len(calls) <= 3 + 2 * sum(calls) / gm.LOGITS and max(calls) <= gm.LOGITS
+
+
+def test_great_weights_and_words_not_read():
+    rng = np.random.default_rng(9)
+    p = gm.start(np.arange(1, 131))
+    h = np.tanh(rng.normal(size=(1, gm.HIDDEN))).astype(np.float32)
+    for name in ("group_w", "class_w", "word_w"):
+        p[name] = rng.normal(0, 60, p[name].shape).astype(np.float32)
+    logs, d = gm.log_probabilities(p, np.repeat(h, 130, 0), np.arange(130), {})
+    assert np.isfinite(logs).all() and np.isfinite(d).all() and abs(np.exp(logs).sum() - 1) < 1e-3
+    p, (words, targets) = gm.start(np.arange(1, 131)), rng.integers(0, 130, (2, 3, 5))
+    start, read = rng.normal(size=(5, gm.HIDDEN)).astype(np.float32), np.unique(words)
+    whole, some = (gm.window(p, words, targets, start, *x)[2] for x in ((), (read,)))
+    assert np.allclose(whole["into"][read], some["into"]) and len(some["into"]) == len(read)
+    assert np.abs(whole["into"]).sum(axis=1).astype(bool).sum() <= len(read)
+    for order in (rng.integers(0, 130, 999), rng.integers(0, 1 << 20, 999)):
+        assert (gm.in_order(order) == np.argsort(order, kind="stable")).all()
+
+
+def test_words_of_many_texts_are_those_of_each():
+    rng = random.Random(10)
+    signs = [*" \t\n\x0b\x0c\r", *"\x00\x1c\x1f\x85\xa0\u2003", *"aAzZÉßİ中😀"]
+    texts = ["", " ", *("".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(2_000))]
+    found, sizes = lm_scoring.words(pa.array(texts))
+    want = [t.encode().lower().split() for t in texts]
+    assert [w.encode() for w in found.to_pylist()] == [w for own in want for w in own]
+    assert sizes.tolist() == [len(own) for own in want]
+    assert lm_scoring.words(pa.array(texts).slice(5, 90))[1].tolist() == sizes[5:95].tolist()
+    assert [len(x) for x in lm_scoring.words(pa.array([], pa.string()))] == [0, 0]
+
+
 def base_by_hand(rows):
     split = lambda t: [w for w in (t or "").encode().lower().split()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
