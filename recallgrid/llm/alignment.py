@@ -11,7 +11,9 @@ byte fallback are refined by their decoded bytes.
 
 Documents travel in blocks of bounded size, as numbers of stretches.  Blocks
 count their id pairs, Spark adds the counts up, and each block gets back the
-counts of its own pairs, so no table of all pairs is ever in one place.
+counts of its own pairs, so no table of all pairs is ever in one place.  A block
+is written as many short rows in small row groups: Spark reads a row group's rows
+at once, and those of a whole file would not fit an executor.
 
 Null and empty texts, and texts whose joined tokens are not space+text (such as
 those holding U+2581), have no tokens: zeros, and an empty digest.  Repeated rows
@@ -28,19 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.llm.bpe import Numbers, byte_letters
 from recallgrid.llm.tables import stage
-from recallgrid.llm.worker import id_type, kept, texts_of
+from recallgrid.llm.worker import dropped, id_type, kept, texts_of, trim
 
 SPACE = "▁"
 BLOCK = 300_000  # stretches of a block, unless one text alone has more
-GROUP = 256  # texts looked at together
+GROUP = 256  # texts looked at together, at most
+BYTES = 1_000_000  # of them, unless one text alone has more
+SLICE = 2048  # elements of a list in one row of a block
+ROWS = 64  # rows of a row group
 RUN = 512  # stretches encoded in a row
-KEPT = 4_000_000  # links of the stretches a worker remembers, each stretch counting for 10 more
+KEPT = 2_000_000  # links of the stretches a worker remembers, each stretch counting for 10 more
 PAIR = 1 << 32  # a pair of ids as one number: A's times this, plus B's
 
 ODD = re.compile(r"\s |\A | \Z")  # a space that is not the first after a word, or the last character
@@ -286,6 +292,18 @@ class Memory:
         return made
 
 
+def parts_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and end of the runs of texts that are looked at together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        fit = int(np.searchsorted(ends, before + BYTES, side="right"))
+        stop = min(start + GROUP, max(start + 1, fit))
+        yield start, stop
+        start = stop
+
+
 class Block:
     """Documents of a block, the stretches they hold and the pairs these hold."""
 
@@ -314,7 +332,7 @@ class Block:
                 self.docs.append(numbers[a:b])
 
     def record(self, number: int, id_kind: pa.DataType) -> pa.RecordBatch:
-        """One row: what the documents show already, and what their links are counted by."""
+        """What the documents show already, and what their links are counted by; every list is cut into as many rows."""
         doc_ids, n_a, n_b, n_groups, n_links, digests = zip(*self.rows, strict=True)
         # Each document's stretches once, with how often it has them.
         which, local = np.unique(np.concatenate(self.docs), return_inverse=True)
@@ -329,12 +347,15 @@ class Block:
         counts = np.zeros(len(pairs), np.int64)
         np.add.at(counts, at, np.repeat(met, sizes))
 
+        rows = max(1, -(-max(map(len, (doc_ids, docs, which, at, pairs))) // SLICE))
+
         def one(values, kind: pa.DataType) -> pa.Array:
             flat = pa.array(values, kind)
-            return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+            return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * len(flat) // rows, pa.int32()), flat)
 
         columns = {
-            "block": pa.array([number], pa.int64()),
+            "block": pa.array([number] * rows, pa.int64()),
+            "part": pa.array(np.arange(rows), pa.int32()),
             "doc_ids": one(doc_ids, id_kind),
             "n_a": one(n_a, pa.int64()),
             "n_b": one(n_b, pa.int64()),
@@ -353,7 +374,7 @@ class Block:
 
 
 def blocks(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
-    """One row for every block of documents, aligned; no shuffle."""
+    """Blocks of documents, aligned, a few rows each; no shuffle."""
     own = id_type(df, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,19 +383,20 @@ def blocks(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text
         number, block, kind = TaskContext.get().partitionId() << 32, Block(memory), pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for start in range(0, batch.num_rows, GROUP):
-                part = batch.slice(start, GROUP)
+            for start, stop in parts_of(batch["text"]):
+                part = batch.slice(start, stop - start)
                 block.add(part["doc_id"].to_pylist(), [memory.aligner.stretches(t) if t else [] for t in part["text"].to_pylist()])
                 if block.size >= size or memory.size > KEPT:
                     yield block.record(number, kind)
                     memory.tidy()
                     number, block = number + 1, Block(memory)
+                    trim()
         if block.rows:
             yield block.record(number, kind)
 
     longs = ", ".join(f"{c} array<long>" for c in ("n_a", "n_b", "n_groups", "n_links"))
     ints = ", ".join(f"{c} array<int>" for c in ("held", "stretches", "times", "sizes", "at"))
-    schema = f"block long, doc_ids array<{own}>, {longs}, digests array<string>, {ints}, pairs array<long>, counts array<long>"
+    schema = f"block long, part int, doc_ids array<{own}>, {longs}, digests array<string>, {ints}, pairs array<long>, counts array<long>"
     return texts_of(df, id_col, text_col).mapInArrow(run, schema)
 
 
@@ -398,7 +420,9 @@ def scored(made: DataFrame, counts: DataFrame) -> DataFrame:
     columns = ["doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left[c].combine_chunks().flatten() for c in left.column_names if c != "block"}
+        dropped("aligned")  # the stretches this worker remembers aren't needed any more
+        left = left.take(pc.sort_indices(left["part"]))
+        row = {c: left[c].combine_chunks().flatten() for c in left.column_names if c not in ("block", "part")}
         number = {c: row[c].to_numpy(zero_copy_only=False) for c in ("held", "stretches", "times", "sizes", "at")}
         pair = right["pair"].to_numpy()
         order = np.argsort(pair)  # the block's pairs are sorted, too
@@ -415,13 +439,13 @@ def scored(made: DataFrame, counts: DataFrame) -> DataFrame:
         return pa.table([row[c] for c in columns] + totals, names)
 
     schema = f"doc_id {own}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, count_sum long, n_best long"
-    fields = made.select("block", *columns, "held", "stretches", "times", "sizes", "at")
+    fields = made.select("block", "part", *columns, "held", "stretches", "times", "sizes", "at")
     return fields.groupBy("block").cogroup(wanted.groupBy("cell")).applyInArrow(run, schema)
 
 
 def align_documents(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; paths are ones every worker can read."""
-    made = stage(blocks(df, a_path, b_path, id_col, text_col), "aligned")
+    made = stage(blocks(df, a_path, b_path, id_col, text_col), "aligned", {"parquet.block.row.count.limit": ROWS})
     found = scored(made, pair_counts(made))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 

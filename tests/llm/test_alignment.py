@@ -3,10 +3,12 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tests.llm.conftest import EDGE, prose
 
-from recallgrid.llm import alignment
+from recallgrid.llm import alignment, worker
 from recallgrid.llm.bpe import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -132,5 +134,44 @@ def test_groups_cover_the_text(docs, tools):
     assert [i for r in made for i in r.b_ids] == b_ids
 
 
+def test_blocks_are_written_as_short_rows_in_small_row_groups(docs, tools, monkeypatch):
+    found = []
+    stage = alignment.stage
+    monkeypatch.setattr(alignment, "stage", lambda *own: found.append(stage(*own)) or found[-1])
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(3_000))) for i in range(60)]
+    made = alignment.align_documents(docs(rows).coalesce(1), A, B).collect()
+    assert sorted((tuple(r) for r in made), key=str) == by_hand(tools, rows)
+    lists = [n for n, kind in found[0].dtypes if kind.startswith("array")]
+    longest = found[0].selectExpr(*[f"max(size({n}))" for n in lists]).first()
+    assert 1_000 < max(longest) <= 2_048
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in found[0].inputFiles()]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) <= 64
+
+
+def test_slices_of_a_block_go_together_again(docs, tools, monkeypatch):
+    for name, value in (("SLICE", 3), ("ROWS", 2), ("BYTES", 40)):
+        monkeypatch.setattr(alignment, name, value)
+    rng = random.Random(3)
+    rows = [*EDGE[:7], *ODD, *[(100 + i, prose(rng, rng.randrange(20))) for i in range(40)]]
+    made = alignment.align_documents(docs(rows).repartition(3), A, B).collect()
+    assert sorted((tuple(r) for r in made), key=str) == by_hand(tools, rows)
+
+
+def test_long_texts_are_looked_at_apart():
+    texts = pa.array(["", "a" * 600_000, "b" * 500_000, "c", "d" * 3_000_000, *["e"] * 300])
+    assert list(alignment.parts_of(texts)) == [(0, 2), (2, 4), (4, 5), (5, 261), (261, 305)]
+    assert list(alignment.parts_of(texts.slice(3, 2))) == [(0, 1), (1, 2)]
+    assert list(alignment.parts_of(texts[:0])) == []
+
+
+def test_workers_give_back_what_they_kept_of_a_kind():
+    made = [worker.kept((kind, "x"), object) for kind in ("aligned", "other")]
+    worker.dropped("aligned")
+    assert worker.kept(("aligned", "x"), object) is not made[0]
+    assert worker.kept(("other", "x"), object) is made[1]
+    worker.dropped("aligned"), worker.dropped("other"), worker.dropped("none")
+
+
 def test_no_rows(docs):
     assert alignment.align_documents(docs([]), A, B).collect() == []
